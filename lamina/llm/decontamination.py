@@ -172,6 +172,6 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFr
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with hit words cut out of ``text_col``."""
-    cut = F.udf(lambda text, spans: without_spans(text, [(s["first"], s["n"]) for s in spans]), "string")
+    cut = F.udf(lambda text, spans: without_spans(text, [(s["first"], s["n"]) for s in spans]) if spans else text, "string", useArrow=True)
     marked = scan(docs, benchmark, text_col=text_col, keep=tuple(docs.columns), **options)
-    return marked.select(*(F.when(F.size("_scan_spans") > 0, cut(text_col, "_scan_spans")).otherwise(F.col(text_col)).alias(c) if c == text_col else c for c in docs.columns))
+    return marked.select(*(cut(text_col, "_scan_spans").alias(c) if c == text_col else c for c in docs.columns))
