@@ -26,10 +26,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read_archives(spark, path)
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+):", 1).try_cast("long")
     read = written(records.select("record_id", "warc_type", "payload_sha1", "refers_to", "status", F.length("payload").cast("long").alias("n"), F.sha1("payload").alias("sha1")), "warc-read")
-    held = read.filter("warc_type = 'response' AND status = 'ok'").groupBy(F.col("record_id").alias("holder")).agg(F.max("n").alias("held_n"), F.max("sha1").alias("held_sha1"))
-    both = read.join(held, read["refers_to"] == held["holder"], "left")
-    return both.select(
-        page(F.col("record_id")).alias("page_id"), F.coalesce("n", "held_n").alias("payload_bytes"), F.coalesce("sha1", "held_sha1").alias("payload_digest"),
+    # Only revisits are joined: rows without a key would all meet in one task. The holders are written, so a hot one can be split.
+    held = written(read.filter("warc_type = 'response' AND status = 'ok'").groupBy(F.col("record_id").alias("holder")).agg(F.max("n").alias("held_n"), F.max("sha1").alias("held_sha1")), "warc-holders")
+    own, revisits = read.filter("refers_to IS NULL"), read.filter("refers_to IS NOT NULL").drop("n", "sha1")
+    found = revisits.join(held, revisits["refers_to"] == held["holder"], "left").withColumnsRenamed({"held_n": "n", "held_sha1": "sha1"}).drop("holder")
+    return own.unionByName(found).select(
+        page(F.col("record_id")).alias("page_id"), F.col("n").alias("payload_bytes"), F.col("sha1").alias("payload_digest"),
         F.col("warc_type").alias("record_type"), page(F.col("refers_to")).alias("refers_to"), (F.col("status") == "ok").alias("whole"),
     )
 
