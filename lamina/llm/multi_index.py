@@ -57,7 +57,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         mask = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<int>")
         each = F.array(*(F.struct(F.lit(s).alias("segment"), segment(F.col("query"), s).alias("own")) for s in range(SEGMENTS)))
         probes = opened.select("query", F.inline(each)).select("query", "segment", "own", F.explode(mask).alias("mask")).select("query", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-        met = probes.join(index, ["segment", "value"]).select("query", "code").distinct()
+        # Probes outgrow the size that the optimizer expects of them: they are never broadcast.
+        met = probes.join(index.hint("merge"), ["segment", "value"]).select("query", "code").distinct()
         met = met.withColumn("distance", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))))
         # A few of the nearest codes hold the nearest ids; ids are attached only to those.
         by_code = Window.partitionBy("query").orderBy("distance")
