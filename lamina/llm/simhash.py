@@ -32,20 +32,24 @@ SEED = 42
 TALLY = 65_536
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """Bit set where more than half of the shingles' XXH64 have it; as a signed 64-bit integer."""
+def shingle_digests(text: bytes, words: int) -> list[bytes]:
+    """XXH64 of every run of ``words`` words (fewer words: of all of them; none: nothing)."""
     from xxhash import xxh64_digest
 
     tokens = text.lower().split()
-    if not tokens:
-        return 0
     joined = b" ".join(tokens)
     if len(tokens) <= words:
-        digests = [xxh64_digest(joined, SEED)]
-    else:
-        ends = np.cumsum([len(t) + 1 for t in tokens])
-        starts = np.concatenate(([0], ends[:-1]))[: len(tokens) - words + 1].tolist()
-        digests = [xxh64_digest(joined[a:b], SEED) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())]
+        return [xxh64_digest(joined, SEED)] if tokens else []
+    ends = np.cumsum([len(t) + 1 for t in tokens])
+    starts = np.concatenate(([0], ends[:-1]))[: len(tokens) - words + 1].tolist()
+    return [xxh64_digest(joined[a:b], SEED) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())]
+
+
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """Bit set where more than half of the shingles' XXH64 have it; as a signed 64-bit integer."""
+    digests = shingle_digests(text, words)
+    if not digests:
+        return 0
     tally = np.zeros(64, np.int64)
     for k in range(0, len(digests), TALLY):
         part = np.frombuffer(b"".join(digests[k : k + TALLY]), np.uint8).reshape(-1, 8)
