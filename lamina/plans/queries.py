@@ -623,6 +623,6 @@ SELECT o_orderkey, o_orderdate, c_name, o_totalprice FROM r ORDER BY o_orderdate
 """)
 def flagship(t):
     """Lookup, derive, stable order: the newest orders with their customers."""
-    newest = t("orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100)
     customers = t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    return lookup.keyed(newest, customers, "o_custkey").select("o_orderkey", "o_orderdate", "c_name", "o_totalprice")
+    found = lookup.keyed(t("orders"), customers, "o_custkey").select("o_orderkey", "o_orderdate", "c_name", "o_totalprice")
+    return found.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100)

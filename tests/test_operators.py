@@ -303,3 +303,12 @@ def test_generators(spark):
     e = spark.createDataFrame([(["a", "b"], 4), (["a", "b"], 1)], "f array<string>, n int").select(frames.exported(F.col("f"), F.col("n"), F.lit(3))).collect()
     assert [r[0] for r in e] == [["a", "b", "b", "b"], ["a", "a", "a"]]
     assert frames.preset_frames(spark, {"coin": 4, "fire": 6}).count() == 10
+
+
+def test_flagship_takes_the_newest_of_the_joined_orders(spark, tmp_path):
+    from lamina.plans.queries import QUERIES
+
+    orders = spark.range(150).select(F.col("id").alias("o_orderkey"), F.when(F.col("id") < 30, 99).otherwise(1).alias("o_custkey"), F.expr("date_sub(date'2024-01-01', cast(id AS int))").alias("o_orderdate"), F.lit(1.0).alias("o_totalprice"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "c")], "c_custkey int, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    assert [r.o_orderkey for r in QUERIES["flagship"](spark, str(tmp_path)).collect()] == list(range(30, 130))
