@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import dropped, written_once
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links between long ids -> (node, root): the smallest id reachable. Nodes without a link aren't in it.
 
-    Each round is written to the shared folder. A node's neighbours are never gathered: minima are
-    partial aggregates, and the joins that carry them back can be split by key at run time.
+    Each round is written to the shared folder, and the round before it deleted. A node's neighbours are never gathered:
+    minima are partial aggregates, and the joins that carry them back can be split by key at run time.
     """
-    edges = written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    edges = written_once(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = fingerprint(edges)
     while True:
-        edges = written(small_star(written(large_star(edges), "large-star")), "small-star")
-        before, state = state, fingerprint(edges)
+        before, last = state, edges
+        stars = written_once(large_star(edges), "large-star")
+        edges = written_once(small_star(stars), "small-star")
+        state = fingerprint(edges)
+        dropped(stars)
+        dropped(last)
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 

@@ -7,11 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a batch that goes to a Python worker: rows may hold long lists or texts.
+BATCH_BYTES = 32 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where that is unset (as in tests) a folder of our own."""
+    """The cluster's ``spark.checkpoint.dir``; where that is unset, a folder of our own in local mode (as in tests) and an error elsewhere."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="spark-lamina-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
@@ -39,3 +44,16 @@ def written_once(df: DataFrame, name: str) -> DataFrame:
         return written(df, name)
     finally:
         spark.conf.set(key, before)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table that ``written`` made and no later result reads."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches for Python workers end at ``BATCH_BYTES`` too, not only at a number of rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -1,11 +1,13 @@
 import math
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lamina.llm import ctw
+from lamina.llm.storage import written
 
 
 def test_base_and_counts_by_brute_force(edge, edge_rows, empty):
@@ -21,51 +23,79 @@ def test_base_and_counts_by_brute_force(edge, edge_rows, empty):
     assert ctw.score(empty, ctw.training_remainder("doc_id", 10) != 0).count() == 0
 
 
-def model_of(texts):
-    runs, n = np.unique(np.concatenate([r for r, _ in ctw.pieces(texts)]), return_counts=True)
-    dense = Counter()
-    for r, k in zip(ctw.reduced(runs).tolist(), n.tolist()):
-        dense[r] += k
-    return ctw.Model(runs, n, np.array(list(dense)), np.array(list(dense.values())))
+def table_of(spark, texts):
+    """log10 probability by run, of a model of ``texts``; the second of each pair says whether it teaches."""
+    docs = spark.createDataFrame([(t.decode("latin-1"), y) for t, y in texts], "text string, learns boolean")
+    return {r.run: r.log_p for r in ctw.run_scores(written(ctw.subtrees(ctw.run_counts(docs, "text", F.col("learns"))), "trees")).collect()}
 
 
-def test_deep_tree_by_the_recursion():
-    """Each bit's probability is the ratio of the root's weighted probabilities with and without one more bit."""
-    text = b"abracadabra abracadabra cadabra bar"
-    runs, n = np.unique(np.concatenate([r for r, _ in ctw.pieces([text])]), return_counts=True)
-    got = dict(zip(runs.tolist(), ctw.deep_log10(runs, n).tolist()))
+def by_recursion(runs, run):
+    """log10 probability of the run's byte: the ratio of the root's weighted probabilities with and without one more bit.
+
+    ``runs``: training count by run. The whole tree over all contexts, without any of the module's code.
+    """
+    raw, want = run.to_bytes(ctw.DEPTH + 1, "big"), 0.0
 
     def log_pw(counts, context, depth):
-        a, b = counts[context]
+        a, b = counts.get(context, (0, 0))
         kt = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
         if depth == ctw.DEPTH:
             return kt
-        below = sum(log_pw(counts, c, depth + 1) for c in counts if len(c) == depth + 1 and c[-depth or len(c):] == context and depth or len(c) == 1 == depth + 1)
+        below = sum(log_pw(counts, c, depth + 1) for c in counts if len(c) == depth + 1 and c.endswith(context))
         return np.logaddexp(kt, below) - math.log(2)
 
-    for run in runs[:: max(1, len(runs) // 6)].tolist():
-        raw = run.to_bytes(ctw.DEPTH + 1, "big")
-        want = 0.0
-        for level in range(8):
-            prefix, bit = raw[-1] >> (8 - level), raw[-1] >> (7 - level) & 1
-            counts = defaultdict(lambda: [0, 0])
-            for r, k in zip(runs.tolist(), n.tolist()):
-                other = r.to_bytes(ctw.DEPTH + 1, "big")
-                if other[-1] >> (8 - level) == prefix:
-                    for d in range(ctw.DEPTH + 1):
-                        counts[other[ctw.DEPTH - d : ctw.DEPTH]][other[-1] >> (7 - level) & 1] += k
-            before = log_pw(counts, b"", 0)
-            for d in range(ctw.DEPTH + 1):
-                counts[raw[ctw.DEPTH - d : ctw.DEPTH]][bit] += 1
-            want += (log_pw(counts, b"", 0) - before) / math.log(10)
-        assert got[run] == pytest.approx(want, abs=1e-6)
-
-
-def test_probabilities_of_all_bytes_add_up_to_one():
-    model = model_of([b"the cat sat on the mat", b"the dog sat"] * 3)
-    for context in (b"the c", b"at on", b"zzzzz", b"\xff\xff\xff\xff\xff"):
-        runs = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.int64)
-        assert (10 ** model.log10(runs)).sum() == pytest.approx(1, abs=1e-3)
+    for level in range(8):
+        prefix, bit, counts = raw[-1] >> (8 - level), raw[-1] >> (7 - level) & 1, {}
+        for r, k in runs.items():
+            other = r.to_bytes(ctw.DEPTH + 1, "big")
+            if k and other[-1] >> (8 - level) == prefix:
+                for d in range(ctw.DEPTH + 1):
+                    counts.setdefault(other[ctw.DEPTH - d : ctw.DEPTH], [0, 0])[other[-1] >> (7 - level) & 1] += k
+        before = log_pw(counts, b"", 0)
+        for d in range(ctw.DEPTH + 1):
+            counts.setdefault(raw[ctw.DEPTH - d : ctw.DEPTH], [0, 0])[bit] += 1
+        want += (log_pw(counts, b"", 0) - before) / math.log(10)
+    return want
+
+
+def training_runs(texts):
+    return Counter(x for r, _ in ctw.pieces(texts) for x in r.tolist())
+
+
+@pytest.mark.parametrize("together", [1 << 18, 5])
+def test_table_by_the_recursion(spark, monkeypatch, together):
+    monkeypatch.setattr(ctw, "TOGETHER", together)
+    text, other = b"abracadabra abracadabra cadabra bar", b"abrac zebra"
+    got = table_of(spark, [(text, True), (other, False)])
+    known, all_runs = training_runs([text]), training_runs([text, other])
+    assert set(got) == set(all_runs)
+    for run in list(all_runs)[::7] + [r for r in all_runs if r not in known]:
+        assert got[run] == pytest.approx(by_recursion(known, run), abs=1e-6)
+
+
+def test_scores_end_to_end_by_the_recursion(spark):
+    """With all runs broadcast, some and (nearly) none the score is that of the plain recursion."""
+    texts = ["the cat sat", "the cat ran", None, "", "a Cat", "the dog sat", "zzz", "the cat sat"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    teaches = [k % 3 != 0 for k in range(len(texts))]
+    low = [(t or "").encode().lower() for t in texts]
+    known = training_runs([t for t, y in zip(low, teaches) if y])
+    cost = {r: by_recursion(known, r) for r in training_runs(low)}
+    want = [sum(cost[r] * n for r, n in training_runs([t]).items()) for t in low]
+    for hot in (1 << 20, 20, 1):
+        got = {r.doc_id: r.score for r in ctw.score(docs, F.col("doc_id") % 3 != 0, hot_runs=hot, hot_words=2).collect()}
+        assert [got[k] for k in range(len(texts))] == pytest.approx(want, abs=1e-6)
+
+
+def test_probabilities_of_all_bytes_add_up_to_one(spark):
+    taught = [(b"the cat sat on the mat", True), (b"the dog sat", True)]
+    asked = [(context + bytes([b]), False) for context in (b"the c", b"at on", b"zzzzz") for b in range(1, 128) if not 65 <= b <= 90]
+    got = table_of(spark, taught + asked)
+    known = training_runs([t for t, _ in taught])
+    for context in (b"the c", b"at on", b"zzzzz"):
+        seen = {b: got[int.from_bytes(context + bytes([b]), "big")] for b in range(1, 128) if not 65 <= b <= 90}
+        rest = sum(10 ** by_recursion(known, int.from_bytes(context + bytes([b]), "big")) for b in range(256) if b not in seen)
+        assert sum(10**x for x in seen.values()) + rest == pytest.approx(1, abs=1e-6)
 
 
 def test_steps_change_nothing(monkeypatch):
