@@ -87,11 +87,11 @@ def run_counts(docs: DataFrame, text_col: str, training: Column) -> DataFrame:
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            learns = batch.column(1).to_numpy(zero_copy_only=False)
-            texts = [lowered(t) for t in batch.column(0)]
-            for run, number in pieces(texts):
-                value, where = np.unique(run, return_inverse=True)
-                held.append((value, np.bincount(where, learns[number], len(value)).astype(np.int64), np.bincount(where, minlength=len(value))))
+            learns = batch.column(1).to_pylist()
+            for teaches in (True, False):
+                for run, _ in pieces([lowered(t) for t, y in zip(batch.column(0), learns) if y == teaches]):
+                    value, m = np.unique(run, return_counts=True)
+                    held.append((value, m * teaches, m))
                 if len(held) >= 8:
                     held = [merged(held)]
                     if len(held[0][0]) > RUNS_HELD:
