@@ -1,138 +1,166 @@
 """Token counts of whole texts by overlap resynchronisation.
 
-A huge text is encoded in chunks that overlap. Two neighbouring encodings are spliced at an offset
-where both begin a piece, a piece being a run of bytes without ASCII white space. Such an offset is
-stable whatever lies before it: the tokenizer drops white space, no pre-token spans it, no canonical
-composition begins with it, and the pre-token patterns look only ahead. A piece at a chunk's edge
-may be cut, so the first piece of a later chunk and the last of an earlier one are never trusted.
-Where the overlap holds no common trusted offset it is doubled and the seam encoded anew, at the
-worst up to the text's end.
-
-Memory: one text of a batch, the encodings of two chunks, and a memo of at most ``MEMO`` pieces.
+A text over ``CHUNK`` characters is encoded in chunks that overlap, each whole by the library and with offsets. Two
+neighbouring encodings are spliced at a stable common boundary: an offset in the overlap where a token begins in both,
+with ``RUN`` tokens of equal offsets and ids on either side. Such an offset is proven stable in two cases.
+
+* A pre-token begins there in both. Pre-token patterns look only ahead, so the later encoding is right from there on
+  and the earlier one up to there.
+* The overlap lies within one pre-token in both (text without spaces, say). Byte-pair merges on either side of an
+  offset that none of them crosses don't see the other side, and whether one crosses depends on the two tokens that meet
+  there alone; as both encodings have the same two, none does in the whole text. Long pre-tokens must be runs of a
+  class of characters, as in the patterns of the known tokenizers.
+
+Boundaries within ``EDGE`` characters of a chunk's cut end aren't trusted (special strings, look-ahead), nor those
+at which normalisation could compose characters. Where an overlap has no stable boundary it is doubled and the
+chunk encoded anew, at the worst from the earlier chunk's begin and up to the text's end. Shorter texts are encoded whole.
+
+Memory: a batch of bounded bytes, the encodings of ``CALL`` bytes of short texts or of two chunks.
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows each give a row; an
-empty table gives no rows; columns besides ``id_col`` and ``text_col`` aren't read.
+empty table gives no rows; columns besides ``id_col`` and ``text_col`` aren't read. Only BPE tokenizers are taken.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Bytes of a chunk, of the first overlap, and pieces that a worker remembers.
-CHUNK, OVERLAP, MEMO = 16_384, 1_024, 400_000
-#: Pieces encoded in one call of the library.
-CALL = 4_096
-#: A longer piece is encoded each time, so the memo's memory is bounded.
-LONG_PIECE = 256
-PIECE = re.compile(rb"[^\x20\x09-\x0D]+")
+from .storage import bounded_batches
 
-Encoder = Callable[[bytes], tuple[list[int], list[int]]]
+#: Characters of a chunk, of the first overlap, and at a cut end that aren't trusted; tokens that must agree on either side.
+CHUNK, OVERLAP, EDGE, RUN = 16_384, 1_024, 64, 4
+#: Characters of short texts encoded in one call of the library.
+CALL = 1 << 20
 
 
-class PieceEncoder:
-    """Encodes bytes of UTF-8: offsets of the pieces, and each piece's number of tokens by the library."""
+class Encoded:
+    """A chunk's tokens: where each begins in the text, its id, whether a pre-token begins with it."""
 
-    def __init__(self, tokenizer_file: str, memo: int = MEMO):
+    def __init__(self, begin: int, spans: np.ndarray, ids: np.ndarray, words: np.ndarray):
+        self.start, self.ids = begin + spans[:, 0], ids
+        ends = begin + spans[:, 1]
+        self.opens = np.append(True, words[1:] != words[:-1])[: len(ids)]
+        #: False where a token begins inside a character that the one before it has begun.
+        self.clean = np.append(True, ends[:-1] <= self.start[1:])[: len(ids)]
+
+    def from_offset(self, at: int) -> int:
+        """The first token that begins at ``at`` or later."""
+        return int(np.searchsorted(self.start, at))
+
+
+class Encoder:
+    """A tokenizer file's library, without special tokens, truncation or padding."""
+
+    def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo, self.most = {}, memo
-        apart = [i for word in ("It's", "étude", "9b") for i in self._ids([word])[0]]
-        if self._ids(["It's \n\t étude  9b "])[0] != apart:
-            raise ValueError("this tokenizer keeps white space, so white space isn't a stable boundary")
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, pieces: set[bytes]) -> dict[bytes, int]:
-        """Counts of pieces that aren't in the memo; the long ones are returned but not remembered."""
-        if len(self.memo) + len(pieces) > self.most:
-            self.memo.clear()
-        out, new = {}, list(pieces)
-        for k in range(0, len(new), CALL):
-            part = new[k : k + CALL]
-            # A cut at a chunk's edge may split a character; such a piece is never trusted.
-            for piece, ids in zip(part, self._ids([p.decode("utf-8", "replace") for p in part])):
-                out[piece] = len(ids)
-                if len(piece) <= LONG_PIECE and len(self.memo) < self.most:
-                    self.memo[piece] = len(ids)
+        if not isinstance(self.tokenizer.model, BPE):
+            raise ValueError("common boundaries are proven stable for byte-pair encoding only")
+
+    def counts(self, texts: list[str]) -> list[int]:
+        out, k = [], 0
+        while k < len(texts):
+            stop, n = k, 0
+            while stop < len(texts) and (n == 0 or n + len(texts[stop]) <= CALL):
+                n, stop = n + len(texts[stop]), stop + 1
+            out += map(len, self.tokenizer.encode_batch_fast(texts[k:stop], add_special_tokens=False))
+            k = stop
         return out
 
-    def counts(self, pieces: list[bytes]) -> list[int]:
-        got = list(map(self.memo.get, pieces))
-        if None in got:
-            fresh = self.learn({p for p, n in zip(pieces, got) if n is None})
-            got = [fresh[p] if n is None else n for p, n in zip(pieces, got)]
-        return got
-
-    def __call__(self, data: bytes) -> tuple[list[int], list[int]]:
-        return [m.start() for m in PIECE.finditer(data)], self.counts(data.split())
-
-
-def resynchronised(data: bytes, encode: Encoder, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[int, int]:
-    """Tokens of ``data``, and how often an overlap had to be widened."""
-    at, total, widened = 0, 0, 0  # ``at`` is 0 or a stable offset, up to which ``total`` counts
-    starts, counts = encode(data[:chunk])
-    begin, end = 0, min(chunk, len(data))
-    while end < len(data):
+    def chunk(self, text: str, begin: int, end: int) -> Encoded:
+        found = self.tokenizer.encode(text[begin:end], add_special_tokens=False)
+        words = np.array([-1 - k if w is None else w for k, w in enumerate(found.word_ids)], np.int64)  # special strings stand alone
+        return Encoded(begin, np.array(found.offsets, np.int64).reshape(-1, 2), np.array(found.ids, np.int64), words)
+
+
+def composes(text: str, at: int) -> bool:
+    """Whether normalisation may join or reorder characters across ``at``."""
+    a, b = text[at - 1], text[at]
+    jamo = "ᅠ" <= b <= "ᇿ" or "ힰ" <= b <= "퟿"
+    return jamo or unicodedata.category(b)[0] == "M" or unicodedata.normalize("NFC", a + b) != unicodedata.normalize("NFC", a) + unicodedata.normalize("NFC", b)
+
+
+def seam(text: str, left: Encoded, right: Encoded, low: int, high: int, overlap: tuple[int, int]) -> tuple[int, int, bool] | None:
+    """The token in ``left`` and in ``right`` with which a stable boundary from ``low`` to ``high`` begins, and whether it is within a pre-token."""
+    i, j = (x.from_offset(low) + np.flatnonzero(x.clean[x.from_offset(low) : x.from_offset(high + 1)]) for x in (left, right))
+    at, of_i, of_j = np.intersect1d(left.start[i], right.start[j], return_indices=True)
+    i, j = i[of_i], j[of_j]
+    good = (i >= RUN) & (j >= RUN) & (i + RUN <= len(left.ids)) & (j + RUN <= len(right.ids))
+    at, i, j = at[good], i[good], j[good]
+    same = np.ones(len(at), bool)
+    for k in range(-RUN, RUN):
+        same &= (left.ids[i + k] == right.ids[j + k]) & (left.start[i + k] == right.start[j + k])
+    at, i, j = at[same], i[same], j[same]
+    opens = left.opens[i] & right.opens[j]
+    begin, end = overlap
+    inside = any(x.opens[x.from_offset(begin + 1) : x.from_offset(end)].any() for x in (left, right))
+    for k in np.flatnonzero(opens) if inside else range(len(at)):
+        if not composes(text, int(at[k])):
+            return int(i[k]), int(j[k]), not opens[k]
+    return None
+
+
+def resynchronised(text: str, encode: Encoder, chunk: int = CHUNK, overlap: int = OVERLAP, edge: int = EDGE) -> tuple[int, int, int, int]:
+    """Tokens of ``text``, seams, those of them within a pre-token, and how often an overlap had to be widened."""
+    total = seams = inner = widened = 0
+    begin, end, first = 0, min(chunk, len(text)), 0  # ``first``: the token of ``left`` up to which ``total`` counts
+    left = encode.chunk(text, begin, end)
+    while end < len(text):
+        counted = int(left.start[first]) if first < len(left.ids) else begin
         back = overlap
         while True:
-            left = max(begin, end - back)
-            right_end = min(len(data), left + chunk + back)
-            next_starts, next_counts = encode(data[left:right_end])
-            # The earlier chunk's last piece and the later chunk's first may be cut.
-            trusted = {begin + s for s in starts[:-1] if begin + s >= at}
-            common = next((left + s for s in next_starts[1:] if left + s in trusted), None)
-            if common is not None:
+            start = max(begin, end - back)
+            stop = min(len(text), start + chunk + back)
+            right = encode.chunk(text, start, stop)
+            if start == begin:  # nothing lies before: lengthen the earlier chunk instead
+                left, end = right, stop
+                first = left.from_offset(counted)
+                break
+            found = seam(text, left, right, max(counted + 1, start + edge), end - edge, (start, end))
+            if found:
+                i, j, within = found
+                total, seams, inner = total + i - first, seams + 1, inner + within
+                begin, end, left, first = start, stop, right, j
                 break
             widened += 1
-            if left == begin:  # the whole of the earlier chunk was tried: lengthen it instead
-                starts, counts, end = next_starts, next_counts, right_end
-                if end == len(data):
-                    break
-                continue
             back *= 2
-        if common is None:
-            break
-        total += sum(n for s, n in zip(starts, counts) if at <= begin + s < common)
-        at, begin, end, starts, counts = common, left, right_end, next_starts, next_counts
-    return total + sum(n for s, n in zip(starts, counts) if begin + s >= at), widened
+    return total + len(left.ids) - first, seams, inner, widened
 
 
 def count_tokens(
     docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text",
-    limit: int = 2048, chunk: int = CHUNK, overlap: int = OVERLAP,
+    limit: int = 2048, chunk: int = CHUNK, overlap: int = OVERLAP, edge: int = EDGE,
 ) -> DataFrame:
-    """``id_col``, n_bytes, n_tokens, over_limit, n_widened (overlaps that had to grow) for every row of ``docs``."""
-    if chunk < 16 or not 0 < overlap < chunk:
-        raise ValueError("a chunk has at least 16 bytes and a shorter overlap")
-    key = docs.schema[id_col]
+    """``id_col``, n_bytes, n_tokens, over_limit, n_seams, n_inner (seams within a pre-token), n_widened for every row of ``docs``."""
+    if not 2 * edge < overlap < chunk:
+        raise ValueError("an overlap is shorter than a chunk and longer than both of its untrusted edges")
+    bounded_batches(docs.sparkSession)
+    key, names = docs.schema[id_col], ("n_seams", "n_inner", "n_widened")
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = PieceEncoder(tokenizer_file)
+        encode = Encoder(tokenizer_file)
         for batch in batches:
-            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1)]
-            small = [t.split() if len(t) <= chunk else [] for t in texts]
-            flat = [p for ps in small for p in ps]
-            got, k, tokens, widened = encode.counts(flat), 0, [], []
-            for text, pieces in zip(texts, small):
-                n, w = (sum(got[k : k + len(pieces)]), 0) if len(text) <= chunk else resynchronised(text, encode, chunk, overlap)
-                k += len(pieces)
-                tokens.append(n)
-                widened.append(w)
+            sizes = [len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(1)]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            short = iter(encode.counts([t for t in texts if len(t) <= chunk]))
+            rows = [(next(short), 0, 0, 0) if len(t) <= chunk else resynchronised(t, encode, chunk, overlap, edge) for t in texts]
+            tokens, *others = zip(*rows) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_()), pa.array(widened, pa.int32())],
-                names=[id_col, "n_bytes", "n_tokens", "over_limit", "n_widened"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_()), *(pa.array(x, pa.int32()) for x in others)],
+                names=[id_col, "n_bytes", "n_tokens", "over_limit", *names],
             )
 
-    out = T.StructType([key, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType()), T.StructField("n_widened", T.IntegerType())])
-    return docs.select(id_col, text_col).mapInArrow(of_batches, out)
+    fields = [key, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
+    return docs.select(id_col, text_col).mapInArrow(of_batches, T.StructType(fields + [T.StructField(n, T.IntegerType()) for n in names]))

@@ -1,33 +1,64 @@
+import random
+
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
-from lamina.llm.token_counts import PieceEncoder, count_tokens, resynchronised
+from lamina.llm.token_counts import Encoder, count_tokens, resynchronised
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
 
 
-def plain(text):
-    return len(Tokenizer.from_file(FILE).encode(text or "", add_special_tokens=False).ids)
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(FILE)
+
+
+@pytest.fixture(scope="module")
+def encode():
+    return Encoder(FILE)
+
 
+def plain(library, text):
+    return len(library.encode(text or "", add_special_tokens=False).ids)
 
-def test_equals_the_library_on_edge_rows(edge, edge_rows, empty):
-    got = count_tokens(edge, FILE, chunk=512, overlap=64).collect()
+
+def test_equals_the_library_on_edge_rows(edge, edge_rows, empty, library):
+    got = count_tokens(edge, FILE, chunk=512, overlap=192, edge=32).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == sorted(
-        (d is None, d or 0, len((t or "").encode()), plain(t), plain(t) > 2048) for d, t, *_ in edge_rows
+        (d is None, d or 0, len((t or "").encode()), plain(library, t), plain(library, t) > 2048) for d, t, *_ in edge_rows
     )
-    assert count_tokens(empty, FILE).count() == 0
+    assert sum(r.n_seams for r in got) > 100 and count_tokens(empty, FILE).count() == 0
+    with pytest.raises(ValueError):
+        count_tokens(edge, FILE, chunk=512, overlap=100)
+
+
+def test_texts_without_white_space_are_spliced_within_pre_tokens(library, encode):
+    r = random.Random(4)
+    for letters in ("日本語文章漢字仮名交じり", "abcdefghijklmnopqrstuvwxyz", "été naïve".replace(" ", ""), "ACGT"):
+        text = "".join(r.choice(letters) for _ in range(20_000))
+        tokens, seams, inner, _ = resynchronised(text, encode, 2048, 512)
+        assert tokens == plain(library, text) and inner == seams > 5, letters
 
 
-def test_seams_widen_where_no_white_space_is_near():
-    encode = PieceEncoder(FILE)
-    for text in ("ab" * 3000 + " tail " + "word " * 500, "word " * 100 + "y" * 5000 + " z", "é" * 999 + " " + "日" * 3000, "<|endoftext|>x " * 300, "it's  we'll\t\t don't " * 90, "\xa0".join(["a1b2"] * 800)):
-        tokens, widened = resynchronised(text.encode(), encode, 256, 16)
-        assert tokens == plain(text)
-    assert resynchronised(("ab" * 3000 + " tail").encode(), encode, 256, 16)[1] > 0
+def test_random_texts_of_all_kinds(library, encode):
+    r = random.Random(9)
+    parts = ["the ", "It's ", "we'll", "'", "!!!", "  \n", "\t", "日本", "é", "é", "̣́", "각", "각", "<|endoftext|>", "<|endof", "text|>", "9", "2024", "🙂", "👩‍👩‍👧", "\xa0", "İ", "ß", "ﬁ", "_", "क्षि", "x" * 30, "Ωσ"]
+    seams = 0
+    for k in range(150):
+        text = "".join(r.choice(parts) for _ in range(r.choice((60, 400, 1500))))
+        tokens, n, *_ = resynchronised(text, encode, 300, 160, 40)
+        seams += n
+        assert tokens == plain(library, text), k
+    assert seams > 1000
 
 
-def test_memo_is_bounded():
-    encode = PieceEncoder(FILE, memo=10)
-    for k in range(50):
-        assert encode.counts([b"w%d" % k])[0] == plain(f"w{k}")
-        assert len(encode.memo) <= 10
+def test_seams_widen_where_encodings_dont_meet(library, encode):
+    # Runs of one letter are cut by their length, and between combining marks nothing is stable.
+    texts = ["y" * 9_001 + " z", "ab" * 5_000 + " tail " + "word " * 500, "word " * 100 + "=" * 5_003, "\u0301" * 3_000 + "a" * 3_000]
+    widened = 0
+    for text in texts:
+        tokens, _, _, n = resynchronised(text, encode, 512, 192)
+        assert tokens == plain(library, text)
+        widened += n
+    assert widened > 5
