@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -39,7 +40,10 @@ def test_edge_rows(edge, edge_rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_links_lose_none(spark):
+@pytest.mark.parametrize(("long", "bits"), [(2048, 2), (8, 2), (8, 1), (8, 3)])
+def test_links_lose_none(spark, monkeypatch, long, bits):
+    """All links of the brute force and no others connect, by tallied lists and by split ones."""
+    monkeypatch.setattr(simhash, "LONG", long)
     r = random.Random(7)
     fps = set()
     for _ in range(40):  # families of close fingerprints, long chains among them
@@ -51,9 +55,9 @@ def test_links_lose_none(spark):
     fps |= {x ^ (1 << a) ^ (1 << b) for a, b in combinations(range(16), 2)}  # one full posting list
     fps = [simhash.signed(x) for x in fps]
     mask = (1 << 64) - 1
-    want = components(fps, [(a, b) for a, b in combinations(fps, 2) if ((a ^ b) & mask).bit_count() <= 2])
-    found = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp bigint"), 2).collect()
-    assert all(0 < ((p.a ^ p.b) & mask).bit_count() <= 2 for p in found)
+    want = components(fps, [(a, b) for a, b in combinations(fps, 2) if ((a ^ b) & mask).bit_count() <= bits])
+    found = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp bigint"), bits).collect()
+    assert all(p.a != p.b and want[p.a] == want[p.b] for p in found)
     assert components(fps, [(p.a, p.b) for p in found]) == want
 
 
@@ -69,3 +73,10 @@ def test_fingerprint_in_steps(monkeypatch):
     text = " ".join(map(str, range(5000)))
     monkeypatch.setattr(simhash, "TALLY", 100)
     assert simhash.fingerprint(text.encode()) & (1 << 64) - 1 == plain_fingerprint(text)
+
+
+def test_tally_of_shared_bytes(spark):
+    r = random.Random(2)
+    rows = [(simhash.signed(x), simhash.signed(x ^ r.getrandbits(64) & r.getrandbits(64) & r.getrandbits(64))) for x in (r.getrandbits(64) for _ in range(200))]
+    got = spark.createDataFrame(rows, "a bigint, b bigint").select("a", "b", simhash.shared_bytes(F.col("a"), F.col("b")).alias("n")).collect()
+    assert all(x.n == sum((x.a >> 8 * p) & 255 == (x.b >> 8 * p) & 255 for p in range(8)) for x in got)
