@@ -1,18 +1,19 @@
 """Language identification with a bit-sliced Bloom filter of n-grams.
 
-The filter has ``SLOTS`` slots of one bit for each language; an n-gram sets its language's bit in ``HASHES`` slots.
+The filter has slots of one bit for each language; an n-gram sets its language's bit in ``HASHES`` slots.
 One lookup, the AND of those slots, returns all languages that contain the n-gram. A text's
-n-grams (four bytes of its lower-cased letters, words apart by one space) are looked up, each language's hits
+n-grams (``GRAM`` bytes of its lower-cased letters, words apart by one space) are looked up, each language's hits
 counted, and corrected for the share of hits that its fill rate gives by chance: h' = (h / n - f) / (1 - f),
 f = fill ** HASHES. The language with the largest h' is predicted; the score is its share of all h'.
 
-Learning counts n-grams of all training texts by language in Spark. A language's filter has the n-grams with at
-least ``FLOOR`` of its occurrences (so at most 1 / FLOOR of them, which bounds what the driver builds and
-broadcasts) and at least ``SHARE`` of the highest rate that the n-gram has in any language.
+Every n-gram of every training text is in the filter. Spark gathers the different ones of each language and sets their
+bits in blocks of slots, so the driver and the workers hold the filter only. It has ``SLOTS_A_GRAM`` slots for
+each n-gram of the largest language, and at most ``FILTER_BYTES`` in all: beyond that it fills up and the correction
+takes more chance hits out.
 Defined results: null texts and those without a letter are ``und`` with score 0, as is everything if nothing
 was learned; a text with letters but no known n-gram gets the language with most training text, score 0; ties go to
-the language first by code points; a null id counts as the empty text in the split; rows without a language don't
-teach; repeated rows are predicted each; an empty table gives no rows; extra columns aren't read.
+the language with more training text, then the one first by code points; a null id counts as the empty text in the split;
+rows without a language don't teach; repeated rows are predicted each; an empty table gives no rows; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -23,9 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SLOTS, HASHES, FLOOR, SHARE, GRAM = 1 << 20, 3, 1e-5, 0.25, 4
-STEP = 1 << 21
+from .storage import written
+
+HASHES, GRAM, SLOTS_A_GRAM, FILTER_BYTES = 3, 5, 16, 128 << 20
+#: Slots of a block, N-grams handled at a time, and different ones that a worker holds of a language.
+BLOCK, STEP, HELD = 1 << 14, 1 << 21, 1 << 20
 UNDETERMINED = "und"
 _KEEP = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 # Odd factors of multiplicative hashing, fixed.
@@ -55,8 +60,8 @@ def steps(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def grams(held: list[bytes], numbers: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    b = np.frombuffer(b"".join(held), np.uint8).astype(np.uint32)
-    value = b[:-3] | b[1:-2] << 8 | b[2:-1] << 16 | b[3:] << 24
+    b = np.frombuffer(b"".join(held), np.uint8).astype(np.int64)
+    value = sum(b[j : len(b) - GRAM + 1 + j] << 8 * j for j in range(GRAM))
     lengths = np.array([len(x) for x in held])
     keep = np.ones(len(b), bool)
     ends = np.cumsum(lengths)
@@ -65,22 +70,33 @@ def grams(held: list[bytes], numbers: list[int]) -> tuple[np.ndarray, np.ndarray
     return value[keep[: len(value)]], np.repeat(numbers, lengths - GRAM + 1)
 
 
-def slots(value: np.ndarray) -> list[np.ndarray]:
-    return [(value.astype(np.uint64) * f >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype(np.int64) for f in _FACTORS[:HASHES]]
+def slots(value: np.ndarray, n: int) -> list[np.ndarray]:
+    """The slots of each n-gram in a filter of ``n`` (a power of two)."""
+    return [(value.astype(np.uint64) * f >> np.uint64(64 - (n.bit_length() - 1))).astype(np.int64) for f in _FACTORS[:HASHES]]
+
+
+def plane_kind(languages: int) -> np.dtype:
+    """The narrowest word with a bit for each language; over 64 languages have a plane for each 64."""
+    return np.dtype(next(k for n, k in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (10**9, np.uint64)) if languages <= n))
+
+
+def filter_slots(languages: int, largest: int) -> int:
+    """A power of two: ``SLOTS_A_GRAM`` for each n-gram of the largest language, within ``FILTER_BYTES`` in all."""
+    most = FILTER_BYTES // (-(-languages // 64) * plane_kind(languages).itemsize) if languages else BLOCK
+    n = BLOCK
+    while n < SLOTS_A_GRAM * largest and 2 * n <= most:
+        n *= 2
+    return n
 
 
 class LanguageFilter:
-    """``planes``: for each 64 languages a uint64 for every slot."""
-
-    def __init__(self, languages: list[str], found: list[np.ndarray], usual: int = 0):
-        self.languages, self.usual = languages, usual
-        self.planes = np.zeros((max(1, -(-len(languages) // 64)), SLOTS), np.uint64)
-        fill = []
-        for k, value in enumerate(found):
-            plane, bit = self.planes[k // 64], np.uint64(1 << k % 64)
-            for s in slots(value):
-                plane[s] |= bit
-            fill.append(np.count_nonzero(plane & bit) / SLOTS)
+    """``planes``: for each 64 languages a word for every slot; ``sizes``: training n-grams by language."""
+
+    def __init__(self, languages: list[str], planes: np.ndarray, sizes: list[int]):
+        self.languages, self.planes, self.sizes = languages, planes, np.array(sizes)
+        self.n_slots = planes.shape[1]
+        bit = lambda k: planes.dtype.type(1 << k % 64)
+        fill = [np.count_nonzero(planes[k // 64] & bit(k)) / self.n_slots for k in range(len(languages))]
         self.chance = np.array(fill) ** HASHES
 
     def hits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,33 +104,32 @@ class LanguageFilter:
         hits, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
         for value, number in steps(texts):
             n += np.bincount(number, minlength=len(texts))
-            where = slots(value)
+            where = slots(value, self.n_slots)
             for p, plane in enumerate(self.planes):
                 all_of = plane[where[0]]
                 for s in where[1:]:
                     all_of &= plane[s]
                 for k in range(64 * p, min(len(self.languages), 64 * p + 64)):
-                    of = number[(all_of >> np.uint64(k % 64) & np.uint64(1)).astype(bool)]
+                    of = number[(all_of >> plane.dtype.type(k % 64) & plane.dtype.type(1)).astype(bool)]
                     hits[:, k] += np.bincount(of, minlength=len(texts))
         return hits, n
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[dict[str, float]]]:
+        """The language, its score, and the corrected share of n-grams that each language has, by text."""
         hits, n = self.hits([letters(t or "") for t in texts])
-        rate = np.clip((hits / np.maximum(n, 1)[:, None] - self.chance) / (1 - self.chance), 0, 1)
-        total = rate.sum(1)
-        names, scores = [], []
+        rate = np.clip((hits / np.maximum(n, 1)[:, None] - self.chance) / np.maximum(1 - self.chance, 1e-9), 0, 1)
+        names, scores, rates = [], [], []
         for k, text in enumerate(texts):
+            total = rate[k].sum()
+            rates.append(dict(zip(self.languages, rate[k].tolist())))
             if not text or not self.languages or not any(map(str.isalpha, text)):
                 names.append(UNDETERMINED)
                 scores.append(0.0)
-            elif not total[k]:
-                names.append(self.languages[self.usual])
-                scores.append(0.0)
             else:
-                best = int(rate[k].argmax())
+                best = max(range(len(self.languages)), key=lambda j: (rate[k, j], self.sizes[j], -j))
                 names.append(self.languages[best])
-                scores.append(float(rate[k, best] / total[k]))
-        return names, scores
+                scores.append(float(rate[k, best] / total) if total else 0.0)
+        return names, scores, rates
 
 
 def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -131,13 +146,18 @@ def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                     held.setdefault(lang, []).append(np.unique(value, return_counts=True))
                     if len(held[lang]) >= 8:
                         held[lang] = [merged(held[lang])]
+                        if len(held[lang][0][0]) > HELD:
+                            yield of_counts(lang, *held.pop(lang)[0])
         for lang, parts in held.items():
-            value, n = merged(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(value), pa.string()), pa.array(value, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+            yield of_counts(lang, *merged(parts))
 
     return docs.select(text_col, lang_col).mapInArrow(of_batches, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def of_counts(lang: str, value: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(value), pa.string()), pa.array(value, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+
+
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     value, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     return value, np.bincount(where, np.concatenate([p[1] for p in parts])).astype(np.int64)
@@ -146,28 +166,61 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageFilter:
     """The filter of all labelled texts of ``docs``."""
     labelled = docs.filter(F.col(lang_col).isNotNull())
-    counts = gram_counts(labelled, text_col, lang_col)
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    rates = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total")).filter(F.col("rate") >= FLOOR)
-    highest = rates.groupBy("gram").agg(F.max("rate").alias("highest"))
-    # At most 1 / FLOOR rows for each language.
-    chosen = rates.join(highest, "gram").filter(F.col("rate") >= SHARE * F.col("highest")).groupBy("lang").agg(F.first("total").alias("total"), F.collect_list("gram").alias("grams")).collect()
-    known = {r["lang"]: r for r in chosen}
-    languages = sorted({r[0] for r in labelled.select(lang_col).distinct().collect()})
-    found = [np.array(known[x]["grams"] if x in known else [], np.uint32) for x in languages]
-    sizes = [known[x]["total"] if x in known else 0 for x in languages]
-    return LanguageFilter(languages, found, int(np.argmax(sizes)) if sizes else 0)
-
-
-def identify(docs: DataFrame, known: LanguageFilter, text_col: str = "text", keep: tuple[str | Column, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``keep`` and the predicted language and score, under ``names``, for every row of ``docs``."""
+    counts = written(gram_counts(labelled, text_col, lang_col), "language-grams")
+    known = {r["lang"]: r for r in counts.groupBy("lang").agg(F.sum("n").alias("size"), F.count("*").alias("grams")).collect()}
+    languages = sorted({r[0] for r in labelled.select(lang_col).distinct().collect()})  # a row for each language, some without an n-gram
+    sizes = [known[x]["size"] if x in known else 0 for x in languages]
+    n, kind = filter_slots(len(languages), max((r["grams"] for r in known.values()), default=0)), plane_kind(len(languages))
+    planes = np.zeros((max(1, -(-len(languages) // 64)), n), kind)
+    if known:
+        for r in filter_blocks(counts, languages, n).toArrow().to_pylist():
+            planes[r["plane"], r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["words"], kind)
+    return LanguageFilter(languages, planes, sizes)
+
+
+def filter_blocks(counts: DataFrame, languages: list[str], n: int) -> DataFrame:
+    """plane, block, words: the filter's blocks of ``BLOCK`` slots that have a bit set."""
+    number, kind = {x: k for k, x in enumerate(languages)}, plane_kind(len(languages))
+
+    def of_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.array([number[x] for x in batch.column(0).to_pylist()], np.int32)
+            for slot in slots(batch.column(1).to_numpy(), n):
+                yield pa.RecordBatch.from_arrays([pa.array((own // 64).astype(np.int32)), pa.array((slot // BLOCK).astype(np.int32)), pa.array((slot % BLOCK).astype(np.int32)), pa.array(own % 64)], names=["plane", "block", "slot", "bit"])
+
+    def of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, words = None, np.zeros(BLOCK, kind)
+        for batch in batches:
+            plane, block, slot, bit = (batch.column(k).to_numpy() for k in range(4))
+            at = np.flatnonzero(np.append(True, (plane[1:] != plane[:-1]) | (block[1:] != block[:-1]))[: len(plane)])
+            for a, b in zip(at.tolist(), [*at[1:].tolist(), len(plane)]):
+                if of not in (None, (int(plane[a]), int(block[a]))):
+                    yield of_block(*of, words)
+                    words = np.zeros(BLOCK, kind)
+                of = int(plane[a]), int(block[a])
+                np.bitwise_or.at(words, slot[a:b], kind.type(1) << bit[a:b].astype(kind))
+        if of is not None:
+            yield of_block(*of, words)
+
+    bits = counts.select("lang", "gram").mapInArrow(of_grams, "plane int, block int, slot int, bit int")
+    return bits.repartition("plane", "block").sortWithinPartitions("plane", "block").mapInArrow(of_blocks, "plane int, block int, words binary")
+
+
+def of_block(plane: int, block: int, words: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([plane], pa.int32()), pa.array([block], pa.int32()), pa.array([words.tobytes()], pa.binary())], names=["plane", "block", "words"])
+
+
+def identify(docs: DataFrame, known: LanguageFilter, text_col: str = "text", keep: tuple[str | Column, ...] = (), names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """``keep``, the predicted language and score and, if ``names`` has a third one, the share of n-grams by language, for every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.float64(), pa.map_(pa.string(), pa.float64()))
         for batch in batches:
-            found, scores = shared.value.predict(batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], *names])
+            found = shared.value.predict(batch.column(batch.num_columns - 1).to_pylist())
+            new = [pa.array([list(x.items()) for x in column] if k == 2 else column, kinds[k]) for k, column in enumerate(found[: len(names)])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], *names])
 
     rows = docs.select(*keep, F.col(text_col).alias("text of the row"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    return rows.mapInArrow(of_batches, kept + ", " * bool(kept) + f"`{names[0]}` string, `{names[1]}` double")
+    out = T.StructType(rows.schema.fields[:-1] + [T.StructField(n, k) for n, k in zip(names, (T.StringType(), T.DoubleType(), T.MapType(T.StringType(), T.DoubleType())))])
+    return rows.mapInArrow(of_batches, out)
