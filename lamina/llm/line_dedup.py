@@ -1,17 +1,23 @@
-"""Reversible line dedup: exact reference tables with sharded cuckoo filters in front.
+"""Reversible line dedup: exact reference-count tables with sharded cuckoo filters in front.
 
 A line's key is the line stripped of white space with A-Z lower-cased; keys of at least ``LEAST`` code
-points take part. The exact table has a row (128-bit digest, document) for each reference, so counts and the
-smallest document of a key are always recoverable and deleting a document undoes exactly what inserting
-it did. Keys are dealt to shards by digest. Each shard's cuckoo filter holds the keys with two documents
-or more: a key enters when its second document comes and leaves when one is left. Before the exact table is
-consulted, references pass their shard's filter; what it lets through by mistake the exact join removes.
-
-Probing is not one task per shard: a shard with many references is split into salted parts and its filter
-(about two bytes a key) goes to each part, where references stream past it. A hot line is split likewise.
-Defined results: a null or empty text is one empty line; a null id is one document that comes after all
-others; rows with the same id are one document; repeated lines of one document stay together; an
-empty table gives no rows; extra columns aren't read.
+points take part, as digests of 128 bits. The index has two exact tables: the references (key, document), from which
+anything can be recovered, and the counts (key, number of documents, smallest document). Keys are dealt to shards by
+digest, as many as keep ``SHARD_KEYS`` of them each, and a shard has two cuckoo filters: of all known keys, and of those
+with two documents or more.
+
+* Insertion: new keys pass the filter of known ones. What it doesn't let through is surely new and goes into the
+  tables unseen; only the rest is joined to the exact counts, which also tell what the filter let through by mistake.
+* Deletion: counts fall by what goes; a key without a document leaves both filters, one with a single document
+  the second; where the smallest document goes, the next one comes from the references.
+* Lookup: references pass the filter of repeated keys before they are joined to the exact counts.
+
+Deleting what was inserted gives the tables as they were. Probing isn't one task per shard: a shard with many
+rows is split into salted parts and its filter (about two bytes a key) goes to each part, where they stream past it.
+Keys with over ``HOT`` documents are few (at most references / HOT) and joined by broadcast, so a hot line isn't dealt to one task.
+Defined results: a null or empty text is one empty line; null ids are one document that comes after all
+others (its rows' dropped lines are kept apart by text); rows with the same id are one document; repeated lines
+of one document stay together; an empty table gives no rows; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -21,16 +27,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .storage import written
+from .storage import bounded_batches, written
 
-LEAST, SHARDS, PART_ROWS = 10, 64, 100_000
+LEAST, SHARD_KEYS, PART_ROWS, HOT = 10, 250_000, 100_000, 1_000
+#: Rows of the hot keys' table that is broadcast; a larger one is shuffled.
+NARROW = 1 << 20
 SLOTS, KICKS, LOAD = 4, 500, 0.85
-LAST = (1 << 63) - 1  # stands for a null id in the reference table
 WHITE = b" \t\n\x0b\x0c\r"
-REFS = "shard int, hi bigint, lo bigint, doc bigint"
+#: ``part`` tells rows of the null document apart by their text, and is 0 for others.
+REFS = "hi bigint, lo bigint, doc bigint, part bigint"
+COUNTS = "hi bigint, lo bigint, n bigint, owner bigint"
+FILTERS = "shard int, known binary, repeated binary"
 
 
 def line_key(line: bytes, least: int = LEAST) -> bytes | None:
@@ -116,118 +127,182 @@ class CuckooFilter:
         spare[bucket, np.flatnonzero(spare[bucket] == 0)[0]] = tag
 
     def delete(self, hi: np.ndarray, lo: np.ndarray) -> None:
-        """Deletes keys that are members."""
-        for h, v in zip(hi, lo):
-            for layer in reversed(self.layers):
-                tag, one, two = self.places(np.array([h]), np.array([v]), len(layer))
-                bucket = next((int(b[0]) for b in (one, two) if (layer[b[0]] == tag[0]).any()), None)
-                if bucket is not None:
-                    layer[bucket, np.flatnonzero(layer[bucket] == tag[0])[0]] = 0
+        """Deletes keys that are members, one of each bucket at a time."""
+        left = np.arange(len(hi))
+        for layer in reversed(self.layers):
+            for _ in range(KICKS):
+                tag, one, two = self.places(hi[left], lo[left], len(layer))
+                bucket = np.where((layer[one] == tag[:, None]).any(1), one, two)
+                match = layer[bucket] == tag[:, None]
+                here = np.flatnonzero(match.any(1))
+                if not len(here):
                     break
+                _, first = np.unique(bucket[here], return_index=True)
+                here = here[first]
+                layer[bucket[here], match[here].argmax(1)] = 0
+                left = np.delete(left, here)
 
 
-def references(docs: DataFrame, id_col: str, text_col: str, least: int, shards: int) -> DataFrame:
-    """``REFS``: a row for each distinct key of each row of ``docs``."""
+def references(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """``REFS``: a row for each distinct key of each document."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            digests, owners = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            digests, of = [], []
+            for k, text in enumerate(batch.column(2)):
                 if text.is_valid:
-                    found = {xxh3_128_digest(k) for line in text.as_buffer().to_pybytes().split(b"\n") if (k := line_key(line, least)) is not None}
+                    found = {xxh3_128_digest(key) for line in text.as_buffer().to_pybytes().split(b"\n") if (key := line_key(line, least)) is not None}
                     digests += found
-                    owners += [LAST if doc is None else doc] * len(found)
+                    of += [k] * len(found)
             pairs = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            shard = (pairs[:, 0].view(np.uint64) >> np.uint64(40)) % np.uint64(shards) if len(pairs) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(owners, pa.int64())], names=["shard", "hi", "lo", "doc"])
+            of = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), batch.column(0).take(of), batch.column(1).take(of)], names=["hi", "lo", "doc", "part"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc"), part_of(F.col(id_col), F.col(text_col)).alias("part"), text_col).mapInArrow(of_batches, REFS).distinct()
+
+
+def part_of(doc: Column, text: Column) -> Column:
+    return F.when(doc.isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(of_batches, REFS)
 
+def counted(refs: DataFrame) -> DataFrame:
+    """``COUNTS``: documents of each key (those without an id are one), and the smallest."""
+    nulls = F.max(F.when(F.col("doc").isNull(), 1).otherwise(0))
+    return refs.groupBy("hi", "lo").agg((F.count("doc") + nulls).cast("long").alias("n"), F.min("doc").alias("owner"))
 
-def spans(refs: DataFrame, name: str) -> DataFrame:
-    """shard, hi, lo and the smallest and largest document of each key: it repeats if they differ."""
-    return refs.groupBy("shard", "hi", "lo").agg(F.min("doc").alias(f"{name}_least"), F.max("doc").alias(f"{name}_most"))
+
+def shard_of(shards: int) -> Column:
+    return F.pmod(F.shiftrightunsigned("hi", 40), F.lit(shards)).cast("int").alias("shard")
 
 
 @dataclass(frozen=True)
 class LineIndex:
-    """One version of the index: both tables are written, and older versions stay as they were."""
+    """One version of the index: its tables are written, and older versions stay as they were."""
 
     refs: DataFrame
+    counts: DataFrame
     filters: DataFrame
-    shards: int = SHARDS
+    shards: int = 0
     least: int = LEAST
 
     @staticmethod
-    def empty(spark: SparkSession, shards: int = SHARDS, least: int = LEAST) -> LineIndex:
-        return LineIndex(spark.createDataFrame([], REFS), spark.createDataFrame([], "shard int, filter binary"), shards, least)
+    def empty(spark: SparkSession, least: int = LEAST) -> LineIndex:
+        bounded_batches(spark)
+        return LineIndex(*(spark.createDataFrame([], kind) for kind in (REFS, COUNTS, FILTERS)), 0, least)
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """The index after the lines of ``docs`` came in; ids that it has already must be deleted first."""
-        new = written(references(docs, id_col, text_col, self.least, self.shards), "line-refs")
-        touched = spans(new, "new")
-        had = spans(self.refs.join(touched.select("hi", "lo"), ["hi", "lo"], "left_semi").select("shard", "hi", "lo", "doc"), "old")
-        both = touched.join(had, ["shard", "hi", "lo"], "left")
-        was = F.coalesce(F.col("old_least") != F.col("old_most"), F.lit(False))
-        now = F.least("new_least", "old_least") != F.greatest("new_most", "old_most")
-        enters = both.filter(now & ~was).select("shard", "hi", "lo", F.lit(True).alias("enters"))
-        return LineIndex(self.refs.unionByName(new), self._updated(enters), self.shards, self.least)
+        new = written(references(docs, id_col, text_col, self.least), "line-refs")
+        came = written(counted(new), "line-came")
+        if not self.shards:
+            return LineIndex(self.refs.unionByName(new), came, self.filters, 0, self.least)._with_filters(came)
+        maybe = written(self._probed(came.select("hi", "lo", "n", "owner"), "known"), "line-probed")
+        old = self.counts.join(maybe.filter("held").select("hi", "lo"), ["hi", "lo"], "left_semi").select("hi", "lo", F.col("n").alias("old_n"), F.col("owner").alias("old_owner"))
+        both = maybe.filter("held").join(old, ["hi", "lo"], "left").select("hi", "lo", "n", "owner", F.coalesce("old_n", F.lit(0).cast("long")).alias("old_n"), "old_owner")
+        sure = maybe.filter("NOT held").select("hi", "lo", "n", "owner", F.lit(0).cast("long").alias("old_n"), F.lit(None).cast("long").alias("old_owner"))
+        total = F.col("n") + F.col("old_n")
+        changed = written(both.unionByName(sure).select("hi", "lo", total.alias("n"), F.least("owner", "old_owner").alias("owner"), "old_n"), "line-changed")
+        counts = written(self.counts.join(changed.filter("old_n > 0"), ["hi", "lo"], "left_anti").unionByName(changed.drop("old_n")), "line-counts")
+        return LineIndex(self.refs.unionByName(new), counts, self.filters, self.shards, self.least)._with_filters(changed)
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
         """The index after the documents of ``ids`` went."""
-        gone = ids.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc")).distinct()
-        touched = self.refs.join(gone, "doc", "left_semi").select("hi", "lo").distinct()
-        left = written(self.refs.join(gone, "doc", "left_anti").select("shard", "hi", "lo", "doc"), "line-refs")
-        of_touched = lambda refs, name: spans(refs.join(touched, ["hi", "lo"], "left_semi").select("shard", "hi", "lo", "doc"), name)
-        both = of_touched(self.refs, "old").join(of_touched(left, "new"), ["shard", "hi", "lo"], "left")
-        leaves = both.filter((F.col("old_least") != F.col("old_most")) & F.coalesce(F.col("new_least") == F.col("new_most"), F.lit(True)))
-        return LineIndex(left, self._updated(leaves.select("shard", "hi", "lo", F.lit(False).alias("enters"))), self.shards, self.least)
-
-    def _updated(self, changes: DataFrame) -> DataFrame:
-        """Filters after ``changes``; a group is one shard's keys that begin or cease to repeat."""
-
-        def of_shard(old: pa.Table, new: pa.Table) -> pa.Table:
-            number = (old if old.num_rows else new)["shard"][0].as_py()
-            f = CuckooFilter.load(old["filter"][0].as_py() if old.num_rows else None)
-            enters = new["enters"].to_numpy().astype(bool)
-            hi, lo = new["hi"].to_numpy(), new["lo"].to_numpy()
-            f.delete(hi[~enters], lo[~enters])
-            f.insert(hi[enters], lo[enters])
-            return pa.table({"shard": pa.array([number], pa.int32()), "filter": pa.array([f.dump()], pa.binary())})
-
-        return written(self.filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(of_shard, "shard int, filter binary"), "line-filters")
-
-    def candidates(self) -> DataFrame:
-        """References whose key may repeat, by the filters."""
-        parts = written(self.refs.groupBy("shard").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")), "line-parts")
-        refs = self.refs.join(parts, "shard").select("shard", F.pmod(F.xxhash64("doc"), F.col("parts")).alias("part"), F.lit(1).alias("kind"), "hi", "lo", "doc", F.lit(None).cast("binary").alias("filter"))
-        none = [F.lit(None).cast("long").alias(c) for c in ("hi", "lo", "doc")]
-        filters = self.filters.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), F.lit(0).alias("kind"), *none, "filter")
+        gone = written(ids.select(F.col(id_col).cast("long").alias("gone")).distinct(), "line-gone")
+        same = F.col("doc").eqNullSafe(F.col("gone"))
+        left = written(self.refs.join(gone, same, "left_anti"), "line-refs")
+        went = counted(self.refs.join(gone, same, "left_semi")).withColumnsRenamed({"n": "old", "owner": "was"})
+        touched = written(self.counts.join(went, ["hi", "lo"]).select("hi", "lo", F.col("n").alias("old_n"), (F.col("n") - F.col("old")).alias("n"), "owner", F.col("was").eqNullSafe(F.col("owner")).alias("lost")), "line-touched")
+        # Only where the smallest document went are the references asked.
+        orphans = touched.filter("n > 0 AND lost").select("hi", "lo")
+        next_owner = left.join(orphans, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.min("doc").alias("next"))
+        changed = touched.join(next_owner, ["hi", "lo"], "left").select("hi", "lo", "n", F.when(F.col("lost"), F.col("next")).otherwise(F.col("owner")).alias("owner"), "old_n")
+        changed = written(changed, "line-changed")
+        counts = written(self.counts.join(changed, ["hi", "lo"], "left_anti").unionByName(changed.filter("n > 0").drop("old_n")), "line-counts")
+        return LineIndex(left, counts, self.filters, self.shards, self.least)._with_filters(changed)
+
+    def _with_filters(self, changed: DataFrame) -> LineIndex:
+        """The filters after ``changed`` (``COUNTS`` and old_n); built anew from the counts where shards have grown too large."""
+        n_keys = self.counts.count()
+        shards = self.shards
+        if n_keys > 2 * SHARD_KEYS * shards or not shards:
+            shards, changed = max(1, -(-n_keys // SHARD_KEYS)), self.counts
+            filters = None
+        else:
+            filters = self.filters
+        if "old_n" not in changed.columns:
+            changed = changed.withColumn("old_n", F.lit(0).cast("long"))
+        keys = changed.select(shard_of(shards), "hi", "lo", "n", "old_n")
+
+        def of_shard(old: pa.Table | None, new: pa.Table) -> pa.Table:
+            held = {name: CuckooFilter.load(old[name][0].as_py() if old is not None and old.num_rows else None) for name in ("known", "repeated")}
+            if new.num_rows:
+                hi, lo, n, was = (new[c].to_numpy() for c in ("hi", "lo", "n", "old_n"))
+                for f, least in zip(held.values(), (1, 2)):
+                    leaves, enters = (was >= least) & (n < least), (was < least) & (n >= least)
+                    f.delete(hi[leaves], lo[leaves])
+                    f.insert(hi[enters], lo[enters])
+            number = (new if new.num_rows else old)["shard"][0].as_py()
+            return pa.table({"shard": pa.array([number], pa.int32()), **{name: pa.array([f.dump()], pa.binary()) for name, f in held.items()}})
+
+        if filters is None:
+            made = keys.groupBy("shard").applyInArrow(lambda new: of_shard(None, new), FILTERS)  # about SHARD_KEYS keys in a group
+        else:
+            made = filters.groupBy("shard").cogroup(keys.groupBy("shard")).applyInArrow(of_shard, FILTERS)
+        return LineIndex(self.refs, self.counts, written(made, "line-filters"), shards, self.least)
+
+    def _probed(self, keys: DataFrame, which: str) -> DataFrame:
+        """``keys`` (hi, lo and others) with ``held``: whether their shard's filter of that name has them."""
+        rows = keys.select("*", shard_of(self.shards))
+        parts = written(rows.groupBy("shard").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")), "line-parts")
+        turn = F.pmod(F.xxhash64(*keys.columns), F.col("parts")).alias("turn")
+        rows = rows.join(F.broadcast(parts), "shard").select("shard", turn, F.lit(1).alias("kind"), *keys.columns, F.lit(None).cast("binary").alias("filter"))  # a row for each shard
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("turn")
+        filters = self.filters.join(F.broadcast(parts), "shard").select("shard", each, F.lit(0).alias("kind"), *(F.lit(None).cast(keys.schema[c].dataType).alias(c) for c in keys.columns), F.col(which).alias("filter"))
+        names = keys.columns
 
         def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, of = CuckooFilter(), None
             for batch in batches:
-                shard, part, kind, hi, lo = (batch.column(k).fill_null(0).to_numpy() for k in range(5))
-                at = np.flatnonzero(np.concatenate(([True], (shard[1:] != shard[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1]))))
+                shard, part, kind = (batch.column(k).to_numpy() for k in range(3))
+                hi, lo = (batch.column(c).fill_null(0).to_numpy() for c in ("hi", "lo"))
+                at = np.flatnonzero(np.append(True, (shard[1:] != shard[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1]))[: len(shard)])
                 for a, b in zip(at.tolist(), [*at[1:].tolist(), len(shard)]):
                     if kind[a] == 0:
-                        held, of = CuckooFilter.load(batch.column(6)[a].as_py()), (shard[a], part[a])
-                    elif of == (shard[a], part[a]):
-                        yes = held.contains(hi[a:b], lo[a:b])
-                        yield batch.slice(a, b - a).filter(pa.array(yes)).select(["shard", "hi", "lo", "doc"])
+                        held, of = CuckooFilter.load(batch.column("filter")[a].as_py()), (shard[a], part[a])
+                        continue
+                    yes = held.contains(hi[a:b], lo[a:b]) if of == (shard[a], part[a]) else np.zeros(b - a, bool)
+                    own = batch.slice(a, b - a)
+                    yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names), pa.array(yes)], names=[*names, "held"])
+
+        dealt = rows.unionByName(filters).repartition("shard", "turn").sortWithinPartitions("shard", "turn", "kind")
+        return dealt.mapInArrow(of_batches, T.StructType([*keys.schema.fields, T.StructField("held", T.BooleanType())]))
 
-        dealt = refs.unionByName(filters).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
-        return dealt.mapInArrow(of_batches, REFS)
+    def candidates(self) -> DataFrame:
+        """References whose key may repeat, by the filters."""
+        return self._probed(self.refs, "repeated").filter("held").drop("held") if self.shards else self.refs
+
+    def drops(self) -> DataFrame:
+        """References (``REFS``) whose lines go: those of a key with two documents or more, but the smallest's."""
+        maybe = written(self.candidates(), "line-candidates")
+        repeated = self.counts.filter("n > 1").select(F.col("hi").alias("of_hi"), F.col("lo").alias("of_lo"), "n", "owner")
+        hot = written(repeated.filter(F.col("n") > HOT), "hot-lines")
+        n_hot = hot.count()
+        same = (F.col("hi") == F.col("of_hi")) & (F.col("lo") == F.col("of_lo"))
+        goes = ~F.col("doc").eqNullSafe(F.col("owner"))
+        if not 0 < n_hot <= NARROW:
+            return maybe.join(repeated, same).filter(goes).select(*maybe.columns)
+        marked = maybe.join(F.broadcast(hot), same, "left")
+        of_hot = marked.filter(F.col("n").isNotNull() & goes).select(*maybe.columns)
+        others = maybe.join(F.broadcast(hot), same, "left_anti").join(repeated.filter(F.col("n") <= HOT), same)
+        return of_hot.unionByName(others.filter(goes).select(*maybe.columns))
 
     def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``id_col``, n_lines, n_dropped, kept_text for rows of ``docs``, whose documents are in the index."""
-        maybe = written(self.candidates(), "line-candidates")
-        owners = spans(maybe, "key").filter("key_least < key_most").select("hi", "lo", F.col("key_least").alias("owner"))
-        drops = maybe.join(owners, ["hi", "lo"]).filter("doc != owner").select("doc", "lo", "hi").distinct()
-        drops = drops.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("drops"))  # lines of one document
-        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("doc", F.coalesce(F.col("id").cast("long"), F.lit(LAST)))
+        drops = self.drops().groupBy("doc", "part").agg(F.collect_list(F.struct("lo", "hi")).alias("drops"))  # lines of one document
+        drops = drops.select(F.col("doc").alias("of_doc"), F.col("part").alias("of_part"), "drops")
+        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc"), part_of(F.col(id_col), F.col(text_col)).alias("part"))
         least = self.least
 
         def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,6 +320,6 @@ class LineIndex:
                     kept.append(b"\n".join(lines))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_lines", "n_dropped", "kept_text"])
 
-        joined = rows.join(drops, "doc", "left").select("id", "text", "drops")
+        joined = rows.join(drops, F.col("doc").eqNullSafe(F.col("of_doc")) & (F.col("part") == F.col("of_part")), "left").select("id", "text", "drops")
         out = joined.mapInArrow(of_batches, f"id {docs.schema[id_col].dataType.simpleString()}, n_lines bigint, n_dropped bigint, kept_text string")
         return out.withColumnRenamed("id", id_col)
