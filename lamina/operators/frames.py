@@ -38,20 +38,57 @@ def generation_size(count: Column) -> Column:
     return F.when(count == 16, 16).otherwise(12)
 
 
-def family_parameters(family: Column, phase: Column) -> Column:
-    """map of the numbers that move a family's picture at ``phase`` (0 to 2 pi)."""
-    s, c = F.sin(phase), F.cos(phase)
-    squash = 1 + s * 0.22
-    numbers = {
-        "slime": {"scaleY": squash, "scaleX": 1 / F.sqrt(squash), "wobble": F.cos(phase * 2) * 5, "lookX": s * 6, "bob": (squash - 1) * 12},
-        "coin": {"width": F.abs(c), "shine": (s + 1) / 2},
-        "fire": {"sway": s * 8, "height": 1 + c * 0.15},
-        "slash": {"angle": phase * 180 / F.pi(), "trail": F.abs(s)},
-        "flyer": {"wing": s * 35, "altitude": c * 10},
-        "astral": {"angle": phase * 180 / F.pi(), "scale": 1 + s * 0.2},
-    }
+# The numbers that move a picture. A wave is base + amplitude * f(frequency * phase + shift) for f sin, cos or |cos|; a
+# line goes base + step * frame; a fall goes base - ((frame + ahead) * step) % span; a turn goes base + frame % span.
+FAMILIES = {
+    "slime": {"scaleY": ("sin", 1, 0.22, 1, 0), "wobble": ("cos", 0, 5, 2, 0), "lookX": ("sin", 0, 6, 1, 0), "bob": ("sin", 0, 2.64, 1, 0), "mouth": ("sin", 167, 2.5, 2, 0)},
+    "coin": {"shadow": ("sin", 68, 8.5, 1, 0), "face": ("cos", 0, 1, 1, 0), "rim": ("abscos", 0, 96, 1, 0), "core": ("abscos", 0, 72, 1, 0), "sheen": ("abscos", 0, 80, 1, 0), "glint": ("sin", -35, 15, 1, 0), "emblem": ("line", 0, 15)},
+    "fire": {
+        "pulse": ("sin", 34, 6, 4, 0), "p1X": ("cos", 128, 42, 2.2, 0), "p1Y": ("sin", 120, 30, 1.5, -math.pi / 4), "p1Size": ("cos", 15, 6, 1, 0), "p2X": ("cos", 128, 48, 1.8, math.pi), "p2Y": ("sin", 115, 35, 2.1, math.pi / 3), "p2Size": ("sin", 13, 5, 1, 0),
+        "node1X": ("cos", 112, 10, 3, 0), "node1Y": ("fall", 100, 0, 6, 65), "node1Size": ("turn", 2, 3), "node2X": ("sin", 144, 12, 2, 0), "node2Y": ("fall", 110, 4, 6, 70), "node2Size": ("turn", 1.5, 2.5),
+    },
+    "slash": {"angle": ("sin", -45, 180, 0.5, 0), "shadowOpacity": ("sin", 0.3, -0.3, 0.5, 0), "arcY": ("sin", 80, -40, 0.5, 0), "arcWidth": ("sin", 12, 8, 0.5, 0)},
+    "flyer": {"bob": ("cos", 0, 14, 1, 0), "shadow": ("cos", 58, -9.8, 1, 0), "shadowOpacity": ("cos", 0.22, -0.07, 1, 0), "wing1": ("sin", 120, 75, 1, 0), "wing2": ("sin", 120, -55, 1, 0), "wing3": ("sin", 120, -25, 1, 0), "wing4": ("sin", 120, -5, 1, 0), "wing5": ("sin", 120, 10, 1, 0)},
+    "astral": {"pulse": ("sin", 1, 0.12, 2, 0), "spin": ("sweep", 0, 360)},
+}
+PRESETS = {
+    "slime": {"scaleY": ("sin", 1, 0.2, 1, 0), "wobble": ("cos", 0, 4, 2, 0), "lookX": ("sin", 0, 8, 1, 0), "bob": ("sin", 0, 3, 1, 0), "mouth": ("sin", 166, 3, 2, 0)},
+    "coin": {"shadow": ("sin", 72, 9, 1, 0), "face": ("cos", 0, 1, 1, 0), "rim": ("abscos", 0, 100, 1, 0), "core": ("abscos", 0, 74, 1, 0), "sheen": ("abscos", 0, 84, 1, 0), "glint": ("sin", -30, 15, 1, 0), "reflection": ("cos", 128, 60, 1, 0)},
+    "bat": {"bob": ("cos", 0, 12, 1, 0), "shadow": ("cos", 60, -9.6, 1, 0), "shadowOpacity": ("cos", 0.25, -0.096, 1, 0), "wing1": ("sin", 125, 90, 1, 0), "wing2": ("sin", 125, -60, 1, 0), "wing3": ("sin", 125, -30, 1, 0), "wing4": ("sin", 125, -10, 1, 0), "wing5": ("sin", 125, 15, 1, 0)},
+    "fire": {
+        "pulse": ("sin", 32, 4, 3, 0), "p1X": ("cos", 120, 40, 1, 0), "p1Y": ("sin", 128, 25, 2, 0), "p1Size": ("sin", 14, 6, 1, 0), "p2X": ("cos", 136, 45, 1, math.pi), "p2Y": ("sin", 120, 35, 1, math.pi), "p2Size": ("cos", 12, 5, 1, 0),
+        "ring1": ("line", -15, 10), "ring2": ("line", 30, -15), "tail": ("line", 0, 30), "spark1X": ("sin", 110, 10, 1, 1), "spark1Y": ("fall", 100, 0, 4, 60), "spark1Size": ("turn", 2, 3), "spark1Opacity": ("sin", 0.6, 0.4, 1, 0),
+        "spark2X": ("cos", 140, 8, 1, 3), "spark2Y": ("fall", 110, 6, 4, 65), "spark2Size": ("turn", 1, 4), "spark2Opacity": ("cos", 0.5, 0.5, 1, 0),
+    },
+}
+PRESET_FRAMES = {"slime": 12, "coin": 12, "bat": 16, "fire": 12}
+
+
+def number_at(rule: tuple, frame: Column, count: Column) -> Column:
+    """A number of the tables above at ``frame`` of ``count``."""
+    kind, base, *r = rule
+    if kind == "line":
+        return base + frame * r[0]
+    if kind == "sweep":
+        return base + frame * (r[0] / count)
+    if kind == "fall":
+        return base - ((frame + r[0]) * r[1]) % r[2]
+    if kind == "turn":
+        return base + frame % F.lit(r[0])
+    wave = {"sin": F.sin, "cos": F.cos, "abscos": lambda x: F.abs(F.cos(x))}[kind]
+    return base + r[0] * wave(frame * (2 * math.pi) / count * r[1] + r[2])
+
+
+def parameters(tables: dict, family: Column, frame: Column, count: Column) -> Column:
+    """map of the numbers of a family's picture. Widths that keep a slime's volume and a slash's visible sweep follow from the others."""
     out = F.create_map().cast("map<string,double>")
-    for name, values in reversed(numbers.items()):
+    for name, rules in tables.items():
+        values = {k: number_at(rule, frame, count) for k, rule in rules.items()}
+        if name == "slime":
+            values |= {"scaleX": 1 / F.sqrt(values["scaleY"]), "shadowX": 75 / F.sqrt(values["scaleY"]), "shadowY": 12 * (2 - values["scaleY"])}
+        if name == "slash":
+            done = frame / count
+            values |= {"sweepOpacity": F.when(done.between(0.2, 0.7), 0.7 - F.abs(done - 0.45) * 1.5).otherwise(0.0), "flash": F.when((done > 0.4) & (done < 0.6), 1.0).otherwise(0.0)}
         out = F.when(family == name, F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v.cast("double"))))).otherwise(out)
     return out
 
@@ -60,21 +97,42 @@ def procedural(prompts: DataFrame, prompt: str, count: Column) -> DataFrame:
     """A row for each frame of each prompt: family, phase and the numbers of its picture."""
     rows = per_frame(prompts.withColumn("family", animation_family(F.col(prompt))), count)
     phase = F.col("frame") * 2 * math.pi / count
-    return rows.withColumn("phase", phase).withColumn("parameters", family_parameters(F.col("family"), F.col("phase")))
+    return rows.withColumn("phase", phase).withColumn("parameters", parameters(FAMILIES, F.col("family"), F.col("frame"), count))
 
 
-def preset_frames(spark, counts: dict[str, int]) -> DataFrame:
-    """Frames of the built-in loops (family: frames), by the same rules as generated ones."""
-    rows = spark.createDataFrame(list(counts.items()), "family string, n int")
-    rows = per_frame(rows, F.col("n")).withColumn("phase", F.col("frame") * 2 * math.pi / F.col("n"))
-    return rows.withColumn("parameters", family_parameters(F.col("family"), F.col("phase")))
+def preset_frames(spark, counts: dict[str, int] = PRESET_FRAMES) -> DataFrame:
+    """Frames of the built-in loops (family: frames)."""
+    rows = per_frame(spark.createDataFrame(list(counts.items()), "family string, n int"), F.col("n"))
+    return rows.withColumn("parameters", parameters(PRESETS, F.col("family"), F.col("frame"), F.col("n")))
+
+
+# Words of a prompt that ask for an effect, and the effects' colours.
+WALKING, FIERY, MAGIC = "walk|walking|run|走|行走|跑", "fire|flame|火", "magic|spell|cast|glow|spark|魔法|光|粒子|施法"
+PARTICLES, FIRE_COLOURS, MAGIC_COLOURS = 8, ("#ffd166", "#ff6a2a"), ("#f6d365", "#64d8ff")
 
 
 def reference_motion(rows: DataFrame, prompt: str, count: Column, columns: Column) -> DataFrame:
-    """Frames of a reference image moved within limits, on a grid; walking needs a rig and is an error row."""
+    """Frames of a reference image moved within limits, on a grid, with shadow and effects; walking needs a rig and is an error row."""
+    said = F.lower(F.coalesce(F.col(prompt), F.lit("")))
     r = windows(rows.withColumn("motion", motion(F.col(prompt))), count, columns, F.lit(256), F.lit(256))
-    walks = F.col("motion") == "walk"
-    return r.withColumn("error", F.when(walks, "walking needs more than one reference image")).withColumn("move", F.when(~walks, restrained(harmonic(F.col("motion"), F.col("frame"), count))))
+    walks, fiery = said.rlike(WALKING), said.rlike(FIERY)
+    r = r.withColumn("error", F.when(walks, "walking needs more than one reference image")).withColumn("move", F.when(~walks, restrained(harmonic(F.col("motion"), F.col("frame"), count))))
+    phase = F.col("frame") * (2 * math.pi) / count
+    spark = lambda x, y, size, opacity, colour: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), size.cast("double").alias("size"), opacity.cast("double").alias("opacity"), colour.alias("colour"))
+
+    def particle(p):
+        turn = phase + p * (2 * math.pi / PARTICLES)
+        reach = 58 + F.sin(phase + p) * 8
+        colour = F.when(fiery, F.when(p % 2 == 1, FIRE_COLOURS[1]).otherwise(FIRE_COLOURS[0])).otherwise(F.when(p % 2 == 1, MAGIC_COLOURS[1]).otherwise(MAGIC_COLOURS[0]))
+        return spark(128 + F.cos(turn) * reach, 124 + F.sin(turn * 1.15) * reach * 0.55, 2.5 + p % 3, F.lit(0.82), colour)
+
+    glow = F.greatest(F.lit(0.0), F.sin(phase))
+    slash = F.array(*(spark(F.lit(x), F.lit(y), F.lit(w), least + glow * more, F.lit(c)) for x, y, w, least, more, c in ((54, 176, 8, 0.22, 0.45, "#f8fbff"), (64, 184, 3, 0.25, 0.55, "#56c7ff"))))
+    dot = F.array(spark(92 + F.sin(phase) * 6, F.lit(82), F.lit(3), F.lit(0.5), F.lit("#ffffff")))
+    many = F.transform(F.sequence(F.lit(0), F.lit(PARTICLES - 1)), particle)
+    effects = F.when(F.col("move.effect") == "slash", slash).when((F.col("move.effect") == "magic") | fiery | said.rlike(MAGIC), many).otherwise(dot)
+    shadow = 58 * (1 - F.least(F.lit(0.28), F.abs(F.col("move.y")) / 120))
+    return r.withColumn("shadow", shadow).withColumn("effects", F.when(~walks, effects))
 
 
 def sliced(rows: DataFrame, sheet: str, count: Column, columns: Column, side: int = 256) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A side is broadcast up to so many bytes by Spark's own estimate; beyond that both sides are shuffled.
 BROADCAST_BYTES = 64 << 20
+# Layers that are drawn as sprites.
+VISUAL_TYPES = ("sprite", "effect", "foreground")
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -61,12 +63,12 @@ def flatten_clips(layers: DataFrame, assets: DataFrame) -> DataFrame:
     return rows.withColumn("sprite", F.coalesce("clip.sprite", "assetSprite"))
 
 
-def nearest_in_reach(points: DataFrame, boxes: DataFrame, point_key: str, distance: Column, reach: Column, order: list[str], block: Column | None = None) -> DataFrame:
+def nearest_in_reach(points: DataFrame, boxes: DataFrame, point_key: str, distance: Column, reach: Column, order: list[str], block: Column) -> DataFrame:
     """The nearest box of each point, then only those within that box's own ``reach``: a farther one never steps in.
 
-    ``points`` is a small stated set (one player a scene). With ``block``, a condition that holds for all that can meet, it is an equi-join.
+    ``block`` is a condition that holds for all that can meet (the same scene, a neighbouring tile): an equi-join.
     """
-    pairs = small(points).join(boxes, F.lit(True) if block is None else block).withColumn("distance", distance).withColumn("reach", reach)
+    pairs = small(points).join(boxes, block).withColumn("distance", distance).withColumn("reach", reach)
     every = F.struct(*(F.col(c) for c in pairs.columns if c != point_key))
     best = pairs.groupBy(point_key).agg(F.min_by(every, F.struct("distance", *order)).alias("x"))
     return best.select(point_key, "x.*").filter("distance <= reach")
@@ -77,16 +79,17 @@ def missing_rows(templates: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return rows.unionByName(templates.join(rows.select(key), key, "left_anti").select(*rows.columns))
 
 
-def binding_match(layers: DataFrame, keys: DataFrame) -> DataFrame:
-    """(code) -> first visible layer with a keyboard clip for it, letter case aside; else first layer with an own binding and no clips.
+def binding_match(layers: DataFrame, keys: DataFrame, assets: DataFrame) -> DataFrame:
+    """(code) -> first visible drawn layer whose asset has a keyboard clip for it, letter case aside; else the first asset without clips that is bound to it.
 
-    ``layers``: ordinal, layer_id, visible, animations, binding.
+    ``layers``: ordinal, layer_id, type, visible, animations; ``assets``: ordinal, id, animations, binding.
     """
-    shown = layers.filter("visible")
-    clips = shown.select("ordinal", "layer_id", F.posexplode("animations").alias("n", "clip")).filter("clip.binding.triggerType = 'keyboard'").select(F.lit(0).alias("tier"), "ordinal", "n", "layer_id", F.col("clip.id").alias("clip_id"), F.lower("clip.binding.triggerValue").alias("k"))
-    own = shown.filter((F.coalesce(F.array_size("animations"), F.lit(0)) == 0) & (F.col("binding.triggerType") == "keyboard")).select(F.lit(1).alias("tier"), "ordinal", F.lit(0).alias("n"), "layer_id", F.lit(None).cast("string").alias("clip_id"), F.lower("binding.triggerValue").alias("k"))
+    shown = layers.filter(F.col("visible") & F.col("type").isin(*VISUAL_TYPES))
+    none = F.lit(None).cast("string")
+    clips = shown.select("ordinal", "layer_id", F.posexplode("animations").alias("n", "clip")).filter("clip.binding.triggerType = 'keyboard'").select(F.lit(0).alias("tier"), "ordinal", "n", "layer_id", F.col("clip.id").alias("clip_id"), none.alias("asset_id"), F.lower("clip.binding.triggerValue").alias("k"))
+    own = assets.filter((F.coalesce(F.array_size("animations"), F.lit(0)) == 0) & (F.col("binding.triggerType") == "keyboard")).select(F.lit(1).alias("tier"), "ordinal", F.lit(0).alias("n"), none.alias("layer_id"), none.alias("clip_id"), F.col("id").alias("asset_id"), F.lower("binding.triggerValue").alias("k"))
     met = keys.withColumn("k", F.lower("code")).join(clips.unionByName(own), "k")
-    return met.groupBy("code").agg(F.min_by(F.struct("layer_id", "clip_id"), F.struct("tier", "ordinal", "n")).alias("x")).select("code", "x.*")
+    return met.groupBy("code").agg(F.min_by(F.struct("layer_id", "clip_id", "asset_id"), F.struct("tier", "ordinal", "n")).alias("x")).select("code", "x.*")
 
 
 def owner_of_sprite(assets: DataFrame, sprite_id: str) -> DataFrame:

@@ -75,6 +75,13 @@ def tail(array: Column, n: int) -> Column:
     return F.slice(array, F.greatest(F.size(array) - (n - 1), F.lit(1)), n)
 
 
+def ends(rows: DataFrame, key: str, order: list[Column], value: Column, n: int, last: bool = False) -> DataFrame:
+    """``key``, values: the first (or last) ``n`` values of each key, in order. Rows are ranked first, so only ``n`` of a key are gathered."""
+    turned = [F.struct(*order).desc()] if last else [F.struct(*order).asc()]
+    ranked = rows.select(key, F.struct(*order).alias("at"), value.alias("v"), F.row_number().over(Window.partitionBy(key).orderBy(*turned)).alias("rank")).filter(F.col("rank") <= n)
+    return ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("s")).select(key, F.transform("s", lambda x: x["v"]).alias("values"))
+
+
 def head_and_more(array: Column, n: int) -> Column:
     return F.struct(F.slice(array, 1, n).alias("shown"), F.greatest(F.lit(0), F.size(array) - n).alias("more"))
 

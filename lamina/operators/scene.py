@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
-from ..functions.numbers import clamp, fixed, lit, or_default, text_or
+from ..functions.numbers import clamp, fixed, layer_scale, lit, or_default, round_half_up, text_or
+from ..sources import builtin
+from .lookup import VISUAL_TYPES, first_match, priority_clip
 
 # Fixed values of the editor.
-VISUAL_TYPES = ("sprite", "effect", "foreground")
 INTERACTION_TAGS = ("interactable", "interaction-trigger", "inspect-hotspot")
 BUILT_IN_PREFIX = "asset_scene_"
 INTERACTION_DEFAULTS = {
@@ -82,7 +83,8 @@ def resized(scenes: DataFrame, width: Column, height: Column, fallback: float =
         return F.when(x["type"] == "background", done).otherwise(x)
 
     view_w = F.least(want_w, new_w)
-    return scenes.withColumns({"layers": F.transform("layers", one), "cameraX": clamp(F.col("cameraX"), 0.0, F.greatest(F.lit(0.0), new_w - view_w)), "viewportWidth": view_w, "viewportHeight": want_h, "width": new_w, "height": new_h})
+    # Layers first, in a step of their own: inside a lambda, names would mean the new columns of the same step.
+    return scenes.withColumn("layers", F.transform("layers", one)).withColumns({"cameraX": clamp(F.col("cameraX"), 0.0, F.greatest(F.lit(0.0), new_w - view_w)), "viewportWidth": view_w, "viewportHeight": want_h, "width": new_w, "height": new_h})
 
 
 def interaction_of(layer: Column, asset: Column) -> Column:
@@ -95,11 +97,15 @@ def interaction_of(layer: Column, asset: Column) -> Column:
     return F.when(tagged | own.isNotNull(), F.struct(*values))
 
 
-def with_preset(interaction: Column, preset: Column, bounds: Column) -> Column:
-    """A preset's fields over an interaction's; a zone that neither gives is the layer's box."""
-    names = ("preset", "actionType", "promptText", "subtitle", "triggerRadius", "zoneWidth", "zoneHeight")
-    box = {"zoneWidth": bounds["width"], "zoneHeight": bounds["height"]}
-    return patched(interaction, {n: F.coalesce(preset[n], interaction[n], *([box[n]] if n in box else [])) for n in names} | {"enabled": F.lit(True)})
+def with_preset(interaction: Column, preset: Column, bounds: Column, layer_name: Column) -> Column:
+    """A preset's fields over an interaction's. A zone that neither gives is the layer's box, or 160 by 120; what is picked up or set is named after the layer."""
+    names = ("preset", "triggerMode", "actionType", "promptText", "subtitle", "failSubtitle", "showText", "hideLayerOnPickup")
+    key = text.safe_name(text.text_or(layer_name, preset["label"]))
+    side = lambda own, box, least: or_default(own, round_half_up(or_default(box, least)).cast("double"))
+    named = {"itemId": "pickup", "setStateKey": "conditional"}
+    changes = {n: F.coalesce(preset[n], interaction[n]) for n in names} | {n: F.when(preset["preset"] == kind, text.text_or(interaction[n], key)).otherwise(interaction[n]) for n, kind in named.items()}
+    zone = {"zoneWidth": side(interaction["zoneWidth"], bounds["width"], 160.0), "zoneHeight": side(interaction["zoneHeight"], bounds["height"], 120.0)}
+    return patched(interaction, changes | zone | {"enabled": F.lit(True)})
 
 
 def light_filter(light: Column) -> Column:
@@ -163,8 +169,6 @@ def reordered(rows: DataFrame, scene: str, source: str, target: str, z: str = "z
 
 def patched_clip(asset: Column, clip_id, patch: dict, binding_patch: dict) -> Column:
     """One clip changed; sprite and binding of the asset follow its default clip."""
-    from .lookup import first_match
-
     def one(c):
         return F.when(c["id"] == lit(clip_id), patched(c, patch).withField("binding", patched(c["binding"], binding_patch)) if binding_patch else patched(c, patch)).otherwise(c)
 
@@ -189,12 +193,112 @@ def new_asset(sprite: Column, role, binding: Column, tags: Column, now: Column,
     )
 
 
+def static_asset(url: Column, file_name: Column, width: Column, height: Column, now: Column, stamp) -> Column:
+    """An asset of one uploaded picture, a prop that keeps its size."""
+    base = text.text_or(text.without_extension(file_name), "Uploaded Object")
+    key, stamp, pair = text.safe_name(base), lit(stamp).cast("string"), F.array(width.cast("double"), height.cast("double"))
+    picture = F.concat(F.lit('<img src="'), url, F.lit('" alt="'), text.escape_markup(base), F.lit('" draggable="false" />'))
+    sprite = F.struct(
+        F.concat_ws("_", F.lit("sprite_static"), key, stamp).alias("id"), base.alias("characterName"), F.concat(F.lit("Static uploaded object from "), text.text_or(file_name, "image file"), F.lit(".")).alias("description"), F.lit(1).alias("frameCount"),
+        F.array(picture).alias("frames"), url.alias("spritesheetPng"), url.alias("rawSpritesheetPng"), pair.alias("frameSize"), pair.alias("sheetSize"), F.lit("uploaded-static-object").alias("generationMode"),
+    )
+    binding = F.struct(F.lit("static").alias("actionName"), F.lit("auto").alias("triggerType"), F.lit("auto").alias("triggerValue"), F.concat(F.lit("static."), key).alias("gameState"))
+    return F.struct(F.concat_ws("_", F.lit("asset_static"), key, stamp).alias("id"), base.alias("name"), F.lit("prop").alias("role"), F.lit(True).alias("confirmed"), now.alias("savedTime"), now.alias("updatedTime"), sprite.alias("sprite"), binding.alias("binding"), F.array(F.lit("uploaded"), F.lit("static-object")).alias("tags"))
+
+
+def imported_asset(name: Column, action: Column, role, kind: Column, trigger: Column, state: Column, tags: Column, sheet: Column, loop: Column, now: Column, stamp) -> Column:
+    """An asset of an imported sheet with one clip; ``sheet``: url, frameWidth, frameHeight, frameCount, columns, width, height, fps."""
+    stamp, n = lit(stamp).cast("string"), sheet["frameCount"]
+    note = F.when((kind == "auto") & loop, "Imported spritesheet loops continuously while it is visible in the scene.").otherwise("Imported spritesheet action with configurable trigger metadata.")
+    binding = F.struct(action.alias("actionName"), kind.alias("triggerType"), text.text_or(F.trim(trigger), text.default_trigger_value(kind)).alias("triggerValue"), text.text_or(F.trim(state), text.default_game_state(kind, action)).alias("gameState"), note.alias("notes"))
+    pair = lambda w, h: F.array(sheet[w].cast("double"), sheet[h].cast("double"))
+    grid = F.format_string("%d columns, %d rows, %d active frames.", sheet["columns"], F.ceil(n / sheet["columns"]), n)
+    sprite = F.struct(
+        F.concat_ws("_", F.lit("sprite_import"), text.safe_name(name), stamp).alias("id"), name.alias("characterName"), n.alias("frameCount"), sheet["url"].alias("spritesheetPng"), sheet["fps"].alias("fps"), sheet["columns"].cast("double").alias("gridColumns"),
+        pair("frameWidth", "frameHeight").alias("frameSize"), pair("width", "height").alias("sheetSize"), F.lit("uploaded-spritesheet").alias("generationMode"), grid.alias("adaptiveFramePolicy"),
+    )
+    clip = F.struct(F.concat_ws("_", F.lit("clip"), text.safe_name(action), stamp).alias("id"), action.alias("name"), action.alias("actionName"), F.lit("none").alias("direction"), sprite.alias("sprite"), binding.alias("binding"), loop.alias("loop"), sheet["fps"].alias("fps"))
+    asset = new_asset(sprite, role, binding, tags, now, stamp)
+    return patched(asset, {"animations": F.array(clip), "defaultAnimationId": clip["id"]})
+
+
+def inserted_layer(asset: Column, scene: Column, stamp) -> Column:
+    """A layer that shows an asset in the middle of a scene, as high as its role asks."""
+    clip = priority_clip(asset["animations"], F.lit(None).cast("string"), asset["defaultAnimationId"])
+    sprite = F.coalesce(clip["sprite"], asset["sprite"])
+    height = F.when(sprite.isNull(), 256.0).otherwise(geometry.frame_size(sprite)["height"])
+    effect = asset["role"] == "effect"
+    want = F.when(effect, 150.0).when(asset["role"] == "player", 300.0).otherwise(220.0)
+    action = text.text_or(asset["binding"]["actionName"], asset["name"])
+    return F.struct(
+        F.concat_ws("_", F.lit("layer"), text.safe_name(action), lit(stamp).cast("string")).alias("id"), asset["name"].alias("name"), F.when(effect, "effect").otherwise("sprite").alias("type"), F.lit(True).alias("visible"), asset["id"].alias("assetId"),
+        text.text_or(asset["defaultAnimationId"], F.try_element_at(asset["animations"], F.lit(1))["id"]).alias("activeAnimationId"), round_half_up(scene["width"] * 0.45).cast("double").alias("x"), (scene["groundY"] + 2).alias("y"),
+        layer_scale(want / F.greatest(F.lit(1.0), height)).alias("scale"), F.when(effect, 42.0).otherwise(30.0).alias("zIndex"), F.lit(1.0).alias("opacity"), F.lit(1.0).alias("parallax"),
+    )
+
+
+def default_scene() -> Column:
+    """The scene that an empty editor shows; its layers are a background and a hidden ground."""
+    names = ("id", "name", "type", "visible", "locked", "x", "y", "scale", "zIndex", "opacity", "parallax", "width", "height", "color", "fit", "position")
+    values = (
+        ("layer_sky", "Background", "background", True, False, 0.0, 720.0, 1.0, 0.0, 1.0, 1.0, 3840.0, 720.0, "#08070d", "stretch", "left center"),
+        ("layer_ground", "Ground", "ground", False, True, 0.0, 520.0, 1.0, 10.0, 0.45, 1.0, None, None, "#f0b14a", None, None),
+    )
+    kinds = dict.fromkeys(("width", "height"), "double") | dict.fromkeys(("fit", "position"), "string")
+    layers = F.array(*(F.struct(*((F.lit(v).cast(kinds[n]) if n in kinds else F.lit(v)).alias(n) for n, v in zip(names, row))) for row in values))
+    state = F.create_map(*(F.lit(x) for k in ("has_key", "radio_on", "door_open", "visited_bedroom") for x in (k, "false")))
+    fixed_values = {"id": "scene_side_scroller_demo", "name": "Side Scroller Scene", "width": 3840.0, "height": 720.0, "viewportWidth": 1280.0, "viewportHeight": 720.0, "viewportPreset": "desktop", "cameraX": 0.0, "groundY": 520.0}
+    return F.struct(*(F.lit(v).alias(k) for k, v in fixed_values.items()), layers.alias("layers"), state.alias("state"))
+
+
+def new_scene(players: Column, n_saved: Column, stamp) -> Column:
+    """A default scene with the players of the current one side by side; ``players`` are layers of the default scene's type."""
+    base, stamp = default_scene(), lit(stamp).cast("string")
+
+    def beside(x, k):
+        return patched(x, {"id": F.concat(F.lit("layer_player_scene_"), stamp, F.lit("_"), k.cast("string")), "name": text.text_or(x["name"], "Player"), "x": (420 + k * 36).cast("double"), "y": base["groundY"] + 2, "zIndex": F.greatest(x["zIndex"], F.lit(30.0)), "opacity": F.lit(1.0), "parallax": F.lit(1.0), "visible": F.lit(True)})
+
+    return patched(base, {"id": F.concat(F.lit("scene_draft_"), stamp), "name": F.concat(F.lit("New Scene "), (n_saved + 1).cast("string")), "layers": F.concat(base["layers"], F.transform(players, beside))})
+
+
+def rebuilt_grid(current: Column, patch: Column) -> Column:
+    """struct(columns, rows, frameWidth, frameHeight, frameCount) of a sheet cut anew; null if the grid exceeds it.
+
+    Both have frameWidth, frameHeight, frameCount and columns, of which null ones of ``patch`` stay; ``current`` also width and height.
+    """
+    n = {k: F.greatest(F.lit(1), round_half_up(F.coalesce(patch[k], current[k]))).cast("int") for k in ("frameWidth", "frameHeight", "frameCount", "columns")}
+    rows = F.greatest(F.lit(1), F.ceil(n["frameCount"] / n["columns"])).cast("int")
+    grid = F.struct(n["columns"].alias("columns"), rows.alias("rows"), n["frameWidth"].alias("frameWidth"), n["frameHeight"].alias("frameHeight"), n["frameCount"].alias("frameCount"))
+    return F.when(geometry.grid_fits(n["columns"], rows, n["frameWidth"], n["frameHeight"], current["width"], current["height"]), grid)
+
+
 def hotspot_layer(scene: Column, layer_id, name, x: Column, y: Column, prompt) -> Column:
     """A layer that only carries an interaction."""
     fields = {"id": layer_id, "name": name, "type": "effect", "visible": True, "x": x, "y": y, "scale": 0.55, "zIndex": 82.0, "opacity": 0.75, "parallax": 1.0, "promptText": prompt, "triggerRadius": 170.0, "offsetY": -30.0}
     return F.struct(*(lit(v).alias(k) for k, v in fields.items()))
 
 
+def kit_layers(scenes: DataFrame, kit: DataFrame, scene_key: str = "id") -> DataFrame:
+    """The scene kit's layers for each scene: places that a layer doesn't fix follow from the scene's camera, ground and size."""
+    view = F.least(or_default(F.col("viewportWidth"), 1280.0), F.col("of_width"))
+    s = scenes.select(F.col(scene_key).alias("scene"), F.col("width").alias("of_width"), F.col("height").alias("of_height"), "viewportWidth", "cameraX", "groundY")
+    x = F.when(F.col("assetId") == builtin.EYE, round_half_up(F.col("cameraX") + view * 0.5).cast("double")).when(F.col("assetId") == builtin.TRAIN, F.col("cameraX") + view + 180)
+    y = F.when(F.col("assetId") == builtin.EYE, F.col("groundY") - 10).when(F.col("assetId") == builtin.TICKET_MACHINE, F.col("groundY") + 3).when(F.col("assetId") == builtin.TRAIN, F.col("of_height") - 36)
+    placed = s.join(F.broadcast(kit), F.lit(True)).withColumn("x", F.coalesce("x", x)).withColumn("y", F.coalesce("y", y))  # six rows
+    return placed.select("scene", *kit.columns)
+
+
+def corrected_kit_layer(layer: Column) -> Column:
+    """Kit layers of older scenes that are too large are put back to their place and size."""
+    asset, scale = layer["assetId"], layer["scale"]
+    hud = patched(layer, {"x": F.lit(1210.0), "y": F.lit(96.0), "scale": F.lit(0.18), "parallax": F.lit(0.0), "zIndex": F.greatest(layer["zIndex"], F.lit(120.0))})
+    sign = patched(layer, {"x": F.lit(920.0), "y": F.lit(292.0), "scale": F.lit(0.36)})
+    return (
+        F.when((asset == builtin.BACKPACK) & (scale > 0.35), hud).when((asset == builtin.TICKET_MACHINE) & (scale > 0.3), patched(layer, {"scale": F.lit(0.22)}))
+        .when((asset == builtin.SIGN) & (scale > 0.48), sign).otherwise(layer)
+    )
+
+
 def flow_cards(scenes: DataFrame, current: str, most: int = 5) -> DataFrame:
     """Slot 0 is the current scene, the first saved others follow; placeholders fill up where no other is saved."""
     from pyspark.sql import Window

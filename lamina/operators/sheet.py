@@ -79,10 +79,17 @@ def cells(grids: DataFrame) -> DataFrame:
     return each.select("sheet_id", "frame", "column", "row", inset_cell(at("x_bounds", F.col("column")), at("y_bounds", F.col("row")), at("x_bounds", F.col("column") + 1), at("y_bounds", F.col("row") + 1)).alias("cell"))
 
 
-def frames(pixels: DataFrame, all_cells: DataFrame) -> DataFrame:
-    """Each cell with its bounding box (in the cell; null if nothing is visible) and the anchor of its upper body."""
+def frames(pixels: DataFrame, grids: DataFrame) -> DataFrame:
+    """Each cell with its bounding box (in the cell; null if nothing is visible) and the anchor of its upper body.
+
+    A pixel's cell follows from its place among the bounds; only that one cell is joined.
+    """
+    all_cells = cells(grids)
+    place = lambda bounds, at: F.size(F.filter(bounds, lambda b: b <= F.col(at))) - 1
+    seen = pixels.filter("a > 0").join(grids.select("sheet_id", "columns", "x_bounds", "y_bounds"), "sheet_id")
+    seen = seen.select("sheet_id", "x", "y", "a", (place("y_bounds", "y") * F.col("columns") + place("x_bounds", "x")).alias("frame"))
     inside = (F.col("x") >= F.col("cell.x0")) & (F.col("x") < F.col("cell.x1")) & (F.col("y") >= F.col("cell.y0")) & (F.col("y") < F.col("cell.y1"))
-    own = pixels.filter("a > 0").join(all_cells, "sheet_id").filter(inside).select("sheet_id", "frame", (F.col("x") - F.col("cell.x0")).alias("x"), (F.col("y") - F.col("cell.y0")).alias("y"), "a")
+    own = seen.join(all_cells, ["sheet_id", "frame"]).filter(inside).select("sheet_id", "frame", (F.col("x") - F.col("cell.x0")).alias("x"), (F.col("y") - F.col("cell.y0")).alias("y"), "a")
     boxes = own.groupBy("sheet_id", "frame").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"))
     upper = F.greatest(F.col("y0") + 1, F.col("y0") + ((F.col("y1") - F.col("y0")) * UPPER_BODY).cast("int"))
     body = own.join(boxes, ["sheet_id", "frame"]).filter((F.col("a") > VISIBLE) & (F.col("y") < upper))
@@ -108,7 +115,7 @@ def manifests(pixels: DataFrame, sheets: DataFrame, frame_width: int, frame_heig
     """One manifest for each sheet."""
     clean = keyed_out(pixels)
     grids = grid(clean, sheets, forced)
-    done = placed(frames(clean, cells(grids)), frame_width, frame_height)
+    done = placed(frames(clean, grids), frame_width, frame_height)
     item = F.struct("frame", F.array("cell.x0", "cell.y0", "cell.x1", "cell.y1").alias("cell"), "placed")
     lists = done.groupBy("sheet_id").agg(F.array_sort(F.collect_list(item)).alias("f"))
     anchor = F.array(F.lit(round(frame_width / 2, 2)), F.lit(round(frame_height * ANCHOR_HEIGHT, 2)))

@@ -6,29 +6,15 @@ A query applies an operator by shape: orders stand for layers, customers for ass
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, numbers, text
 from ..operators import dedupe, frames, lookup, ordered, sheet
 from ..sources import library
 from ..streaming import reducers
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = lambda spark, d: f(lambda name: spark.read.parquet(f"{d}/{name}.parquet"))
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
+from .registry import query
 
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey")
 
@@ -76,20 +62,25 @@ WITH p AS (
 SELECT s_suppkey, near, distance, CAST(reach AS DOUBLE) AS reach FROM p WHERE rn = 1 AND distance <= reach
 """)
 def nearest_in_radius(t):
-    """On a line only the neighbours in order can be nearest, so no pairs are formed."""
-    from pyspark.sql import Window
-
+    """On a line only the neighbours in order can be nearest, so no pairs are formed; neighbours across ranges come from the ranges' ends."""
     s = t("supplier").select("s_suppkey", "s_acctbal", F.when(F.col("s_nationkey") % 2 == 0, 20.0).otherwise(200.0).alias("reach"))
-    values = s.groupBy("s_acctbal").agg(F.min_by(F.struct("s_suppkey", "reach"), "s_suppkey").alias("first"), F.min("s_suppkey").alias("low"), F.count("*").alias("n"))
-    line = Window.orderBy("s_acctbal")  # distinct values of a small dimension
-    beside = values.select("s_acctbal", F.lag(F.struct("s_acctbal", "first")).over(line).alias("l"), F.lead(F.struct("s_acctbal", "first")).over(line).alias("r"))
-    twin = s.select("s_acctbal", F.col("s_suppkey").alias("k"), "reach")
-    own = s.alias("a").join(twin.alias("b"), (F.col("a.s_acctbal") == F.col("b.s_acctbal")) & (F.col("a.s_suppkey") != F.col("b.k"))).groupBy("a.s_suppkey").agg(F.min_by(F.struct("k", "b.reach"), "k").alias("same"))
-    rows = s.drop("reach").join(beside, "s_acctbal").join(own, "s_suppkey", "left")
-    option = lambda near, d: F.when(near.isNotNull(), F.struct(d.alias("distance"), near[near_key].alias("near"), near["reach"].alias("reach")))
-    near_key = "s_suppkey"
+    least_two = s.groupBy("s_acctbal").agg(F.min("s_suppkey").alias("one"))
+    second = s.join(least_two, "s_acctbal").filter("s_suppkey > one").groupBy("s_acctbal").agg(F.min("s_suppkey").alias("two"))
+    values = s.groupBy("s_acctbal").agg(F.min_by(F.struct("s_suppkey", "reach"), "s_suppkey").alias("first")).withColumn("range", F.floor(F.col("s_acctbal") / 50))
+    point = F.struct("s_acctbal", "first")
+    ends = values.groupBy("range").agg(F.min_by(point, "s_acctbal").alias("low"), F.max_by(point, "s_acctbal").alias("high"))
+    across = Window.orderBy("range")  # a row for each range of values
+    ends = ends.select("range", F.lag("high").over(across).alias("before"), F.lead("low").over(across).alias("after"))
+    line = Window.partitionBy("range").orderBy("s_acctbal")
+    beside = values.select("s_acctbal", "range", F.lag(point).over(line).alias("l"), F.lead(point).over(line).alias("r")).join(F.broadcast(ends), "range")
+    beside = beside.select("s_acctbal", F.coalesce("l", "before").alias("l"), F.coalesce("r", "after").alias("r"))
+    # Of those with the same value the least other one is nearest.
+    twins = least_two.join(second, "s_acctbal").join(s.select(F.col("s_suppkey").alias("one"), F.col("reach").alias("reach_one")), "one").join(s.select(F.col("s_suppkey").alias("two"), F.col("reach").alias("reach_two")), "two")
+    rows = s.drop("reach").join(beside, "s_acctbal").join(twins, "s_acctbal", "left")
+    option = lambda near, d: F.when(near.isNotNull(), F.struct(d.alias("distance"), near["s_suppkey"].alias("near"), near["reach"].alias("reach")))
     left, right = option(F.col("l.first"), F.col("s_acctbal") - F.col("l.s_acctbal")), option(F.col("r.first"), F.col("r.s_acctbal") - F.col("s_acctbal"))
-    same = F.when(F.col("same").isNotNull(), F.struct(F.lit(0.0).alias("distance"), F.col("same.k").alias("near"), F.col("same.reach").alias("reach")))
+    own = F.col("s_suppkey") == F.col("one")
+    same = F.when(F.col("one").isNotNull(), F.struct(F.lit(0.0).alias("distance"), F.when(own, F.col("two")).otherwise(F.col("one")).alias("near"), F.when(own, F.col("reach_two")).otherwise(F.col("reach_one")).alias("reach")))
     best = F.array_min(F.filter(F.array(left, right, same), lambda x: x.isNotNull()))
     return rows.select("s_suppkey", best.alias("x")).select("s_suppkey", "x.near", F.round("x.distance", 2).alias("distance"), "x.reach").filter("distance <= reach")
 
@@ -322,8 +313,6 @@ def two_key_topk(t):
 
 @query("SELECT p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS draw_order FROM part")
 def stable_z_order(t):
-    from pyspark.sql import Window
-
     return t("part").select("p_partkey", "p_size", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_size", "p_partkey")).cast("long").alias("draw_order"))
 
 
@@ -335,8 +324,7 @@ def top_by_z(t):
     return ordered.top_by_z(t("orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", "o_totalprice", "o_orderkey")
 
 
-def user_events(t, value: Column) -> DataFrame:
-    return reducers.ordered_values(t("events"), "user_id", ["ts", "event_id"], value)
+EVENT_ORDER = ("ts", "event_id")
 
 
 @query("""
@@ -344,7 +332,8 @@ WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORD
 SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY rn DESC) AS last_events FROM r WHERE rn <= 80 GROUP BY user_id
 """)
 def bounded_tail(t):
-    return user_events(t, F.col("event_id").cast("string")).select("user_id", F.array_join(ordered.tail(F.col("values"), reducers.HISTORY), ",").alias("last_events"))
+    kept = ordered.ends(t("events"), "user_id", [F.col(c) for c in EVENT_ORDER], F.col("event_id").cast("string"), reducers.HISTORY, last=True)
+    return kept.select("user_id", F.array_join(ordered.tail(F.col("values"), reducers.HISTORY), ",").alias("last_events"))
 
 
 @query("SELECT user_id, arg_min(event_id, ts) AS first_purchase FROM events WHERE event_type = (SELECT max(event_type) FROM events) GROUP BY user_id")
@@ -379,9 +368,9 @@ def download_filenames(t):
     return t("pages").select("page_id", text.download_filename(F.col("url"), "gif").alias("filename"))
 
 
-@query(r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(substr(text, 1, 400), '[,\s]+'), lambda x: x <> '')) AS INTEGER) AS n_tags FROM documents")
+@query(r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[,\s]+'), lambda x: x <> '')) AS INTEGER) AS n_tags FROM documents")
 def split_tags(t):
-    return t("documents").select("doc_id", F.size(text.split_tags(F.substring("text", 1, 400))).alias("n_tags"))
+    return t("documents").select("doc_id", F.size(text.split_tags(F.col("text"))).alias("n_tags"))
 
 
 @query("SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '\"', '&quot;'), '<', '&lt;'), '>', '&gt;')) AS escaped FROM pages")
@@ -572,7 +561,8 @@ WITH e AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS v FROM even
 SELECT user_id, array_to_string(CASE WHEN len(v) >= 16 THEN v[1:16] ELSE list_concat(v, list_transform(range(0, 16 - len(v)), lambda i: v[-1])) END, ',') AS padded FROM e
 """)
 def padded_frames(t):
-    return user_events(t, F.col("event_type")).select("user_id", F.array_join(ordered.padded(F.col("values"), F.lit(16)), ",").alias("padded"))
+    kept = ordered.ends(t("events"), "user_id", [F.col(c) for c in EVENT_ORDER], F.col("event_type"), 16)
+    return kept.select("user_id", F.array_join(ordered.padded(F.col("values"), F.lit(16)), ",").alias("padded"))
 
 
 @query("""
@@ -581,7 +571,7 @@ f AS (SELECT user_id, 0 AS i, 0.0::DOUBLE AS acc FROM (SELECT DISTINCT user_id F
 SELECT user_id, round(arg_max(acc, i), 4) AS position FROM f GROUP BY user_id
 """)
 def clamped_fold(t):
-    return user_events(t, F.col("value") - 100).select("user_id", F.round(reducers.clamped_sum(F.col("values"), 0, 500), 4).alias("position"))
+    return reducers.clamped_fold(t("events"), "user_id", list(EVENT_ORDER), F.col("value") - 100, 0, 500).select("user_id", F.round("position", 4).alias("position"))
 
 
 @query("SELECT event_id, CAST(floor(value * 12 / 1000) % 16 AS INTEGER) AS frame FROM events")

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
+from ..plans.lineage import cut
 from ..schema import ASSET, LIBRARY, SCENE
 
 
@@ -60,8 +61,12 @@ def latest(candidates: DataFrame) -> DataFrame:
 
 
 def list_images(spark: SparkSession, path: str, base_url: str = "/generated/") -> DataFrame:
-    """name, url, extension, size, updatedTime of image files: newest first, then by name. Contents aren't read."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
+    """``image_listing`` of a folder. Contents aren't read."""
+    return image_listing(spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime"), base_url)
+
+
+def image_listing(files: DataFrame, base_url: str = "/generated/") -> DataFrame:
+    """(path, length, modificationTime) -> name, url, extension, size, updatedTime of image files: newest first, then by name."""
     name = F.try_url_decode(F.regexp_extract("path", "([^/]*)$", 1))
     rows = files.select(name.alias("name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("extension"), F.col("length").alias("size"), numbers.iso_time(F.col("modificationTime")).alias("updatedTime"))
     return by_time_and_name(rows.filter(F.col("extension").isin(*text.IMAGE_EXTENSIONS)).select("name", F.concat(F.lit(base_url), F.url_encode("name")).alias("url"), "extension", "size", "updatedTime"))
@@ -124,11 +129,13 @@ def upsert(base: DataFrame, incoming: DataFrame, key: str, now: Column | None =
 
 
 def renumbered(rows: DataFrame, *order: str) -> DataFrame:
-    """``ordinal`` from 0 in ``order``, over partitions whose counts are summed up: no single task sorts all rows."""
-    spark = rows.sparkSession
-    ordered = rows.drop("ordinal").orderBy(*order)
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return spark.createDataFrame(numbered, ordered.schema.add("ordinal", "long"))
+    """``ordinal`` from 0 in ``order``: rows are sorted in ranges and counted by range, so no single task has them all."""
+    marked = cut(rows.drop("ordinal").orderBy(*order).withColumn("mark", F.monotonically_increasing_id()))
+    part = F.shiftright("mark", 33)
+    counts = marked.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # a row for each range
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("part", before.alias("offset"))
+    return marked.join(F.broadcast(offsets), part == F.col("part")).withColumn("ordinal", F.col("offset") + F.col("mark").bitwiseAND((1 << 33) - 1)).drop("mark", "part", "offset")
 
 
 def delete_asset(assets: DataFrame, scenes: DataFrame, asset_id: str) -> tuple[DataFrame, DataFrame]:

@@ -7,14 +7,19 @@ is held, not its events; in a stream the state is kept by Spark between batches.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 HISTORY = 80
+# The vehicle that can be boarded, and how its scene looks once it is.
+BOARDING_ASSET, BOARDED_OPACITY, BOARDED_Z = "asset_scene_boarding_train", 0.18, 92
+# Fixed texts of the messages.
+BLOCKED, NO_SCENE, BOARDED = "It does not seem ready yet.", "No target scene is assigned yet.", "Boarded the subway car"
 Step = Callable[[dict, dict], dict]
 
 
@@ -23,9 +28,17 @@ def clamped_sum(deltas: Column, low: float, high: float, start: float = 0.0) ->
     return F.aggregate(deltas, F.lit(float(start)), lambda acc, d: F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), acc + d)))
 
 
-def ordered_values(rows: DataFrame, key: str, order: list[str], value: Column) -> DataFrame:
-    """``key``, values: a session's values in order."""
-    return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, value.alias("v")))).alias("s")).select(key, F.transform("s", lambda x: x["v"]).alias("values"))
+def clamped_fold(rows: DataFrame, key: str, order: list[str], delta: Column, low: float, high: float, start: float = 0.0, chunk: int = 10_000) -> DataFrame:
+    """``key``, position: the same for sessions of any length. No session is gathered: a chunk of ``chunk`` steps is one clamped shift, and the shifts of chunks are clamped in turn."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    chunks = rows.select(key, *order, delta.alias("d")).withColumn("n", place).groupBy(key, F.floor((F.col("n") - 1) / chunk).alias("chunk"))
+    steps = chunks.agg(F.array_sort(F.collect_list(F.struct("n", "d"))).alias("steps"))
+    clamp = lambda x: F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), x))
+    none = F.struct(F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.lit(0.0).alias("shift"))
+    step = lambda acc, x: F.struct(clamp(acc["low"] + x["d"]).alias("low"), clamp(acc["high"] + x["d"]).alias("high"), (acc["shift"] + x["d"]).alias("shift"))
+    maps = steps.select(key, F.struct("chunk", F.aggregate("steps", none, step).alias("m")).alias("m")).groupBy(key).agg(F.array_sort(F.collect_list("m")).alias("maps"))
+    applied = F.aggregate("maps", F.lit(float(start)), lambda x, m: F.least(m["m"]["high"], F.greatest(m["m"]["low"], x + m["m"]["shift"])))
+    return maps.select(key, applied.alias("position"))
 
 
 def walk_step(state: dict, event: dict) -> dict:
@@ -53,7 +66,8 @@ def history_step(state: dict, event: dict) -> dict:
     """
     s = {"scene": None, "now": None, "past": [], "future": []} | state
     kind, value = event["kind"], event.get("target")
-    if kind == "open" or s["scene"] is None:
+    moved = kind in ("change", "motion") and event.get("scene") not in (None, s["scene"])
+    if kind == "open" or s["scene"] is None or moved:
         return {"scene": event.get("scene") or value, "now": value, "past": [], "future": []}
     if kind == "undo":
         return s if not s["past"] else s | {"now": s["past"][-1], "past": s["past"][:-1], "future": [s["now"], *s["future"]][:HISTORY]}
@@ -93,33 +107,44 @@ def state_matches(actual, expected: str | None) -> bool:
     return shown(actual) == shown(state_value(t)) if t else bool(actual)
 
 
+def safe_name(text: str) -> str:
+    return re.sub("[^a-zA-Z0-9一-龥]+", "_", text).strip("_").lower() or "sprite"
+
+
 def interaction_step(state: dict, event: dict) -> dict:
-    """An interaction on a scene: blocked by its condition, or one of six actions.
+    """An interaction on a scene: boarding a vehicle, blocked by its condition, or one of six actions.
 
-    State: layers {id: {visible, clip, clips, default}}, values, scenes, current, message.
+    State: layers {id: {name, visible, clip, clips, default, asset, role, opacity, z}}, values, scenes, current, message.
     """
     s = {"layers": {}, "values": {}, "scenes": [], "current": None, "message": None} | state
     i = event.get("interaction") or {}
-    layer, prompt = event.get("target"), i.get("promptText") or event.get("target")
+    layer = event.get("target")
+    own = s["layers"].get(layer, {})
+    name = own.get("name") or event.get("name") or layer
+    if own.get("asset") == BOARDING_ASSET:
+        looks = {k: {**x, "opacity": BOARDED_OPACITY} if x.get("role") == "player" else {**x, "z": max(x.get("z", 0), BOARDED_Z)} if x.get("asset") == BOARDING_ASSET else x for k, x in s["layers"].items()}
+        return s | {"layers": looks, "phase": "boarded", "message": BOARDED}
+    prompt = i.get("promptText") or name
     key = (i.get("conditionStateKey") or "").strip()
     if key and not state_matches(s["values"].get(key), i.get("conditionStateValue")):
-        return s | {"message": i.get("failSubtitle") or "It does not seem ready yet."}
+        return s | {"message": i.get("failSubtitle") or BLOCKED}
     action, said = i.get("actionType") or "subtitle", i.get("subtitle") or prompt
     other = i.get("targetLayerId") or layer
     at = lambda name, **change: {**s["layers"], name: {**s["layers"][name], **change}} if name in s["layers"] else s["layers"]
     if action == "pickup-item":
-        item = (i.get("itemId") or event.get("name") or layer).strip()
+        item = (i.get("itemId") or safe_name(name)).strip()
         return s | {"values": {**s["values"], item: True}, "layers": at(layer, visible=False) if i.get("hideLayerOnPickup") is not False else s["layers"], "message": said}
     if action == "toggle-layer":
         return s | {"layers": at(other, visible=not s["layers"].get(other, {}).get("visible")), "message": said}
-    if action == "play-animation" and (clips := s["layers"].get(other, {}).get("clips")):
-        want = [i.get("targetAnimationId"), s["layers"][other].get("default"), clips[0]]
+    plays = s["layers"].get(other, own)  # an unknown target plays what the source has, and no layer shows it
+    if action == "play-animation" and (clips := plays.get("clips")):
+        want = [i.get("targetAnimationId"), plays.get("default"), clips[0]]
         return s | {"layers": at(other, clip=next(c for c in want if c in clips)), "message": said}
     if action == "scene-link":
         found = i.get("targetSceneId") in s["scenes"]
-        return s | ({"current": i["targetSceneId"], "message": said} if found else {"message": i.get("failSubtitle") or "No target scene is assigned yet."})
+        return s | ({"current": i["targetSceneId"], "message": said} if found else {"message": i.get("failSubtitle") or NO_SCENE})
     if action == "set-state":
-        return s | {"values": {**s["values"], (i.get("setStateKey") or key or prompt).strip(): state_value(i.get("setStateValue") or "true")}, "message": said}
+        return s | {"values": {**s["values"], (i.get("setStateKey") or key or safe_name(prompt)).strip(): state_value(i.get("setStateValue") or "true")}, "message": said}
     return s | {"message": said}  # a subtitle, and what had nothing to play
 
 
@@ -192,8 +217,6 @@ def fold_stream(events: DataFrame, machine: str, session: str = "session_id", or
 
 def shown_until(messages: DataFrame, session: str, at: str, milliseconds: int = 1800) -> DataFrame:
     """When each message goes: after its time, or when the next one comes."""
-    from pyspark.sql import Window
-
     following = F.lead(at).over(Window.partitionBy(session).orderBy(at))
     ends = F.col(at) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(milliseconds / 1000).cast("decimal(18,6)"))
     return messages.withColumn("until", F.least(ends, following))
