@@ -6,15 +6,17 @@ record with ``WARC-Segment-Number: 1`` and continuations that name it in ``WARC-
 the last one with ``WARC-Segment-Total-Length``. Among records of equal payload of at least
 ``revisit_bytes``, that with the largest id is the response and the others are revisits.
 
-Reading parses each archive file by ``Content-Length``, groups segments by origin, orders them by
+Reading parses each archive file once, by ``Content-Length``, groups segments by origin, orders them by
 number, checks that none is missing and that the lengths add up to the stated total, and only then
 decodes the chunked framing. A record that fails keeps its row with a null payload and says why in
-``status``. Groups hold one record's segments only; an archive file has at most ``records_per_file``.
+``status``. Groups hold one record's segments only. An archive file ends with the record that reaches
+``archive_bytes`` (before compression), so what reads it holds that much and one record, whatever the pages.
 
 Defined results: a null payload is an empty one; a null URL becomes ``urn:page:<id>``; a null id is
 written as ``null`` and read back as null, and never becomes the response that others refer to; repeated
 rows give equal records, which are read back as many times; an empty table gives no archive rows;
-columns besides the three named aren't read. All files pass through Spark's own writers and readers.
+columns besides the three named aren't read. A record of over 2 GB doesn't fit a Spark cell and is an error.
+All files pass through Spark's own writers and readers.
 """
 
 from __future__ import annotations
@@ -25,11 +27,16 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SEGMENT_BYTES, CHUNK_BYTES, REVISIT_BYTES, RECORDS_PER_FILE = 16_384, 4_096, 1_000, 10_000
+from .storage import bounded_batches, written
+
+SEGMENT_BYTES, CHUNK_BYTES, REVISIT_BYTES, ARCHIVE_BYTES = 16_384, 4_096, 1_000, 64 << 20
+#: Rows of the table of repeated payloads that is broadcast; a larger one is shuffled.
+NARROW = 1 << 18
 DATE = "1970-01-01T00:00:00Z"
 # Fixed values of the WARC 1.1 and HTTP 1.1 formats.
 VERSION = b"WARC/1.1"
@@ -40,10 +47,8 @@ HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTrans
 RECORD = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("record_id", "warc_type", "target_uri", "payload_sha1", "refers_to", "status")] + [T.StructField("payload", T.BinaryType())]
 )
-SEGMENT = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("origin", "warc_type", "target_uri", "payload_sha1")]
-    + [T.StructField("number", T.IntegerType()), T.StructField("total", T.LongType()), T.StructField("body", T.BinaryType())]
-)
+#: A parsed record: a segment has a number, a whole record none and its payload in place of the content block.
+PARSED = T.StructType(RECORD.fields[:6] + [T.StructField("number", T.IntegerType()), T.StructField("total", T.LongType()), T.StructField("body", T.BinaryType())])
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -115,26 +120,48 @@ def row_records(page: str, url: str | None, payload: bytes, sha1: str, refers: i
 def with_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least: int = REVISIT_BYTES) -> DataFrame:
     """page, url, payload, sha1, refers: the id of the response that holds the payload, null for responses."""
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")).withColumn("sha1", F.sha1("payload"))
-    kept = rows.filter(F.length("payload") >= least).groupBy("sha1").agg(F.max("page").alias("holder"), F.count("*").alias("n")).filter("n > 1 AND holder IS NOT NULL").drop("n")
-    return rows.join(kept, "sha1", "left").withColumn("refers", F.expr("CASE WHEN page IS NULL OR page < holder THEN holder END")).drop("holder")
+    long = F.length("payload") >= least
+    kept = rows.filter(long).groupBy("sha1").agg(F.max("page").alias("holder"), F.count("*").alias("n")).filter("n > 1 AND holder IS NOT NULL").select(F.col("sha1").alias("same"), "holder")
+    kept = written(kept, "repeated-payloads")
+    refers = F.expr("CASE WHEN page IS NULL OR page < holder THEN holder END").alias("refers")
+    if kept.count() <= NARROW:
+        return rows.join(F.broadcast(kept), long & (rows["sha1"] == kept["same"]), "left").select("page", "url", "payload", "sha1", refers)
+    # Short payloads never refer to another: they stay out of the shuffle.
+    found = rows.filter(long).join(kept, rows["sha1"] == kept["same"], "left").select("page", "url", "payload", "sha1", refers)
+    return found.unionByName(rows.filter(~long).withColumn("refers", F.lit(None).cast(pages.schema[id_col].dataType)))
 
 
 def write_archives(
     pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-    segment_bytes: int = SEGMENT_BYTES, revisit_bytes: int = REVISIT_BYTES, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip",
+    segment_bytes: int = SEGMENT_BYTES, revisit_bytes: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES, compression: str = "gzip",
 ) -> None:
     """Writes archive files under ``path``, one or more records for each row."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number, filled = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            out = []
+            out, archives = [], []
             for page, url, payload, sha1, refers in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                out += row_records("null" if page is None else str(page), url, payload, sha1, refers, segment_bytes)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
-
+                for record in row_records("null" if page is None else str(page), url, payload, sha1, refers, segment_bytes):
+                    out.append(record)
+                    archives.append(f"{task}-{number}")
+                    filled += len(record)
+                    if filled >= archive_bytes:
+                        number, filled = number + 1, 0
+            yield pa.RecordBatch.from_arrays([pa.array(archives, pa.string()), pa.array(out, pa.binary())], names=["archive", "record"])
+
+    spark = pages.sparkSession
+    bounded_batches(spark)
     rows = with_revisits(pages, id_col, url_col, payload_col, revisit_bytes).select("page", "url", "payload", "sha1", "refers")
-    records = rows.mapInArrow(of_batches, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("lineSep", "\r\n").option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
+    records = rows.mapInArrow(of_batches, "archive string, record binary").select("archive", F.col("record").cast("string").alias("value"))
+    # A task's archives come one after the other: its files are open side by side, and nothing is sorted.
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key, "0")
+    spark.conf.set(key, "64")
+    try:
+        records.write.partitionBy("archive").option("lineSep", "\r\n").option("compression", compression).text(path)
+    finally:
+        spark.conf.set(key, before)
 
 
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -162,37 +189,31 @@ def hex_digest(fields: dict[str, str]) -> str | None:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row (``RECORD``) for each record under ``path`` that isn't a continuation, with its whole payload."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                rows = []
-                for f, block in parsed(content.as_py()):
-                    if "warc-segment-number" in f:
-                        continue
-                    body = http_payload(block) if f["warc-type"] == "response" else None
-                    status = "ok" if body is not None or f["warc-type"] != "response" else "bad framing"
-                    rows.append((f.get("warc-record-id"), f["warc-type"], f.get("warc-target-uri"), hex_digest(f), f.get("warc-refers-to"), status, body))
-                yield of_rows(rows, RECORD)
+    bounded_batches(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
 
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                rows = []
+                rows, held = [], 0
                 for f, block in parsed(content.as_py()):
+                    names = f["warc-type"], f.get("warc-target-uri"), hex_digest(f)
                     if "warc-segment-number" in f:
                         total = f.get("warc-segment-total-length")
-                        rows.append((f.get("warc-segment-origin-id", f.get("warc-record-id")), f["warc-type"], f.get("warc-target-uri"), hex_digest(f), int(f["warc-segment-number"]), int(total) if total else None, block))
-                yield of_rows(rows, SEGMENT)
-
-    def unframed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies = [None if b is None else http_payload(b) for b in batch.column(6).to_pylist()]
-            status = ["bad framing" if s == "ok" and b is None else s for s, b in zip(batch.column(5).to_pylist(), bodies)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(status, pa.string()), pa.array(bodies, pa.binary())], names=RECORD.names)
-
-    return files.mapInArrow(whole, RECORD).unionByName(reassembled(files.mapInArrow(segments, SEGMENT)).mapInArrow(unframed, RECORD))
+                        rows.append((f.get("warc-segment-origin-id", f.get("warc-record-id")), *names, None, None, int(f["warc-segment-number"]), int(total) if total else None, block))
+                    else:
+                        body = http_payload(block) if f["warc-type"] == "response" else None
+                        status = "ok" if body is not None or f["warc-type"] != "response" else "bad framing"
+                        rows.append((f.get("warc-record-id"), *names, f.get("warc-refers-to"), status, None, None, body))
+                    held += len(block)
+                    if held > 16 << 20:
+                        yield of_rows(rows, PARSED)
+                        rows, held = [], 0
+                yield of_rows(rows, PARSED)
+
+    records = written(files.mapInArrow(of_files, PARSED), "warc-parsed")  # parsed once, read by both branches
+    whole = records.filter("number IS NULL").select(*RECORD.names[:6], F.col("body").alias("payload"))
+    return whole.unionByName(reassembled(records.filter("number IS NOT NULL").withColumnRenamed("record_id", "origin")))
 
 
 def of_rows(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
@@ -211,12 +232,20 @@ def reassembled(segments: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("number", "body"))).alias("parts"), F.max("total").alias("total"),
         F.min("copies").alias("copies"), F.max("copies").alias("most"), *(F.max(c).alias(c) for c in ("warc_type", "target_uri", "payload_sha1")),
     )
-    block = F.expr("array_join(transform(parts, p -> hex(p.body)), '')")
     length = F.expr("aggregate(parts, 0L, (n, p) -> n + length(p.body))")
     status = (
         F.when((F.expr("parts[size(parts) - 1].number") != F.size("parts")) | (F.expr("parts[0].number") != 1) | F.col("total").isNull() | (F.col("copies") != F.col("most")), "missing segment")
         .when(length != F.col("total"), "bad length").otherwise("ok")
     )
-    out = records.withColumn("status", status).withColumn("payload", F.when(F.col("status") == "ok", F.unhex(block)))
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(F.col("origin").alias("record_id"), F.coalesce("warc_type", F.lit("continuation")).alias("warc_type"), "target_uri", "payload_sha1", F.lit(None).cast("string").alias("refers_to"), "status", "payload")
+    kind = F.coalesce("warc_type", F.lit("continuation")).alias("warc_type")
+    parts = records.select(F.col("origin").alias("record_id"), kind, "target_uri", "payload_sha1", status.alias("status"), F.expr("transform(parts, p -> p.body)").alias("parts"), "copies")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for *names, status, bodies, copies in zip(*(batch.column(k).to_pylist() for k in range(7))):
+                payload = http_payload(b"".join(bodies)) if status == "ok" else None
+                rows += [(*names, None, "bad framing" if status == "ok" and payload is None else status, payload)] * copies
+            yield of_rows(rows, RECORD)
+
+    return parts.mapInArrow(joined, RECORD)

@@ -1,8 +1,13 @@
+import gzip
 import hashlib
+from pathlib import Path
+
+import pytest
 
 from lamina.llm import queries, warc
 from lamina.llm.storage import fresh_path
 
+SEGMENT = "origin string, warc_type string, target_uri string, payload_sha1 string, number int, total bigint, body binary"
 PAGES = "page_id bigint, url string, html string, sha1 string"
 
 
@@ -12,7 +17,9 @@ def pages(spark):
     return rows + [rows[8], rows[9], (None, None, "b" * 1000, None), (None, None, "d" * 70_000, None), (20, None, "e" * 70_000, None), (20, None, "e" * 70_000, None)]
 
 
-def test_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("narrow", [warc.NARROW, 0])
+def test_round_trip(spark, tmp_path, monkeypatch, narrow):
+    monkeypatch.setattr(warc, "NARROW", narrow)
     rows = pages(spark)
     spark.createDataFrame(rows, PAGES).write.parquet(f"{tmp_path}/pages.parquet")
     holder = {}
@@ -40,9 +47,9 @@ def test_payloads_come_back_and_empty_table(spark):
 
 def test_broken_segments_are_reported(spark):
     seg = lambda o, k, total, body: (o, "response" if k == 1 else "continuation", None, None, k, total, body)
-    rows = [seg("ok", 2, 4, b"cd"), seg("ok", 1, None, b"ab"), seg("gap", 1, None, b"a"), seg("gap", 3, 2, b"b"), seg("short", 1, None, b"a"), seg("short", 2, 9, b"b"), seg("open", 1, None, b"a"), seg("headless", 2, 1, b"b")]
-    got = {r.record_id: (r.status, r.payload and bytes(r.payload)) for r in warc.reassembled(spark.createDataFrame(rows, warc.SEGMENT)).collect()}
-    assert got == {"ok": ("ok", b"abcd"), "gap": ("missing segment", None), "short": ("bad length", None), "open": ("missing segment", None), "headless": ("missing segment", None)}
+    rows = [seg("ok", 2, 12, b"cd"), seg("ok", 1, None, b"H: x\r\n\r\nab"), seg("head", 1, None, b"no"), seg("head", 2, 6, b"head"), seg("gap", 1, None, b"a"), seg("gap", 3, 2, b"b"), seg("short", 1, None, b"a"), seg("short", 2, 9, b"b"), seg("open", 1, None, b"a"), seg("headless", 2, 1, b"b")]
+    got = {r.record_id: (r.status, r.payload and bytes(r.payload)) for r in warc.reassembled(spark.createDataFrame(rows, SEGMENT)).collect()}
+    assert got == {"ok": ("ok", b"abcd"), "head": ("bad framing", None), "gap": ("missing segment", None), "short": ("bad length", None), "open": ("missing segment", None), "headless": ("missing segment", None)}
 
 
 def test_chunked_framing():
@@ -50,3 +57,12 @@ def test_chunked_framing():
         assert warc.unchunked(warc.chunked(body, 7)) == body
     assert warc.unchunked(b"3;x=y\r\nabc\r\n0\r\nTrailer: 1\r\n\r\n") == b"abc"
     assert warc.unchunked(b"5\r\nabc\r\n0\r\n\r\n") is None and warc.unchunked(b"zz") is None
+
+
+def test_archives_are_bounded_by_bytes(spark):
+    path = fresh_path(spark, "warc-test")
+    docs = spark.createDataFrame([(k, "u", f"{k} " * (20_000 if k == 77 else 100), None) for k in range(300)], PAGES).coalesce(2)
+    warc.write_archives(docs, path, archive_bytes=10_000)
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in Path(path.removeprefix("file:")).rglob("*.gz")]
+    assert len(sizes) > 10 and all(n < 10_000 + 17_500 for n in sizes) and len(list(Path(path.removeprefix("file:")).iterdir())) >= len(sizes)
+    assert sorted(bytes(r.payload) for r in warc.read_archives(spark, path).collect()) == sorted(r.html.encode() for r in docs.collect())
