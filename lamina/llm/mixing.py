@@ -10,7 +10,7 @@ replacement: document keys -ln(u) / w are sorted in the source and their sizes s
 are taken whole while their midpoint is inside, so a source misses its target by at most half a document.
 u is a hash of the document's id and size: reruns agree.
 
-Scale: sorting a source isn't left to one task. Keys are mapped to about uniform buckets; sums of
+Scale: rows without their text are written once and read by each step. Sorting a source isn't left to one task. Keys are mapped to about uniform buckets; sums of
 buckets are prefix-summed first (a row for each bucket), then documents inside their bucket.
 Defined results: null or blank texts have size 0 and take 0; a corpus of size 0 has targets 0;
 null ids and repeated rows are rows like any other; an empty table gives an empty result; a null or
@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import written
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a bucket, about.
 BUCKET_ROWS = 2_000
@@ -57,7 +59,7 @@ def mix(
     rows = docs.select(*(F.col(c).alias(f"keep_{c}") for c in keep), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), (n_words(F.col(text_col)) if size is None else size).alias("size"), weight.alias("w"))
     digest = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("size").cast("string")))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
-    rows = rows.withColumn("key", -F.log(u) / F.col("w"))
+    rows = written(rows.withColumn("key", -F.log(u) / F.col("w")), "mixing-rows")  # words are counted once
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     targets = source_targets(sizes, pattern, share, most)
     # 1 - exp(-key) rises with the key and is uniform for weights of 1.
