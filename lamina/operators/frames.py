@@ -132,7 +132,7 @@ def reference_motion(rows: DataFrame, prompt: str, count: Column, columns: Colum
     many = F.transform(F.sequence(F.lit(0), F.lit(PARTICLES - 1)), particle)
     effects = F.when(F.col("move.effect") == "slash", slash).when((F.col("move.effect") == "magic") | fiery | said.rlike(MAGIC), many).otherwise(dot)
     shadow = 58 * (1 - F.least(F.lit(0.28), F.abs(F.col("move.y")) / 120))
-    return r.withColumn("shadow", shadow).withColumn("effects", F.when(~walks, effects))
+    return r.withColumn("shadow", F.when(~walks, shadow)).withColumn("effects", F.when(~walks, effects))
 
 
 def sliced(rows: DataFrame, sheet: str, count: Column, columns: Column, side: int = 256) -> DataFrame:

@@ -200,7 +200,7 @@ def static_asset(url: Column, file_name: Column, width: Column, height: Column,
     picture = F.concat(F.lit('<img src="'), url, F.lit('" alt="'), text.escape_markup(base), F.lit('" draggable="false" />'))
     sprite = F.struct(
         F.concat_ws("_", F.lit("sprite_static"), key, stamp).alias("id"), base.alias("characterName"), F.concat(F.lit("Static uploaded object from "), text.text_or(file_name, "image file"), F.lit(".")).alias("description"), F.lit(1).alias("frameCount"),
-        F.array(picture).alias("frames"), url.alias("spritesheetPng"), url.alias("rawSpritesheetPng"), pair.alias("frameSize"), pair.alias("sheetSize"), F.lit("uploaded-static-object").alias("generationMode"),
+        F.array(picture).alias("frames"), url.alias("spritesheetPng"), url.alias("rawSpritesheetPng"), pair.alias("frameSize"), pair.alias("sheetSize"), F.lit(None).cast("double").alias("cellSize"), F.lit("uploaded-static-object").alias("generationMode"),
     )
     binding = F.struct(F.lit("static").alias("actionName"), F.lit("auto").alias("triggerType"), F.lit("auto").alias("triggerValue"), F.concat(F.lit("static."), key).alias("gameState"))
     return F.struct(F.concat_ws("_", F.lit("asset_static"), key, stamp).alias("id"), base.alias("name"), F.lit("prop").alias("role"), F.lit(True).alias("confirmed"), now.alias("savedTime"), now.alias("updatedTime"), sprite.alias("sprite"), binding.alias("binding"), F.array(F.lit("uploaded"), F.lit("static-object")).alias("tags"))
@@ -215,7 +215,7 @@ def imported_asset(name: Column, action: Column, role, kind: Column, trigger: Co
     grid = F.format_string("%d columns, %d rows, %d active frames.", sheet["columns"], F.ceil(n / sheet["columns"]), n)
     sprite = F.struct(
         F.concat_ws("_", F.lit("sprite_import"), text.safe_name(name), stamp).alias("id"), name.alias("characterName"), n.alias("frameCount"), sheet["url"].alias("spritesheetPng"), sheet["fps"].alias("fps"), sheet["columns"].cast("double").alias("gridColumns"),
-        pair("frameWidth", "frameHeight").alias("frameSize"), pair("width", "height").alias("sheetSize"), F.lit("uploaded-spritesheet").alias("generationMode"), grid.alias("adaptiveFramePolicy"),
+        pair("frameWidth", "frameHeight").alias("frameSize"), pair("width", "height").alias("sheetSize"), F.lit(None).cast("double").alias("cellSize"), F.lit("uploaded-spritesheet").alias("generationMode"), grid.alias("adaptiveFramePolicy"),
     )
     clip = F.struct(F.concat_ws("_", F.lit("clip"), text.safe_name(action), stamp).alias("id"), action.alias("name"), action.alias("actionName"), F.lit("none").alias("direction"), sprite.alias("sprite"), binding.alias("binding"), loop.alias("loop"), sheet["fps"].alias("fps"))
     asset = new_asset(sprite, role, binding, tags, now, stamp)

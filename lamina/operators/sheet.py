@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import anchored, inset_cell, proportional_bounds
+from ..plans.lineage import cut
 from .ordered import projection_runs, run_bounds
 
 # Fixed values of the normalisation.
@@ -112,10 +113,10 @@ def placed(all_frames: DataFrame, frame_width: int, frame_height: int) -> DataFr
 
 
 def manifests(pixels: DataFrame, sheets: DataFrame, frame_width: int, frame_height: int, now: str, forced: bool = False) -> DataFrame:
-    """One manifest for each sheet."""
+    """One manifest for each sheet. Grids (a row for each sheet) and frames are checkpointed: both are read more than once."""
     clean = keyed_out(pixels)
-    grids = grid(clean, sheets, forced)
-    done = placed(frames(clean, grids), frame_width, frame_height)
+    grids = cut(grid(clean, sheets, forced))
+    done = placed(cut(frames(clean, grids)), frame_width, frame_height)
     item = F.struct("frame", F.array("cell.x0", "cell.y0", "cell.x1", "cell.y1").alias("cell"), "placed")
     lists = done.groupBy("sheet_id").agg(F.array_sort(F.collect_list(item)).alias("f"))
     anchor = F.array(F.lit(round(frame_width / 2, 2)), F.lit(round(frame_height * ANCHOR_HEIGHT, 2)))

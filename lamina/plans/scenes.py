@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, numbers, text
-from ..operators import dedupe, frames, lookup, ordered, scene, sheet
-from ..schema import ASSET, INTERACTION, LAYER, SCENE, SPRITE
+from ..operators import frames, lookup, ordered, scene, sheet
+from ..schema import INTERACTION
 from ..sources import builtin, library
 from ..streaming import reducers
-from .lineage import fresh_path
+from .lineage import cut, fresh_path
 from .registry import query
 
 LAYERS = "SELECT l_orderkey AS scene, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INTEGER) AS ordinal, l_partkey AS part, l_suppkey AS supp FROM lineitem"
@@ -281,3 +281,524 @@ def scene_links(t):
     action = F.struct(F.when(F.col("part") % 2 == 0, "scene-link").otherwise("subtitle").alias("actionType"), (F.col("scene") + F.col("supp") % 9).cast("string").alias("targetSceneId"))
     scenes = rows.select("scene").distinct().select(F.col("scene").cast("string").alias("id"), F.concat(F.lit("Scene "), F.col("scene").cast("string")).alias("name"))
     return lookup.linked_scenes(rows.select("scene", "ordinal", action.alias("interaction")), scenes).select("scene", "ordinal", "status", "targetName")
+
+
+# --- interactions ---------------------------------------------------------------------------------
+
+def interactions(t) -> DataFrame:
+    """Drawn layers beside their asset and the interaction that some of them state."""
+    rows = flat(t).filter(F.col("type").isin(*scene.VISUAL_TYPES))
+    eighth = F.col("supp") % 8 == 0
+    stated = F.struct((F.col("supp") % 12 != 0).alias("enabled"), F.when(eighth, "Said").alias("subtitle"), F.when(eighth, 90.0).alias("triggerRadius"))
+    own = F.from_json(F.to_json(stated), INTERACTION)
+    a = assets(t).select(F.col("id").alias("assetId"), F.struct("id", "name", "role", "tags", "binding").alias("asset"))
+    return lookup.keyed(rows.withColumn("own", F.when(F.col("supp") % 4 == 0, own)), a, "assetId", "left")
+
+
+@query(WITH + f""", {OF_ASSETS}, m AS (SELECT l.*, a.k FROM l LEFT JOIN assets a ON l."assetId" = 'asset_' || a.k WHERE type IN ('sprite', 'effect', 'foreground'))
+SELECT scene, ordinal, CASE WHEN supp % 4 = 0 THEN supp % 12 <> 0 ELSE TRUE END AS enabled, CASE WHEN supp % 8 = 0 THEN 'Said' ELSE 'There is something worth inspecting here.' END AS subtitle, CASE WHEN supp % 8 = 0 THEN CAST(90 AS DOUBLE) ELSE CAST(180 AS DOUBLE) END AS radius,
+  CASE WHEN k IS NULL THEN 'E' ELSE chr(CAST(65 + (k * 3 + 5) % 26 AS INTEGER)) END AS key, CASE WHEN k IS NULL THEN 'Inspect' ELSE 'Asset ' || k END AS prompt
+FROM m WHERE coalesce(k % 3 = 0, FALSE) OR supp % 4 = 0
+""")
+def layer_interactions(t):
+    """What a layer states over what its asset gives over the defaults; none where neither is interactive."""
+    rows = interactions(t).select("scene", "ordinal", scene.interaction_of(F.struct(F.col("own").alias("interaction")), F.col("asset")).alias("i")).filter("i IS NOT NULL")
+    return rows.select("scene", "ordinal", "i.enabled", "i.subtitle", F.col("i.triggerRadius").alias("radius"), F.col("i.promptKey").alias("key"), F.col("i.promptText").alias("prompt"))
+
+
+@query("""
+WITH p AS (SELECT * FROM (VALUES (0, 'inspect', 'subtitle', 'Inspect', 'There is something worth inspecting here.', NULL, FALSE, NULL), (1, 'pickup', 'pickup-item', 'Pick up', 'Picked up an item.', NULL, FALSE, TRUE), (2, 'toggle', 'toggle-layer', 'Use', 'Something changed.', NULL, NULL, NULL),
+  (3, 'scene-link', 'scene-link', 'Enter', 'Moving to another scene.', NULL, NULL, NULL), (4, 'animated', 'play-animation', 'Activate', 'The object starts moving.', NULL, NULL, NULL), (5, 'conditional', 'set-state', 'Inspect', 'The condition is satisfied.', 'It does not seem ready yet.', NULL, NULL)) v(k, preset, action, prompt, said, fails, shows, hides))
+SELECT p_partkey, preset, 'near-click' AS mode, action, prompt, said, coalesce(fails, 'old fail') AS fails, coalesce(shows, p_size % 2 = 0) AS shows, hides, CASE WHEN p_size % 3 = 0 THEN CAST(77 AS DOUBLE) ELSE floor(p_retailprice + 0.5) END AS zone_w,
+  CASE WHEN p_size % 2 = 0 THEN CAST(120 AS DOUBLE) ELSE CAST(p_size AS DOUBLE) END AS zone_h, CASE WHEN preset = 'pickup' THEN 'part_' || p_partkey END AS item, CASE WHEN preset = 'conditional' THEN 'part_' || p_partkey END AS state_key, TRUE AS enabled
+FROM part JOIN p ON k = p_partkey % 6
+""")
+def preset_overlays(t):
+    """An interaction preset, looked up and laid over a layer's interaction."""
+    spark = t("part").sparkSession
+    presets = builtin.interaction_presets(spark).select("ordinal", F.struct("preset", "label", "triggerMode", "actionType", "promptText", "subtitle", "failSubtitle", "showText", "hideLayerOnPickup").alias("p"))
+    own = F.struct(F.lit("old").alias("subtitle"), F.lit("old fail").alias("failSubtitle"), (F.col("p_size") % 2 == 0).alias("showText"), F.when(F.col("p_size") % 3 == 0, 77.0).alias("zoneWidth"))
+    rows = t("part").withColumn("own", F.from_json(F.to_json(own), INTERACTION)).withColumn("ordinal", (F.col("p_partkey") % 6).cast("int"))
+    box = F.struct(F.col("p_retailprice").alias("width"), F.when(F.col("p_size") % 2 == 0, 0.0).otherwise(F.col("p_size").cast("double")).alias("height"))
+    done = lookup.keyed(rows, presets, "ordinal").select("p_partkey", scene.with_preset(F.col("own"), F.col("p"), box, F.concat(F.lit("Part "), F.col("p_partkey").cast("string"))).alias("i"))
+    return done.select(
+        "p_partkey", "i.preset", F.col("i.triggerMode").alias("mode"), F.col("i.actionType").alias("action"), F.col("i.promptText").alias("prompt"), F.col("i.subtitle").alias("said"), F.col("i.failSubtitle").alias("fails"), F.col("i.showText").alias("shows"),
+        F.col("i.hideLayerOnPickup").alias("hides"), F.col("i.zoneWidth").alias("zone_w"), F.col("i.zoneHeight").alias("zone_h"), F.col("i.itemId").alias("item"), F.col("i.setStateKey").alias("state_key"), "i.enabled",
+    )
+
+
+@query(WITH + ", " + SPRITES + f""", v AS (SELECT l.scene, l.ordinal, l.visible, l.type, l.part % 60 AS k, l.supp, b.x, b.y, b.l, b.t, b.bw, b.bh FROM l JOIN b ON l.scene = b.scene AND l.ordinal = b.ordinal WHERE l."assetId" IS NOT NULL AND l.visible AND l.type IN ('sprite', 'effect', 'foreground')),
+pl AS (SELECT scene, px, py FROM (SELECT scene, l + bw * 0.5 AS px, t + bh * 0.5 AS py, row_number() OVER (PARTITION BY scene ORDER BY ordinal) AS rn FROM v WHERE k % 10 = 1) WHERE rn = 1),
+i AS (SELECT *, greatest(24.0, bw) AS zw, greatest(24.0, bh) AS zh, l + bw * 0.5 AS cx, t + bh * 0.5 AS cy, CASE WHEN supp % 8 = 0 THEN 90.0 ELSE 180.0 END AS radius FROM v WHERE k % 10 <> 1 AND (k % 3 = 0 OR supp % 4 = 0) AND (supp % 4 <> 0 OR supp % 12 <> 0)),
+d AS (SELECT i.*, sqrt(pow(greatest(cx - zw / 2 - px, px - cx - zw / 2, 0), 2) + pow(greatest(cy - zh / 2 - py, py - cy - zh / 2, 0), 2)) AS raw FROM i JOIN pl ON pl.scene = i.scene),
+q AS (SELECT *, round(raw, 6) AS distance FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY distance, ordinal) AS rn FROM q)
+SELECT scene, ordinal, round(distance, 4) AS distance FROM r WHERE rn = 1 AND distance <= radius
+""")
+def nearby_interaction(t):
+    """What a scene's player can reach: the nearest interactive layer, if it is within that layer's own radius."""
+    rows = interactions(t).filter("visible AND asset IS NOT NULL").withColumn("box", geometry.world_bounds(F.struct("x", "y", "scale"), sprite())).withColumn("i", scene.interaction_of(F.struct(F.col("own").alias("interaction")), F.col("asset")))
+    first = lookup.first_wins(rows.filter("asset.role = 'player'").select("scene", "ordinal", F.col("box.centerX").alias("px"), F.col("box.centerY").alias("py")), "scene", "ordinal").select(F.col("scene").alias("of"), "px", "py")
+    zones = rows.filter("asset.role <> 'player' AND i.enabled").select("scene", "ordinal", geometry.zone_bounds(F.col("box"), F.col("i")).alias("zone"), F.col("i.triggerRadius").alias("radius"))
+    distance = F.round(geometry.distance_to_box(F.col("px"), F.col("py"), F.col("zone")), 6)
+    return lookup.nearest_in_reach(first, zones, "of", distance, F.col("radius"), ["ordinal"], F.col("of") == F.col("scene")).select("scene", "ordinal", F.round("distance", 4).alias("distance"))
+
+
+# --- kit, scenes and assets -----------------------------------------------------------------------
+
+KIT_SQL = """(VALUES ('asset_scene_e_trigger_point', 'layer_scene_e_trigger_point', 0.55, 82), ('asset_scene_ticket_machine', 'layer_scene_ticket_machine', 0.22, 24), ('asset_scene_backpack_ui', 'layer_scene_backpack_ui', 0.18, 120),
+  ('asset_scene_backpack_panel', 'layer_scene_backpack_panel', 0.72, 118), ('asset_scene_boarding_train', 'layer_scene_boarding_train', 0.44, 86), ('asset_scene_station_sign_13', 'layer_scene_station_sign_13', 0.36, 12)) k(asset, id, scale, z)"""
+SCENES_SQL = f"s AS (SELECT o_orderkey AS scene FROM orders), sc AS (SELECT scene, {listed(SCENE_FIELDS)} FROM s)"
+
+
+def scene_rows(t) -> DataFrame:
+    rows = t("orders").select(F.col("o_orderkey").alias("scene"))
+    return rows.select("scene", *(F.expr(v).alias(k) for k, v in SCENE_FIELDS.items()))
+
+
+@query(f"""
+WITH {SCENES_SQL}, v AS (SELECT *, least(coalesce(nullif("viewportWidth", 0), 1280.0), width) AS view FROM sc)
+SELECT scene, k.id, asset AS "assetId", CAST(scale AS DOUBLE) AS scale, CAST(z AS DOUBLE) AS "zIndex",
+  CASE asset WHEN 'asset_scene_e_trigger_point' THEN floor("cameraX" + view * 0.5 + 0.5) WHEN 'asset_scene_ticket_machine' THEN 720.0 WHEN 'asset_scene_backpack_ui' THEN 1210.0 WHEN 'asset_scene_backpack_panel' THEN 258.0 WHEN 'asset_scene_boarding_train' THEN "cameraX" + view + 180 ELSE 920.0 END AS x,
+  CASE asset WHEN 'asset_scene_e_trigger_point' THEN "groundY" - 10 WHEN 'asset_scene_ticket_machine' THEN "groundY" + 3 WHEN 'asset_scene_backpack_ui' THEN 96.0 WHEN 'asset_scene_backpack_panel' THEN 572.0 WHEN 'asset_scene_boarding_train' THEN height - 36 ELSE 292.0 END AS y
+FROM v, {KIT_SQL} WHERE NOT (scene % 3 = 0 AND asset = 'asset_scene_ticket_machine')
+UNION ALL SELECT scene, 'layer_scene_ticket_machine', 'asset_scene_ticket_machine', CASE WHEN scene % 2 = 0 THEN 0.22 ELSE 0.3 END, 5.0, 1.0, 2.0 FROM v WHERE scene % 3 = 0
+UNION ALL SELECT scene, 'mine', 'asset_scene_backpack_ui', CASE WHEN scene % 2 = 0 THEN 0.18 ELSE 0.35 END, CASE WHEN scene % 2 = 0 THEN 120.0 ELSE 7.0 END, CASE WHEN scene % 2 = 0 THEN 1210.0 ELSE 3.0 END, CASE WHEN scene % 2 = 0 THEN 96.0 ELSE 4.0 END FROM v
+""")
+def kit_corrections(t):
+    """Kit layers that a scene lacks are added; its own ones that are too large are put back."""
+    scenes = scene_rows(t)
+    templates = scene.kit_layers(scenes, builtin.kit_layers(scenes.sparkSession), "scene").select("scene", "id", "assetId", "scale", "zIndex", "x", "y")
+    large = F.col("scene") % 2 == 0
+    row = lambda i, a, s, z, x, y: F.struct(F.lit(i).alias("id"), F.lit(a).alias("assetId"), s.alias("scale"), F.lit(z).alias("zIndex"), F.lit(1.0).alias("parallax"), F.lit(x).alias("x"), F.lit(y).alias("y"))
+    machine = row("layer_scene_ticket_machine", builtin.TICKET_MACHINE, F.when(large, 0.31).otherwise(0.3), 5.0, 1.0, 2.0)
+    hud = row("mine", builtin.BACKPACK, F.when(large, 0.36).otherwise(0.35), 7.0, 3.0, 4.0)
+    own = scenes.select("scene", F.explode(F.filter(F.array(F.when(F.col("scene") % 3 == 0, machine), hud), lambda x: x.isNotNull())).alias("x"))
+    own = own.select("scene", scene.corrected_kit_layer(F.col("x")).alias("x")).select("scene", "x.id", "x.assetId", "x.scale", "x.zIndex", "x.x", "x.y")
+    key = F.concat_ws("/", F.col("scene").cast("string"), "id")
+    return lookup.missing_rows(templates.withColumn("k", key), own.withColumn("k", key), "k").drop("k")
+
+
+@query("""
+SELECT p_partkey, 'asset_' || safe || '_' || act || '_' || p_size AS made, p_name || ' / ' || act AS made_name, 'asset_static_' || safe || '_9' AS static_id, 'static.' || safe AS static_state, 'asset_' || safe || '_' || act || '_5' AS imported_id, 'clip_' || act || '_5' AS clip_id,
+  CASE WHEN p_size % 3 = 0 THEN 'KeyZ' WHEN p_size % 2 = 0 THEN 'auto' ELSE 'KeyF' END AS trigger, CASE WHEN p_size % 2 = 0 THEN 'scene.' || act || '.loop' ELSE 'input.' || act END AS state,
+  p_size || ' columns, ' || CAST(ceil(12.0 / p_size) AS INTEGER) || ' rows, 12 active frames.' AS grid, CAST(p_size % 4 + 1 AS INTEGER) AS n_tags, 'layer_' || act || '_7' AS layer_id, 'clip_' || act || '_5' AS active,
+  CAST(450 AS DOUBLE) AS x, CAST(502 AS DOUBLE) AS y, round(greatest(0.05, least(2.5, 220.0 / greatest(1, p_size * 10))), 6) AS scale
+FROM (SELECT *, lower(regexp_replace(regexp_replace(p_name, '[^a-zA-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS safe, 'act' || p_size % 7 AS act FROM part)
+""")
+def built_assets(t):
+    """Assets made of a sprite, an upload and an imported sheet, and the layer that shows one."""
+    size, now = F.col("p_size"), F.lit("2024-01-01T00:00:00.000Z")
+    action, tags = F.concat(F.lit("act"), (size % 7).cast("string")), F.array_join(F.transform(F.sequence(F.lit(0), size % 4), lambda i: F.concat(F.lit("t"), i.cast("string"))), ", ")
+    kind = F.when(size % 2 == 0, "auto").otherwise("keyboard")
+    rows = t("part").select("p_partkey", size.alias("p_size"), F.col("p_name").alias("title"), action.alias("action"), tags.alias("tags"), kind.alias("kind"), F.concat("p_name", F.lit(".png")).alias("file"))
+    made = scene.new_asset(F.struct(F.col("title").alias("characterName")), "prop", F.struct(F.col("action").alias("actionName")), F.col("tags"), now, F.col("p_size"))
+    still = scene.static_asset(F.lit("data:x"), F.col("file"), F.lit(10), F.lit(20), now, 9)
+    sheet_of = F.struct(F.lit("u").alias("url"), F.lit(64).alias("frameWidth"), (size * 10).alias("frameHeight"), F.lit(12).alias("frameCount"), size.alias("columns"), F.lit(640).alias("width"), F.lit(640).alias("height"), F.lit(8.0).alias("fps"))
+    imported = scene.imported_asset(F.col("title"), F.col("action"), "prop", F.col("kind"), F.when(size % 3 == 0, " KeyZ ").otherwise(" "), F.lit(""), F.col("tags"), sheet_of, F.lit(True), now, 5)
+    rows = rows.select("p_partkey", "p_size", made.alias("m"), still.alias("s"), imported.alias("i"))
+    shown = scene.inserted_layer(F.col("i"), F.struct(F.lit(1000.0).alias("width"), F.lit(500.0).alias("groundY")), 7)
+    rows = rows.withColumn("l", shown)
+    return rows.select(
+        "p_partkey", F.col("m.id").alias("made"), F.col("m.name").alias("made_name"), F.col("s.id").alias("static_id"), F.col("s.binding.gameState").alias("static_state"), F.col("i.id").alias("imported_id"), F.col("i.defaultAnimationId").alias("clip_id"),
+        F.col("i.binding.triggerValue").alias("trigger"), F.col("i.binding.gameState").alias("state"), F.col("i.sprite.adaptiveFramePolicy").alias("grid"), F.size("i.tags").alias("n_tags"), F.col("l.id").alias("layer_id"), F.col("l.activeAnimationId").alias("active"),
+        F.col("l.x").alias("x"), F.col("l.y").alias("y"), F.round("l.scale", 6).alias("scale"),
+    )
+
+
+@query(WITH + """, p AS (SELECT scene, name, "zIndex", row_number() OVER (PARTITION BY scene ORDER BY ordinal) - 1 AS n FROM l WHERE type = 'sprite')
+SELECT scene, CAST(n + 2 AS INTEGER) AS ordinal, 'layer_player_scene_9_' || n AS id, name, CAST(420 + n * 36 AS DOUBLE) AS x, CAST(522 AS DOUBLE) AS y, greatest(coalesce("zIndex", 30.0), 30.0) AS "zIndex", 'New Scene ' || (scene + 1) AS title FROM p
+UNION ALL SELECT scene, 0, 'layer_sky', 'Background', 0::DOUBLE, 720::DOUBLE, 0::DOUBLE, 'New Scene ' || (scene + 1) FROM (SELECT DISTINCT scene FROM l)
+UNION ALL SELECT scene, 1, 'layer_ground', 'Ground', 0::DOUBLE, 520::DOUBLE, 10::DOUBLE, 'New Scene ' || (scene + 1) FROM (SELECT DISTINCT scene FROM l)""")
+def new_scenes(t):
+    """A new scene with the players of another one side by side."""
+    rows = nested(t)
+    kind = rows.select(scene.default_scene()["layers"]).schema[0].dataType.simpleString()
+    players = F.from_json(F.to_json(F.filter("layers", lambda x: x["type"] == "sprite")), kind)
+    made = rows.select("scene", scene.new_scene(players, F.col("scene"), 9).alias("s")).select("scene", F.col("s.name").alias("title"), F.posexplode("s.layers").alias("ordinal", "x"))
+    return made.select("scene", "ordinal", "x.id", "x.name", "x.x", "x.y", "x.zIndex", "title")
+
+
+@query(f"""
+WITH {OF_ASSETS} SELECT 'asset_' || a.k AS id, CAST(n AS INTEGER) AS n, CASE WHEN n = 1 THEN 'Patched' ELSE 'Clip ' || n END AS clip, CASE WHEN n = 1 THEN 'KeyP' ELSE {key_sql('n').replace('k *', 'a.k *')} END AS bound,
+  CASE WHEN a.k % 5 > 0 AND a.k % 4 > 1 THEN 'KeyP' ELSE {key_sql('0').replace('k *', 'a.k *')} END AS asset_bound, CASE WHEN a.k % 5 > 0 AND a.k % 4 > 1 THEN 's' || a.k || '_1' ELSE 'new' END AS asset_sprite, CASE WHEN n = 0 THEN 'new' WHEN n <> 2 THEN 's' || a.k || '_' || n END AS clip_sprite
+FROM assets a JOIN clips c ON a.k = c.k
+""")
+def clip_patches(t):
+    """One clip patched, asset and default clip in step; a sprite replaced wherever it shows."""
+    a = F.struct("id", "sprite", "binding", "defaultAnimationId", "animations")
+    first = F.concat(F.lit("s"), F.col("ordinal").cast("string"), F.lit("_0"))
+    second = F.concat(F.lit("clip_"), F.col("ordinal").cast("string"), F.lit("_1"))
+    done = assets(t).select(F.col("id").alias("key"), first.alias("first"), scene.patched_clip(a, second, {"name": "Patched"}, {"triggerValue": "KeyP"}).alias("a"))
+    done = done.select("key", scene.replaced_sprite(F.col("a"), F.col("first"), F.col("a.sprite").withField("id", F.lit("new"))).alias("a"))
+    rows = done.select("key", "a", F.posexplode("a.animations").alias("n", "c"))
+    return rows.select(F.col("key").alias("id"), "n", F.col("c.name").alias("clip"), F.col("c.binding.triggerValue").alias("bound"), F.col("a.binding.triggerValue").alias("asset_bound"), F.col("a.sprite.id").alias("asset_sprite"), F.col("c.sprite.id").alias("clip_sprite"))
+
+
+@query("""
+WITH n AS (SELECT p_partkey, greatest(1, CAST(floor(coalesce(CASE WHEN p_size % 2 = 0 THEN p_size * 2.5 END, 64) + 0.5) AS INTEGER)) AS fw, 48 AS fh, greatest(1, CAST(floor(coalesce(CASE WHEN p_size % 3 = 0 THEN p_size - 5.5 END, 12) + 0.5) AS INTEGER)) AS n,
+  greatest(1, CAST(floor(coalesce(CASE WHEN p_size % 5 = 0 THEN p_size / 4.0 END, 4) + 0.5) AS INTEGER)) AS c FROM part), r AS (SELECT *, greatest(1, CAST(ceil(CAST(n AS DOUBLE) / c) AS INTEGER)) AS r FROM n)
+SELECT p_partkey, c AS columns, r AS rows, fw AS width, n AS count, CAST(c * fw <= 501 AND r * fh <= 401 AS BOOLEAN) AS fits, CAST(least(64, greatest(1, c)) AS INTEGER) AS export_columns, CAST(least(60, greatest(1, n)) AS INTEGER) AS export_fps FROM r WHERE c * fw <= 501 AND r * fh <= 401
+""")
+def rebuilt_grids(t):
+    """Sheets cut anew; grids that exceed their sheet go. Their numbers as an export takes them."""
+    s = F.col("p_size")
+    current = F.struct(F.lit(64.0).alias("frameWidth"), F.lit(48.0).alias("frameHeight"), F.lit(12.0).alias("frameCount"), F.lit(4.0).alias("columns"), F.lit(500).alias("width"), F.lit(400).alias("height"))
+    patch = F.struct(F.when(s % 2 == 0, s * 2.5).alias("frameWidth"), F.lit(None).cast("double").alias("frameHeight"), F.when(s % 3 == 0, s - 5.5).alias("frameCount"), F.when(s % 5 == 0, s / 4.0).alias("columns"))
+    rows = t("part").select("p_partkey", scene.rebuilt_grid(current, patch).alias("g")).filter("g IS NOT NULL")
+    fits = geometry.grid_fits(F.col("g.columns"), F.col("g.rows"), F.col("g.frameWidth"), F.col("g.frameHeight"), F.lit(500), F.lit(400))
+    export = numbers.export_settings(F.col("g.columns").cast("string"), F.col("g.frameCount").cast("string"), F.lit("x"), F.lit(None).cast("string"), F.lit("256"))
+    return rows.select("p_partkey", "g.columns", "g.rows", F.col("g.frameWidth").alias("width"), F.col("g.frameCount").alias("count"), fits.alias("fits"), export["columns"].alias("export_columns"), export["fps"].alias("export_fps"))
+
+
+@query(WITH + """, r AS (SELECT scene, ordinal, id, "zIndex", row_number() OVER (PARTITION BY scene ORDER BY "zIndex" DESC NULLS LAST, ordinal) - 1 AS p, count(*) OVER (PARTITION BY scene) AS n FROM l),
+s AS (SELECT *, min(CASE WHEN ordinal = 0 THEN p END) OVER (PARTITION BY scene) AS s, min(CASE WHEN ordinal = 2 THEN p END) OVER (PARTITION BY scene) AS t FROM r)
+SELECT scene, ordinal, CASE WHEN s IS NULL OR t IS NULL THEN "zIndex" ELSE CAST((n - CASE WHEN p = s THEN t WHEN p > s AND p <= t THEN p - 1 WHEN p < s AND p >= t THEN p + 1 ELSE p END) * 10 AS DOUBLE) END AS "zIndex" FROM s""")
+def layer_restacked(t):
+    """The first layer of each scene moved to the third one's place in the stack."""
+    rows = flat(t).select("scene", "ordinal", F.concat(F.lit("layer "), F.col("ordinal").cast("string")).alias("id"), "zIndex")
+    return scene.reordered(rows, "scene", "layer 0", "layer 2").select("scene", "ordinal", "zIndex")
+
+
+# --- texts, boards, documents and states ---------------------------------------------------------
+
+
+def light_sql(b: str, c: str, s: str) -> str:
+    return f"'brightness(' || {b} || ') contrast(' || {c} || ') saturate(' || {s} || ')'"
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, p_size, CASE WHEN p_size % 5 = 0 THEN 'none' ELSE {light_sql('p_size', "'1.5'", "'0.25'")} END AS scene_light,
+  CASE WHEN p_size % 3 = 0 THEN 'none' WHEN p_size % 3 = 1 OR p_size % 2 = 0 THEN {light_sql("'0.5'", 'p_size', "'2'")} || ' sepia(0.08) drop-shadow(-5px 0 8px rgba(16, 32, 255, 0.5)) drop-shadow(7px 0 10px rgba(255, 0, 16, 0.25)) drop-shadow(0 14px 18px rgba(4, 0, 12, 0.5))' END AS own FROM part)
+SELECT p_partkey, CASE WHEN scene_light = 'none' AND coalesce(own, 'none') = 'none' THEN 'none' WHEN coalesce(own, 'none') = 'none' THEN scene_light WHEN scene_light = 'none' THEN own ELSE scene_light || ' ' || own END AS style FROM p
+""")
+def style_filters(t):
+    """Style texts of a scene's and a layer's light; players are always lit."""
+    s = F.col("p_size")
+    light = lambda preset, b, c, x: F.struct(preset.alias("preset"), b.cast("double").alias("brightness"), c.cast("double").alias("contrast"), x.cast("double").alias("saturate"), F.lit("#ff0010").alias("edgeLightColor"), F.lit(0.25).alias("edgeLightOpacity"), F.lit("#1020ff").alias("rimLightColor"), F.lit(0.5).alias("rimLightOpacity"))
+    of_scene = light(F.when(s % 5 == 0, "none").otherwise("x"), s, F.lit(1.5), F.lit(0.25))
+    lit_by = light(F.lit("x"), F.lit(0.5), s, F.lit(2.0))
+    own = F.when(s % 3 == 0, light(F.lit("none"), F.lit(1), F.lit(1), F.lit(1))).when(s % 3 == 1, lit_by)
+    rows = t("part").select("p_partkey", "p_size", of_scene.alias("scene"), own.alias("own"), F.when(s % 2 == 0, "player").otherwise("prop").alias("role"), lit_by.alias("usual"))
+    return rows.select("p_partkey", scene.render_filter(F.col("scene"), F.col("own"), F.col("role"), F.col("usual")).alias("style"))
+
+
+@query("""
+WITH s AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS ordinal FROM orders), cur AS (SELECT max(k) AS k FROM s),
+r AS (SELECT s.k, row_number() OVER (ORDER BY ordinal) AS slot FROM s, cur WHERE s.k <> cur.k)
+SELECT CAST(k AS VARCHAR) AS id, 'Scene ' || k AS name, CAST(k % 4 AS INTEGER) AS layers, '1.60:1' AS ratio, CAST(slot AS INTEGER) AS slot FROM r WHERE slot <= 5
+UNION ALL SELECT CAST(k AS VARCHAR), 'Scene ' || k, CAST(k % 4 AS INTEGER), '1.60:1', 0 FROM cur
+""")
+def flow_board(t):
+    """The current scene and the first others on a board."""
+    k = F.col("o_orderkey")
+    layers = F.filter(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda x: x <= k % 4)
+    rows = t("orders").select(k.cast("string").alias("id"), F.concat(F.lit("Scene "), k.cast("string")).alias("name"), layers.alias("layers"), F.lit(1280.0).alias("viewportWidth"), F.lit(800.0).alias("viewportHeight"), k.alias("ordinal"))
+    return scene.flow_cards(rows, str(t("orders").agg(F.max("o_orderkey")).first()[0]))
+
+
+@query(f"""
+WITH {OF_ASSETS} SELECT 'asset_' || k AS id, CAST((k + 9) % 7 + 1 AS INTEGER) AS n_frames, least((k + 9) % 7 + 1, 3) || '+' || greatest(0, (k + 9) % 7 - 2) AS strip, CASE WHEN k % 4 = 0 THEN 'none' WHEN k % 4 = 2 THEN 'Walk Right ' || ({key_sql('0')})[4:] WHEN k % 8 = 1 THEN 'Walk Left' ELSE 'Clip 0' END AS label FROM assets WHERE (k + 9) % 7 + 1 > 2
+""")
+def drawn_assets(t):
+    """Assets with more than two frames, their first thumbnails and the label of their first clip."""
+    n = F.size("sprite.frames")
+    head = ordered.head_and_more(F.col("sprite.frames"), 3)
+    clip = F.try_element_at(F.col("animations"), F.lit(1))
+    direction = F.when(F.col("ordinal") % 4 == 2, "right").when(F.col("ordinal") % 8 == 1, "left")
+    label = text.clip_label(direction, clip["binding"]["actionName"], clip["name"], clip["binding"]["triggerType"], clip["binding"]["triggerValue"])
+    return assets(t).filter(n > 2).select("id", n.alias("n_frames"), F.concat(F.size(head["shown"]).cast("string"), F.lit("+"), head["more"].cast("string")).alias("strip"), F.when(clip.isNull(), "none").otherwise(label).alias("label"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 IN (0, 3) THEN 0 ELSE 2 END AS n_assets, CASE WHEN o_orderkey % 5 IN (0, 4) THEN 0 ELSE 1 END AS n_scenes, CASE WHEN o_orderkey % 5 = 1 THEN 'then' ELSE '2024-01-02T03:04:05.000Z' END AS updated,
+  CASE WHEN o_orderkey % 5 NOT IN (0, 3) THEN 'a' || o_orderkey END AS first_asset FROM orders
+""")
+def library_documents(t):
+    """Library documents as text: whole ones, one with a byte order mark, broken ones and wrong lists."""
+    k = F.col("o_orderkey")
+    whole = F.concat(F.lit('{"assets": [{"id": "a'), k.cast("string"), F.lit('"}, {"id": "b"}], "scenes": '))
+    body = (
+        F.when(k % 5 == 0, "{broken").when(k % 5 == 1, F.concat(whole, F.lit('[{"id": "s"}], "updatedTime": "then"}'))).when(k % 5 == 2, F.concat(F.lit("\ufeff"), whole, F.lit('[{"id": "s"}]}')))
+        .when(k % 5 == 3, '{"assets": 5, "scenes": [{"id": "s"}]}').otherwise(F.concat(whole, F.lit('{"id": "s"}}')))
+    )
+    now = F.lit("2024-01-02 03:04:05").cast("timestamp")
+    docs = t("orders").select("o_orderkey", body.alias("value"))
+    parsed = library.parsed_library(docs, now, keep=("o_orderkey",))
+    return parsed.select("o_orderkey", F.size("assets").alias("n_assets"), F.size("scenes").alias("n_scenes"), F.col("updatedTime").alias("updated"), F.try_element_at("assets", F.lit(1))["id"].alias("first_asset"))
+
+
+@query("SELECT n_nationkey, CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS ordinal, n_name AS name, '2024-01-02T03:04:05.000Z' AS updated FROM nation")
+def library_round_trip(t):
+    """A library written whole and read again, its order kept."""
+    spark = t("nation").sparkSession
+    asset = F.struct(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"))
+    listed_assets = t("nation").groupBy().agg(F.array_sort(F.collect_list(F.struct("n_nationkey", asset.alias("a")))).alias("x"))  # 25 nations
+    document = listed_assets.select(F.to_json(F.struct(F.transform("x", lambda x: x["a"]).alias("assets"))).alias("value"))
+    path, now = fresh_path(spark, "library"), F.lit("2024-01-02 03:04:05").cast("timestamp")
+    library.write_library(library.parsed_library(document, now), path, now)
+    again = library.read_libraries(spark, path)
+    rows = again.select("updatedTime", F.posexplode("assets").alias("ordinal", "x"))
+    return rows.select(F.col("x.id").cast("long").alias("n_nationkey"), "ordinal", "x.name", F.col("updatedTime").alias("updated"))
+
+
+@query("SELECT CASE WHEN count(*) FILTER (WHERE p_partkey % 7 = 0) > 0 THEN 'manifest ' || min(p_partkey) FILTER (WHERE p_partkey % 7 = 0) END AS manifest FROM part")
+def latest_manifest(t):
+    """The first manifest that exists."""
+    found = t("part").filter("p_partkey % 7 = 0").select(F.col("p_partkey").alias("priority"), F.concat(F.lit("manifest "), F.col("p_partkey").cast("string")).alias("manifest"), F.lit(True).alias("readable"))
+    return library.latest(found)
+
+
+@query("""
+WITH f AS (SELECT page_id, 'sheet_' || lpad(CAST(page_id AS VARCHAR), 9, '0') || '.' || CASE page_id % 4 WHEN 0 THEN 'PNG' WHEN 1 THEN 'txt' WHEN 2 THEN 'webp' ELSE 'gif' END AS name, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * (page_id % 9) AS modified, strlen(html) AS size FROM pages)
+SELECT name, '/generated/' || name AS url, lower(split_part(name, '.', 2)) AS extension, size, strftime(modified, '%Y-%m-%dT%H:%M:%S.000Z') AS "updatedTime" FROM f WHERE page_id % 4 <> 1 ORDER BY modified DESC, name LIMIT 50
+""")
+def image_listing(t):
+    """The newest images of a folder's files; of the same time, by name."""
+    k = F.col("page_id")
+    ending = F.when(k % 4 == 0, "PNG").when(k % 4 == 1, "txt").when(k % 4 == 2, "webp").otherwise("gif")
+    at = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp")) + k % 9 * 3600)
+    files = t("pages").select(F.concat(F.lit("file:/a/b/sheet_"), F.lpad(k.cast("string"), 9, "0"), F.lit("."), ending).alias("path"), F.octet_length("html").cast("long").alias("length"), at.alias("modificationTime"))
+    return library.image_listing(files).limit(50)
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_size FROM part) SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 3 ELSE 2 END AS n_keys, CASE WHEN p_size % 3 = 1 THEN 'new' WHEN p_size % 3 = 0 THEN 'old' ELSE 'old' END AS a, CASE WHEN p_size % 3 = 2 THEN 'new' ELSE CASE WHEN p_size % 3 = 0 THEN 'old' ELSE 'old' END END AS b,
+  p_size % 2 = 0 AS same, round(p_size / 8.0, 2) AS fixed, 'layer_' || p_size || '_x' AS id, CASE WHEN p_size % 9 = 0 THEN 80 ELSE p_size * 100 END AS port FROM p
+""")
+def scene_states(t):
+    """State maps with a key set, equality of records, fixed decimals, ids of parts and ports."""
+    s = F.col("p_size")
+    state = F.create_map(F.lit("a"), F.lit("old"), F.lit("b"), F.lit("old"))
+    put = numbers.put_state(state, F.element_at(F.array(F.lit("c"), F.lit("a"), F.lit("b")), (s % 3 + 1).cast("int")), F.lit("new"))
+    same = numbers.same_record(F.struct(s.alias("x"), F.lit(None).cast("string").alias("y")), F.struct((s + s % 2).alias("x"), F.lit(None).cast("string").alias("y")))
+    port = numbers.port(F.when(s % 9 == 0, F.lit("70000")).otherwise((s * 100).cast("string")), 80)
+    rows = t("part").select("p_partkey", put.alias("m"), same.alias("same"), numbers.fixed(s / 8).alias("fixed"), numbers.record_id("layer", s, "x").alias("id"), port.alias("port"))
+    return rows.select("p_partkey", F.size("m").alias("n_keys"), F.col("m")["a"].alias("a"), F.col("m")["b"].alias("b"), "same", "fixed", "id", "port")
+
+
+# --- generators -----------------------------------------------------------------------------------
+
+
+def number_sql(rule: tuple, n: str) -> str:
+    """A number of the generators' tables for DuckDB, at frame i of ``n``."""
+    kind, base, *r = rule
+    if kind in ("line", "sweep", "turn"):
+        return {"line": f"{base} + i * {r[0]}", "sweep": f"{base} + i * ({r[0]}.0 / {n})", "turn": f"{base} + i % {r[0]}"}[kind]
+    if kind == "fall":
+        return f"{base} - ((i + {r[0]}) * {r[1]}) % {r[2]}"
+    wave = {"sin": "sin({})", "cos": "cos({})", "abscos": "abs(cos({}))"}[kind].format(f"i * 2 * pi() / {n} * {r[1]} + {r[2]}")
+    return f"{base} + {r[0]} * {wave}"
+
+
+def family_sql(tables: dict, name: str, n: str) -> str:
+    """Rows (family, i, name, value) of one family."""
+    values = {k: number_sql(rule, n) for k, rule in tables[name].items()}
+    if name == "slime":
+        values |= {"scaleX": f"1 / sqrt({values['scaleY']})", "shadowX": f"75 / sqrt({values['scaleY']})", "shadowY": f"12 * (2 - ({values['scaleY']}))"}
+    if name == "slash":
+        values |= {"sweepOpacity": f"CASE WHEN i * 1.0 / {n} BETWEEN 0.2 AND 0.7 THEN 0.7 - abs(i * 1.0 / {n} - 0.45) * 1.5 ELSE 0 END", "flash": f"CASE WHEN i * 1.0 / {n} > 0.4 AND i * 1.0 / {n} < 0.6 THEN 1 ELSE 0 END"}
+    return " UNION ALL ".join(f"SELECT '{name}' AS family, i, '{k}' AS name, round(CAST({v} AS DOUBLE), 6) AS value FROM range(0, {n}) t(i)" for k, v in values.items())
+
+
+PROMPTS = {"slime": "A jelly blob", "coin": "Spinning coin", "fire": "a flame", "slash": "Sword", "flyer": "a bat", "astral": "stars"}
+
+
+@query("SELECT family, CAST(i AS INTEGER) AS frame, name, value FROM (" + " UNION ALL ".join(family_sql(frames.FAMILIES, f, "12") for f in PROMPTS) + ")")
+def generated_frames(t):
+    """Every number of every family's frames, from prompts."""
+    spark = t("region").sparkSession
+    rows = frames.procedural(spark.createDataFrame([(p,) for p in PROMPTS.values()], "prompt string"), "prompt", F.lit(12))
+    return rows.select("family", "frame", F.explode("parameters").alias("name", "value")).withColumn("value", F.round("value", 6))
+
+
+@query("SELECT family, CAST(i AS INTEGER) AS frame, name, value FROM (" + " UNION ALL ".join(family_sql(frames.PRESETS, f, str(n)) for f, n in frames.PRESET_FRAMES.items()) + ")")
+def preset_loops(t):
+    """Every number of the built-in loops."""
+    rows = frames.preset_frames(t("region").sparkSession)
+    return rows.select("family", "frame", F.explode("parameters").alias("name", "value")).withColumn("value", F.round("value", 6))
+
+
+MOVES_SQL = """
+WITH m AS (SELECT n_nationkey, i, n_nationkey % 5 AS k, i / 12.0 AS t FROM nation, range(0, 12) r(i)),
+w AS (SELECT *, sin(t * 2 * pi()) AS w, cos(t * 2 * pi()) AS c, sin(t * pi()) AS arc, sin(least(1.0, t * 1.65) * pi()) AS strike FROM m),
+v AS (SELECT *, CASE k WHEN 1 THEN greatest(-30.0, least(12.0, strike * -7)) WHEN 2 THEN greatest(-30.0, least(12.0, arc * -30)) ELSE w * -5 END AS y, CASE k WHEN 1 THEN greatest(-10.0, least(10.0, strike * 8)) WHEN 2 THEN w * 2 WHEN 3 THEN 0.0 ELSE c * 1.5 END AS x,
+  CASE k WHEN 1 THEN strike * 18 - 8 WHEN 2 THEN w * 4 WHEN 3 THEN c * 2 ELSE w * 2 END AS turn FROM w)
+"""
+
+
+@query(MOVES_SQL + """SELECT n_nationkey, CAST(i AS INTEGER) AS frame, CASE WHEN k = 0 THEN 'walking needs more than one reference image' END AS error, CASE WHEN k > 0 THEN round(x, 6) END AS x, CASE WHEN k > 0 THEN round(y, 6) END AS y, CASE WHEN k > 0 THEN round(greatest(-4.5, least(4.5, turn)), 6) END AS rotate,
+  CASE WHEN k > 0 THEN round(58 * (1 - least(0.28, abs(y) / 120)), 6) END AS shadow, CAST(CASE k WHEN 0 THEN -1 WHEN 1 THEN 2 WHEN 3 THEN 8 ELSE 1 END AS INTEGER) AS n_effects,
+  CASE k WHEN 1 THEN 54.0 WHEN 2 THEN round(92 + w * 6, 6) WHEN 3 THEN round(128 + c * (58 + w * 8), 6) WHEN 4 THEN round(92 + w * 6, 6) END AS effect_x FROM v""")
+def reference_frames(t):
+    """A reference picture in motion, with shadow and effects; walking is an error."""
+    words = F.array(*map(F.lit, ("walk on", "attack", "jump up", "magic spell", "stand")))
+    rows = frames.reference_motion(t("nation").withColumn("prompt", F.element_at(words, (F.col("n_nationkey") % 5 + 1).cast("int"))), "prompt", F.lit(12), F.lit(4))
+    r = lambda c: F.round(c, 6)
+    return rows.select("n_nationkey", "frame", "error", r(F.col("move.x")).alias("x"), r(F.col("move.y")).alias("y"), r(F.col("move.rotate")).alias("rotate"), r(F.col("shadow")).alias("shadow"), F.coalesce(F.array_size("effects"), F.lit(-1)).alias("n_effects"), r(F.try_element_at("effects", F.lit(1))["x"]).alias("effect_x"))
+
+
+@query("""
+SELECT n_nationkey, CAST(i AS INTEGER) AS frame, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="' || (i % 2 * 256) || ' ' || (i // 2 * 256) || ' 256 256" width="256" height="256">' || '<g transform="translate(0,0)"><a' || n_nationkey || '/></g><g transform="translate(256,0)"><b/></g><g transform="translate(0,256)"><c/></g>' || '</svg>' AS markup,
+  '<svg xmlns="http://www.w3.org/2000/svg" width="64" height="48" viewBox="' || (i % 2 * 64) || ' ' || (i // 2 * 48) || ' 64 48" overflow="hidden"><image href="a&amp;b" x="0" y="0" width="128" height="96" preserveAspectRatio="none"/></svg>' AS view FROM nation, range(0, 3) t(i)
+""")
+def sheet_markup(t):
+    """Frames bundled on a sheet, the sheet cut into views, and views on an image."""
+    body = F.when(F.col("i") == 0, F.concat(F.lit("<a"), F.col("n_nationkey").cast("string"), F.lit("/>"))).when(F.col("i") == 1, "<b/>").otherwise("<c/>")
+    own = t("nation").select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).withColumn("markup", F.concat(F.lit("<svg>"), body, F.lit("</svg>")))
+    cut = frames.sliced(frames.bundled(own, "n_nationkey", "i", "markup", 2), "sheet", F.lit(3), F.lit(2))
+    at = geometry.grid_cell(F.col("frame"), 2)
+    view = frames.window_markup(F.lit("a&b"), at["column"] * 64, at["row"] * 48, F.lit(64), F.lit(48), F.lit(128), F.lit(96))
+    return cut.select("n_nationkey", "frame", "markup", view.alias("view"))
+
+
+# --- sheets ---------------------------------------------------------------------------------------
+
+# A nation's sheet: 3 x 2 cells of 40 pixels on green, a blob in each, its top row faint; in every fifth sheet the blobs touch.
+SHEET_W, SHEET_H = 120, 80
+PIXELS = f"""px AS (SELECT n_nationkey AS k, x, y, CASE WHEN NOT (CASE WHEN n_nationkey % 5 = 0 THEN TRUE ELSE x % 40 >= 6 + n_nationkey % 5 AND x % 40 < 30 + n_nationkey % 5 END AND y % 40 >= 5 AND y % 40 < 33) THEN 0 WHEN y % 40 = 5 THEN 20 ELSE 255 END AS a
+  FROM nation, range(0, {SHEET_W}) a(x), range(0, {SHEET_H}) b(y))"""
+GRID = f"""WITH {PIXELS}, h AS (SELECT k, 'x' AS axis, x AS i, count(*) AS n FROM px WHERE a > 24 GROUP BY k, x UNION ALL SELECT k, 'y', y, count(*) FROM px WHERE a > 24 GROUP BY k, y),
+up AS (SELECT *, i - row_number() OVER (PARTITION BY k, axis ORDER BY i) AS island FROM h WHERE n > 3), isl AS (SELECT k, axis, min(i) AS s, max(i) + 1 AS e FROM up GROUP BY k, axis, island),
+mk AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY k, axis ORDER BY s) <= 6 THEN 0 ELSE 1 END AS opens FROM isl), nr AS (SELECT *, sum(opens) OVER (PARTITION BY k, axis ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM mk),
+ru AS (SELECT k, axis, min(s) AS s, max(e) AS e FROM nr GROUP BY k, axis, run HAVING max(e) - min(s) >= 12), ce AS (SELECT k, axis, list((s + e) / 2.0 ORDER BY s) AS c FROM ru GROUP BY k, axis),
+bo AS (SELECT k, axis, CASE WHEN axis = 'x' AND len(c) = 3 THEN [greatest(0, round_even(c[1] - (c[3] - c[1]) / 4, 0)), round_even((c[1] + c[2]) / 2, 0), round_even((c[2] + c[3]) / 2, 0), least({SHEET_W}, round_even(c[3] + (c[3] - c[1]) / 4, 0))]
+  WHEN axis = 'y' AND len(c) = 2 THEN [greatest(0, round_even(c[1] - (c[2] - c[1]) / 2, 0)), round_even((c[1] + c[2]) / 2, 0), least({SHEET_H}, round_even(c[2] + (c[2] - c[1]) / 2, 0))] END AS b FROM ce),
+g AS (SELECT k, max(b) FILTER (WHERE axis = 'x') AS xb, max(b) FILTER (WHERE axis = 'y') AS yb FROM bo GROUP BY k),
+gr AS (SELECT k, xb IS NOT NULL AND yb IS NOT NULL AS found, CASE WHEN xb IS NOT NULL AND yb IS NOT NULL THEN xb ELSE [0, 40, 80, 120] END AS xb, CASE WHEN xb IS NOT NULL AND yb IS NOT NULL THEN yb ELSE [0, 40, 80] END AS yb FROM g),
+ce2 AS (SELECT k, found, f, xb[f % 3 + 1] AS l, xb[f % 3 + 2] AS r, yb[f // 3 + 1] AS t, yb[f // 3 + 2] AS b FROM gr, range(0, 6) z(f)), ins AS (SELECT *, greatest(1, round_even(least(r - l, b - t) * 0.01, 0)) AS k1 FROM ce2),
+cell AS (SELECT k, found, f, least(r, l + k1) AS x0, least(b, t + k1) AS y0, greatest(least(r, l + k1) + 1, r - k1) AS x1, greatest(least(b, t + k1) + 1, b - k1) AS y1 FROM ins),
+own AS (SELECT c.k, f, x - x0 AS x, y - y0 AS y, a FROM px JOIN cell c ON c.k = px.k AND x >= x0 AND x < x1 AND y >= y0 AND y < y1 WHERE a > 0),
+box AS (SELECT k, f, min(x) AS bx0, min(y) AS by0, max(x) + 1 AS bx1, max(y) + 1 AS by1 FROM own GROUP BY k, f),
+body AS (SELECT own.k, own.f, sum(x * a) / sum(a) AS ax, sum(y * a) / sum(a) AS ay FROM own JOIN box ON own.k = box.k AND own.f = box.f WHERE a > 24 AND y < greatest(by0 + 1, by0 + trunc((by1 - by0) * 0.58)) GROUP BY own.k, own.f)
+"""
+
+
+def sheets(t) -> tuple[DataFrame, DataFrame]:
+    """Pixels as painted, green where nothing is, and the sheets' sizes."""
+    k, x, y = F.col("n_nationkey"), F.col("x"), F.col("y")
+    rows = t("nation").select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(SHEET_W - 1))).alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.lit(SHEET_H - 1))).alias("y"))
+    blob = F.when(k % 5 == 0, True).otherwise((x % 40 >= 6 + k % 5) & (x % 40 < 30 + k % 5)) & (y % 40 >= 5) & (y % 40 < 33)
+    colour = {"r": F.when(blob, 200).otherwise(0), "g": F.when(blob, 60).otherwise(255), "b": F.when(blob, 40).otherwise(0), "a": F.when(blob & (y % 40 == 5), 20).otherwise(255)}
+    pixels = rows.select(k.alias("sheet_id"), "x", "y", *(v.alias(n) for n, v in colour.items()))
+    return pixels, t("nation").select(k.alias("sheet_id"), F.lit(SHEET_W).alias("width"), F.lit(SHEET_H).alias("height"), F.lit(3).alias("columns"), F.lit(2).alias("rows"))
+
+
+@query(f"WITH {PIXELS} SELECT k, 'x' AS axis, CAST(x AS INTEGER) AS i, count(*) AS n FROM px WHERE a > 24 GROUP BY k, x UNION ALL SELECT k, 'y', CAST(y AS INTEGER), count(*) FROM px WHERE a > 24 GROUP BY k, y")
+def sheet_projections(t):
+    """Visible pixels of each column and row of a keyed sheet."""
+    pixels, _ = sheets(t)
+    return sheet.projections(sheet.keyed_out(pixels)).select(F.col("sheet_id").alias("k"), "axis", "i", "n")
+
+
+@query(GRID + """, sc AS (SELECT k, least((64 - 12) / max(bx1 - bx0), (48 - 12) / max(by1 - by0)) AS s FROM box GROUP BY k)
+SELECT c.k, CAST(c.f AS INTEGER) AS frame, CASE WHEN found THEN 'auto_detected' ELSE 'proportional_fallback' END AS mode, CAST(x0 AS INTEGER) AS x0, CAST(y0 AS INTEGER) AS y0, CAST(x1 AS INTEGER) AS x1, CAST(y1 AS INTEGER) AS y1,
+  CAST(bx0 AS INTEGER) AS bx0, CAST(by0 AS INTEGER) AS by0, CAST(bx1 AS INTEGER) AS bx1, CAST(by1 AS INTEGER) AS by1, round(ax, 6) AS ax, round(ay, 6) AS ay, round(s, 6) AS scale,
+  CAST(greatest(1, round_even((bx1 - bx0) * s, 0)) AS INTEGER) AS placed_w, CAST(greatest(1, round_even((by1 - by0) * s, 0)) AS INTEGER) AS placed_h,
+  CAST(CASE WHEN greatest(1, round_even((bx1 - bx0) * s, 0)) <= 56 THEN greatest(4, least(64 - greatest(1, round_even((bx1 - bx0) * s, 0)) - 4, round_even(32 - (ax - bx0) * s, 0))) ELSE floor((64 - greatest(1, round_even((bx1 - bx0) * s, 0))) / 2) END AS INTEGER) AS placed_x,
+  CAST(CASE WHEN greatest(1, round_even((by1 - by0) * s, 0)) <= 40 THEN greatest(4, least(48 - greatest(1, round_even((by1 - by0) * s, 0)) - 4, round_even(48 * 0.305 - (ay - by0) * s, 0))) ELSE floor((48 - greatest(1, round_even((by1 - by0) * s, 0))) / 2) END AS INTEGER) AS placed_y
+FROM cell c JOIN box ON box.k = c.k AND box.f = c.f JOIN body ON body.k = c.k AND body.f = c.f JOIN sc ON sc.k = c.k
+""")
+def sheet_normalisation(t):
+    """Sheets from keying to placement: grid, cells, boxes, anchors, scale and place of every frame."""
+    pixels, all_sheets = sheets(t)
+    clean = sheet.keyed_out(pixels)
+    grids = cut(sheet.grid(clean, all_sheets))  # a row for each sheet, and one for each frame
+    done = sheet.placed(cut(sheet.frames(clean, grids)), 64, 48).join(grids.select("sheet_id", "mode"), "sheet_id")
+    boxes = {"x0": "cell.x0", "y0": "cell.y0", "x1": "cell.x1", "y1": "cell.y1", "bx0": "bbox.x0", "by0": "bbox.y0", "bx1": "bbox.x1", "by1": "bbox.y1"}
+    place = {n: F.get("placed", F.lit(i)) for i, n in enumerate(("placed_x", "placed_y", "placed_w", "placed_h"))}
+    return done.select(F.col("sheet_id").alias("k"), "frame", "mode", *(F.col(v).alias(n) for n, v in boxes.items()), F.round("anchor.x", 6).alias("ax"), F.round("anchor.y", 6).alias("ay"), F.round("scale", 6).alias("scale"), *(v.alias(n) for n, v in place.items()))
+
+
+@query(GRID + """SELECT k, 6 AS n_frames, CAST(xb[2] AS INTEGER) AS second_bound, '[64,48]' AS size, '[192,96]' AS sheet_size, '[32.0,14.64]' AS anchor FROM gr""")
+def sheet_manifests(t):
+    """One manifest for each sheet."""
+    pixels, all_sheets = sheets(t)
+    made = sheet.manifests(pixels, all_sheets, 64, 48, "now")
+    return made.select(F.col("sheet_id").alias("k"), F.size("frameBboxes").alias("n_frames"), F.get("gridDetection.xBounds", F.lit(1)).alias("second_bound"), F.to_json("frameSize").alias("size"), F.to_json("sheetSize").alias("sheet_size"), F.to_json(F.get("rootAnchors", F.lit(0))).alias("anchor"))
+
+
+# --- state over time ------------------------------------------------------------------------------
+
+
+def sessions(t, event: Column) -> DataFrame:
+    return t("events").select(F.col("user_id").cast("string").alias("session_id"), F.struct("ts", "event_id").alias("seq"), F.to_json(event).alias("event"))
+
+
+EVENTS = "e AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), u AS (SELECT DISTINCT session_id FROM e)"
+
+
+def state(field: str, kind: str) -> Column:
+    return F.get_json_object("state", f"$.{field}").cast(kind).alias(field.split(".")[-1])
+
+
+@query(f"""
+WITH RECURSIVE {EVENTS}, f AS (SELECT session_id, CAST(0 AS BIGINT) AS i, 100.0::DOUBLE AS x, 0.0::DOUBLE AS camera FROM u
+  UNION ALL SELECT f.session_id, e.i, round(least(greatest(x + CASE WHEN event_id % 5 = 0 THEN -1 ELSE 1 END * 0.12 * least(50, event_id % 14 * 5), 0), 3776), 2), round(least(greatest(least(greatest(x + CASE WHEN event_id % 5 = 0 THEN -1 ELSE 1 END * 0.12 * least(50, event_id % 14 * 5), 0), 3776) + 32 - 537.6, 0), 2560), 2)
+  FROM f JOIN e ON e.session_id = f.session_id AND e.i = f.i + 1)
+SELECT session_id, arg_max(x, i) AS x, arg_max(camera, i) AS camera, max(i) AS n_events FROM f GROUP BY session_id
+""")
+def walk_steps(t):
+    """Players moved by held keys, and the camera behind them."""
+    k = F.col("event_id")
+    rows = sessions(t, F.struct(F.when(k % 5 == 0, "left").otherwise("right").alias("kind"), (k % 14 * 5).alias("ms")))
+    return reducers.fold(rows, "walk", start={"x": 100.0, "width": 64.0}).select("session_id", state("x", "double"), state("camera", "double"), "n_events")
+
+
+@query(f"""
+WITH RECURSIVE {EVENTS}, f AS (SELECT session_id, CAST(0 AS BIGINT) AS i, 500.0::DOUBLE AS x, 'approaching' AS phase FROM u
+  UNION ALL SELECT f.session_id, e.i, CASE WHEN phase = 'approaching' AND event_id % 3 > 0 THEN round(greatest(50, x - 0.33 * least(50, event_id % 11 * 10)), 2) ELSE x END,
+    CASE WHEN phase = 'approaching' AND event_id % 3 > 0 AND abs(greatest(50, x - 0.33 * least(50, event_id % 11 * 10)) - 50) < 3 THEN 'ready' WHEN phase = 'ready' AND event_id % 3 = 0 THEN 'boarded' ELSE phase END FROM f JOIN e ON e.session_id = f.session_id AND e.i = f.i + 1)
+SELECT session_id, arg_max(x, i) AS x, arg_max(phase, i) AS phase FROM f GROUP BY session_id
+""")
+def vehicle_approach(t):
+    """Vehicles that come, wait and are boarded."""
+    k = F.col("event_id")
+    rows = sessions(t, F.struct(F.when(k % 3 == 0, "board").otherwise("tick").alias("kind"), (k % 11 * 10).alias("ms")))
+    return reducers.fold(rows, "approach", start={"x": 500.0, "target": 50.0}).select("session_id", state("x", "double"), state("phase", "string"))
+
+
+def history_sql(reset: str, keep: str) -> str:
+    """Undo and redo as lists, step by step: kind, value and the scene (or cards) of each event as ``s``."""
+    return f"""
+WITH RECURSIVE {EVENTS}, v AS (SELECT *, CASE event_id % 6 WHEN 0 THEN 'undo' WHEN 1 THEN 'redo' WHEN 2 THEN 'motion' ELSE 'change' END AS kind, CAST(event_id % 4 AS VARCHAR) AS value, CASE WHEN event_id % 40 = 3 THEN 'b' WHEN event_id % 40 = 23 THEN 'a' END AS s FROM e),
+f AS (SELECT session_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS scene, CAST(NULL AS VARCHAR) AS now, CAST([] AS VARCHAR[]) AS past, CAST([] AS VARCHAR[]) AS future FROM u
+  UNION ALL SELECT f.session_id, v.i, CASE WHEN {reset} THEN {keep} ELSE scene END,
+    CASE WHEN {reset} THEN value WHEN kind = 'undo' THEN CASE WHEN len(past) > 0 THEN past[-1] ELSE now END WHEN kind = 'redo' THEN CASE WHEN len(future) > 0 THEN future[1] ELSE now END ELSE value END,
+    CASE WHEN {reset} THEN [] WHEN kind = 'undo' THEN past[:-2] WHEN kind = 'redo' THEN CASE WHEN len(future) > 0 THEN list_append(past, now)[-80:] ELSE past END WHEN value = now OR kind = 'motion' THEN past ELSE list_append(past, now)[-80:] END,
+    CASE WHEN {reset} THEN [] WHEN kind = 'undo' THEN CASE WHEN len(past) > 0 THEN list_prepend(now, future)[:80] ELSE future END WHEN kind = 'redo' THEN future[2:] WHEN value = now OR kind = 'motion' THEN future ELSE [] END
+  FROM f JOIN v ON v.session_id = f.session_id AND v.i = f.i + 1)
+SELECT session_id, arg_max(scene, i) AS scene, arg_max(now, i) AS now, arg_max(array_to_string(past, ','), i) AS past, arg_max(array_to_string(future, ','), i) AS future FROM f GROUP BY session_id
+"""
+
+
+def history(t, machine: str, field: str) -> DataFrame:
+    k = F.col("event_id")
+    kind = F.when(k % 6 == 0, "undo").when(k % 6 == 1, "redo").when(k % 6 == 2, "motion").otherwise("change")
+    other = F.when(k % 40 == 3, "b").when(k % 40 == 23, "a")
+    done = reducers.fold(sessions(t, F.struct(kind.alias("kind"), (k % 4).cast("string").alias("target"), other.alias(field))), machine)
+    many = lambda n: F.array_join(F.from_json(F.get_json_object("state", f"$.{n}"), "array<string>"), ",").alias(n)
+    kept = "scene" if machine == "history" else "cards"
+    return done.select("session_id", F.get_json_object("state", f"$.{kept}").alias("scene"), state("now", "string"), many("past"), many("future"))
+
+
+@query(history_sql("scene IS NULL OR (kind IN ('change', 'motion') AND s <> scene)", "coalesce(s, value)"))
+def scene_history(t):
+    """Undo and redo of scenes: another scene begins anew, motion isn't recorded."""
+    return history(t, "history", "scene")
+
+
+@query(f"""
+WITH {EVENTS}, v AS (SELECT *, event_id % 5 AS k FROM e),
+a AS (SELECT session_id, max(CASE WHEN k = 0 THEN i END) AS picked, count(*) AS n, max(i) AS last FROM v GROUP BY session_id),
+s AS (SELECT a.session_id, count(*) FILTER (WHERE k = 1 AND (picked IS NULL OR i > picked)) AS toggles, picked IS NOT NULL AS had, arg_max(event_id, i) FILTER (WHERE k = 2) AS set_by, arg_max(event_id, i) FILTER (WHERE k = 3) AS linked, arg_max(event_id, i) AS last FROM a JOIN v ON v.session_id = a.session_id GROUP BY a.session_id, picked)
+SELECT session_id, (NOT had) = (toggles % 2 = 0) AS visible, CASE WHEN had THEN 'true' END AS old_key, CASE WHEN set_by % 2 = 0 THEN '16.0' WHEN set_by IS NOT NULL THEN 'on' END AS the_prompt, CASE WHEN linked IS NULL THEN 's1' ELSE 's2' END AS current, 'Said ' || last AS message FROM s
+""")
+def interaction_fold(t):
+    """Pickups, toggles, states, links and animations without a clip, one after another."""
+    k = F.col("event_id")
+    action = F.element_at(F.array(*map(F.lit, ("pickup-item", "toggle-layer", "set-state", "scene-link", "play-animation"))), (k % 5 + 1).cast("int"))
+    value = F.when(k % 2 == 0, "0x10").otherwise("on")
+    i = F.struct(action.alias("actionType"), F.concat(F.lit("Said "), k.cast("string")).alias("subtitle"), F.lit("The Prompt!").alias("promptText"), value.alias("setStateValue"), F.lit("s2").alias("targetSceneId"))
+    start = {"layers": {"key": {"name": "Old Key!", "visible": True}}, "scenes": ["s2"], "current": "s1"}
+    done = reducers.fold(sessions(t, F.struct(F.lit("key").alias("target"), i.alias("interaction"))), "interaction", start=start)
+    return done.select("session_id", state("layers.key.visible", "boolean"), state("values.old_key", "string"), state("values.the_prompt", "string"), state("current", "string"), state("message", "string"))

@@ -26,8 +26,8 @@ def read_library(spark: SparkSession, path: str, now: Column) -> DataFrame:
     return parsed_library(raw, now)
 
 
-def parsed_library(raw: DataFrame, now: Column) -> DataFrame:
-    """Column value (text of a document) as a library row; each list is parsed by itself, so one broken list leaves the other whole."""
+def parsed_library(raw: DataFrame, now: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Column value (text of a document) as a library row beside ``keep``; each list is parsed by itself, so one broken list leaves the other whole."""
     body = F.regexp_replace("value", "^﻿", "")
 
     def part(name: str, kind: str) -> Column:
@@ -35,7 +35,7 @@ def parsed_library(raw: DataFrame, now: Column) -> DataFrame:
         return F.coalesce(F.from_json(F.when(own.startswith("["), own), kind), F.array().cast(kind))
 
     return raw.select(
-        part("assets", f"ARRAY<{ASSET}>").alias("assets"), part("scenes", f"ARRAY<{SCENE}>").alias("scenes"),
+        *keep, part("assets", f"ARRAY<{ASSET}>").alias("assets"), part("scenes", f"ARRAY<{SCENE}>").alias("scenes"),
         numbers.text_or(F.get_json_object(body, "$.updatedTime"), numbers.iso_time(now)).alias("updatedTime"),
     )
 

@@ -37,17 +37,19 @@ def test_priority_clip(spark):
 def test_nearest_first_then_reach(spark):
     points = spark.createDataFrame([("s1", 0.0), ("s2", 100.0), ("s3", 999.0)], "scene string, px double")
     boxes = spark.createDataFrame([("a", 5.0, 1.0, 0), ("b", 10.0, 50.0, 1), ("c", 95.0, 9.0, 2), ("d", 105.0, 9.0, 3)], "box string, bx double, radius double, ordinal int")
-    got = lookup.nearest_in_reach(points, boxes, "scene", F.abs(F.col("px") - F.col("bx")), F.col("radius"), ["ordinal"])
+    got = lookup.nearest_in_reach(points, boxes, "scene", F.abs(F.col("px") - F.col("bx")), F.col("radius"), ["ordinal"], F.lit(True))
     assert sorted((r.scene, r.box) for r in got.collect()) == [("s2", "c")]  # s1: a is nearest but out of its reach; s2: tie by order
 
 
 def test_binding_match_and_owner(spark):
-    rows = [(0, "l0", True, [("c1", "KeyA")], "KeyQ"), (1, "l1", False, [("c2", "KeyB")], None), (2, "l2", True, [("c3", "keya"), ("c4", "KEYB")], None), (3, "l3", True, [], "KeyZ")]
-    df = spark.createDataFrame(rows, "ordinal int, layer_id string, visible boolean, c array<struct<id: string, v: string>>, b string").select(
-        "ordinal", "layer_id", "visible", F.transform("c", lambda c: F.struct(c["id"].alias("id"), F.struct(F.lit("keyboard").alias("triggerType"), c["v"].alias("triggerValue")).alias("binding"))).alias("animations"),
-        F.struct(F.lit("keyboard").alias("triggerType"), F.col("b").alias("triggerValue")).alias("binding"))
-    keys = spark.createDataFrame([("KeyA",), ("keyb",), ("KeyZ",), ("KeyQ",)], "code string")
-    assert sorted(map(tuple, lookup.binding_match(df, keys).collect())) == [("KeyA", "l0", "c1"), ("KeyZ", "l3", None), ("keyb", "l2", "c4")]
+    rows = [(0, "l0", "sprite", True, [("c1", "KeyA")]), (1, "l1", "sprite", False, [("c2", "KeyB")]), (2, "l2", "effect", True, [("c3", "keya"), ("c4", "KEYB")]), (3, "l3", "background", True, [("c5", "KeyC")])]
+    bound = lambda c: F.struct(c["id"].alias("id"), F.struct(F.lit("keyboard").alias("triggerType"), c["v"].alias("triggerValue")).alias("binding"))
+    df = spark.createDataFrame(rows, "ordinal int, layer_id string, type string, visible boolean, c array<struct<id: string, v: string>>").withColumn("animations", F.transform("c", bound))
+    own = spark.createDataFrame([(0, "a0", [("c", "KeyX")], "KeyZ"), (1, "a1", [], "KeyA"), (2, "a2", None, "keyz"), (3, "a3", None, "KeyC")], "ordinal int, id string, c array<struct<id: string, v: string>>, b string")
+    own = own.withColumn("animations", F.transform("c", bound)).withColumn("binding", F.struct(F.lit("keyboard").alias("triggerType"), F.col("b").alias("triggerValue")))
+    keys = spark.createDataFrame([("KeyA",), ("keyb",), ("KeyZ",), ("KeyQ",), ("KeyC",)], "code string")
+    got = sorted(map(tuple, lookup.binding_match(df, keys, own).collect()))
+    assert got == [("KeyA", "l0", "c1", None), ("KeyC", None, None, "a3"), ("KeyZ", None, None, "a2"), ("keyb", "l2", "c4", None)]
     assets = spark.createDataFrame([("a", 0, ("s1",), [("s9",)]), ("b", 1, ("s9",), None)], "id string, ordinal int, sprite struct<id: string>, n array<struct<id: string>>").withColumn("animations", F.transform("n", lambda x: F.struct(x.alias("sprite")))).drop("n")
     assert [r.id for r in lookup.owner_of_sprite(assets, "s9").collect()] == ["a"] and lookup.owner_of_sprite(assets, "no").count() == 0
 
@@ -281,7 +283,7 @@ def test_sheets(spark):
 
 
 def test_faint_pixels_use_the_fallback_anchor(spark):
-    cells = spark.createDataFrame([("s", 0, 0, 0, (0, 0, 50, 50))], "sheet_id string, frame int, column int, row int, cell struct<x0: int, y0: int, x1: int, y1: int>")
+    cells = spark.createDataFrame([("s", 1, 1, [-1, 51], [-1, 51])], "sheet_id string, columns int, rows int, x_bounds array<int>, y_bounds array<int>")  # a cell of 50 within its border
     faint = spark.createDataFrame([("s", 10, 10, 0, 0, 0, 24), ("s", 19, 29, 0, 0, 0, 5)], PIXELS)
     f = sheet.frames(faint, cells).first()
     assert tuple(f.bbox) == (10, 10, 20, 30) and (f.anchor.x, f.anchor.y) == (15, pytest.approx(16.4))
@@ -303,12 +305,52 @@ def test_generators(spark):
     e = spark.createDataFrame([(["a", "b"], 4), (["a", "b"], 1)], "f array<string>, n int").select(frames.exported(F.col("f"), F.col("n"), F.lit(3))).collect()
     assert [r[0] for r in e] == [["a", "b", "b", "b"], ["a", "a", "a"]]
     assert frames.preset_frames(spark, {"coin": 4, "fire": 6}).count() == 10
+    bat = frames.preset_frames(spark).filter("family = 'bat' AND frame = 4").first().parameters
+    assert bat["wing1"] == pytest.approx(215) and bat["bob"] == pytest.approx(0) and frames.preset_frames(spark).count() == 52
+
+
+def test_built_in_tables(spark):
+    from lamina.sources import builtin
+
+    assert [builtin.viewports(spark).count(), builtin.interaction_presets(spark).count(), builtin.kit_assets(spark).count(), builtin.kit_layers(spark).count(), builtin.preset_sprites(spark).count()] == [11, 6, 6, 6, 4]
+    eye = builtin.kit_assets(spark).orderBy("ordinal").first()
+    assert eye.animations[0].id == "clip_eye_inspect_idle" != eye.defaultAnimationId and "inspect-hotspot" in eye.tags
+    assert [r.id for r in builtin.kit_assets(spark).orderBy("ordinal").collect()] == list(builtin.KIT_IDS)
+
+
+def test_ends_gather_only_what_is_kept(spark):
+    df = spark.createDataFrame([("u", k, k) for k in range(9)] + [("v", 1, 7)], "key string, at int, v int")
+    assert {r.key: r["values"] for r in ordered.ends(df, "key", [F.col("at")], F.col("v"), 3).collect()} == {"u": [0, 1, 2], "v": [7]}
+    assert {r.key: r["values"] for r in ordered.ends(df, "key", [F.col("at")], F.col("v"), 3, last=True).collect()} == {"u": [6, 7, 8], "v": [7]}
 
 
 def test_flagship_takes_the_newest_of_the_joined_orders(spark, tmp_path):
-    from lamina.plans.queries import QUERIES
+    from lamina.plans import queries  # noqa: F401  registers them
+    from lamina.plans.registry import QUERIES
 
     orders = spark.range(150).select(F.col("id").alias("o_orderkey"), F.when(F.col("id") < 30, 99).otherwise(1).alias("o_custkey"), F.expr("date_sub(date'2024-01-01', cast(id AS int))").alias("o_orderdate"), F.lit(1.0).alias("o_totalprice"))
     orders.write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame([(1, "c")], "c_custkey int, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
     assert [r.o_orderkey for r in QUERIES["flagship"](spark, str(tmp_path)).collect()] == list(range(30, 130))
+
+
+def test_record_queries_agree_with_their_sql(spark):
+    """Each query over the smallest tables beside its SQL."""
+    import os
+
+    import duckdb
+    from lamina.plans import queries, registry, scenes  # noqa: F401
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        return
+    con = duckdb.connect()
+    for t in os.listdir(sf):
+        con.sql(f"CREATE VIEW {t.split('.')[0]} AS SELECT * FROM '{sf}/{t}'")
+    norm = lambda rows: sorted(repr(tuple(round(x, 6) + 0.0 if isinstance(x, float) else x for x in r)) for r in rows)
+    for name in ("scene_normalised", "scene_resized", "layer_geometry", "key_bindings", "nearby_interaction", "kit_corrections", "interaction_fold", "scene_history"):
+        sql = registry.ORACLE_SQL[name]
+        order = sorted(con.sql(sql).columns)
+        got = [tuple(r[c] for c in order) for r in registry.QUERIES[name](spark, sf).collect()]
+        columns = ", ".join(f'"{c}"' for c in order)
+        assert norm(got) == norm(con.sql(f"SELECT {columns} FROM ({sql})").fetchall()), name

@@ -24,6 +24,8 @@ def test_history():
     assert cleared["future"] == [] and cleared["past"][-1] == 80
     assert fold(r.history_step, [change(81)], s) == s and fold(r.history_step, [{"kind": "motion", "target": 5}], s)["past"] == s["past"]
     assert fold(r.history_step, [{"kind": "open", "target": 0, "scene": "t"}], s) == {"scene": "t", "now": 0, "past": [], "future": []}
+    moved = fold(r.history_step, [{"kind": "change", "target": "z", "scene": "t"}], s)
+    assert moved == {"scene": "t", "now": "z", "past": [], "future": []} and fold(r.history_step, [{"kind": "change", "target": "z", "scene": "s"}], s)["past"][-1] == 81
     a = fold(r.layout_step, [{"kind": "change", "target": k, "cards": ["a"]} for k in range(3)])
     assert len(a["past"]) == 2 and fold(r.layout_step, [{"kind": "change", "target": 9, "cards": ["a", "b"]}], a)["past"] == []
 
@@ -49,6 +51,26 @@ def test_interactions():
     assert do("k", actionType="play-animation", subtitle="said")["message"] == "said"  # nothing to play
     assert do(actionType="scene-link", targetSceneId="s2")["current"] == "s2" and do(actionType="scene-link", targetSceneId="x")["current"] == "s1"
     assert do(actionType="set-state", setStateKey="a", setStateValue="0x10")["values"]["a"] == 16
+    named = fold(r.interaction_step, [{"target": "k", "interaction": {"actionType": "pickup-item"}}, {"target": "k", "interaction": {"actionType": "set-state", "promptText": "The Door!"}}], {"layers": {"k": {"name": "Old Key!", "visible": True}}})
+    assert named["values"] == {"old_key": True, "the_door": True} and fold(r.interaction_step, [{"target": "k", "interaction": {}}], {"layers": {"k": {"name": "Old Key!"}}})["message"] == "Old Key!"
+    lost = do("d", actionType="play-animation", targetLayerId="nowhere", subtitle="plays")
+    assert lost["message"] == "plays" and lost["layers"] == scene["layers"]
+    train = {"layers": {"t": {"asset": r.BOARDING_ASSET, "z": 86}, "p": {"role": "player", "opacity": 1}, "o": {"z": 1}}}
+    aboard = fold(r.interaction_step, [{"target": "t", "interaction": {}}], train)
+    assert (aboard["phase"], aboard["layers"]["p"]["opacity"], aboard["layers"]["t"]["z"], aboard["layers"]["o"]) == ("boarded", 0.18, 92, {"z": 1})
+
+
+def test_clamped_fold_in_chunks(spark):
+    rand = random.Random(1)
+    rows = [(u, k, rand.uniform(-9, 9)) for u in ("a", "b") for k in range(50)]
+    df = spark.createDataFrame(rows, "u string, k int, d double")
+    for chunk in (1, 7, 1000):
+        got = {x.u: x.position for x in r.clamped_fold(df, "u", ["k"], F.col("d"), 0, 10, 3, chunk).collect()}
+        for u in ("a", "b"):
+            at = 3.0
+            for _, _, d in sorted(x for x in rows if x[0] == u):
+                at = min(10.0, max(0.0, at + d))
+            assert abs(got[u] - at) < 1e-9
 
 
 def test_clipboard():
