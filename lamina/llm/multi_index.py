@@ -18,7 +18,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import dropped, written
 
 SEGMENTS, SEGMENT_BITS = 4, 16
 
@@ -50,9 +50,12 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     parts = F.array(*(F.struct(F.lit(s).alias("segment"), segment(F.col("code"), s).alias("value")) for s in range(SEGMENTS)))
     index = written(codes.select("code", F.inline(parts)), "segment-index")
     asked = queries.filter("id IS NOT NULL AND code IS NOT NULL").select(F.col("id").alias("query_id"), "code").distinct()
-    opened = written(asked.select(F.col("code").alias("query")).distinct(), "open-queries")
-    found = None
+    id_kind = asked.schema["query_id"].dataType.simpleString()
+    # A row for each query code: its k + 1 nearest so far, and whether they are proven. Each round writes it once.
+    none = F.array().cast(f"array<struct<distance: int, id: {id_kind}>>")
+    state = written(asked.select(F.col("code").alias("query")).distinct().select("query", none.alias("near"), F.lit(False).alias("closed")), "nearest")
     for radius in range(SEGMENT_BITS + 1):
+        opened, last = state.filter("NOT closed"), state
         masks = [sum(1 << b for b in c) for c in combinations(range(SEGMENT_BITS), radius)]
         mask = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<int>")
         each = F.array(*(F.struct(F.lit(s).alias("segment"), segment(F.col("query"), s).alias("own")) for s in range(SEGMENTS)))
@@ -63,12 +66,17 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         # A few of the nearest codes hold the nearest ids; ids are attached only to those.
         by_code = Window.partitionBy("query").orderBy("distance")
         met = met.withColumn("d", F.rank().over(by_code)).filter(F.col("d") <= k + 1).join(codes, "code").select("query", F.explode("ids").alias("id"), "distance")
-        found = written(nearest((met if found is None else met.unionByName(found.drop("rank"))).distinct(), k + 1), "nearest")
+        found = nearest(met.unionByName(opened.select("query", F.inline("near"))).distinct(), k + 1)
+        lists = found.groupBy(F.col("query").alias("of")).agg(F.array_sort(F.collect_list(F.struct("distance", "id"))).alias("now"))  # at most k + 1
+        near = F.coalesce("now", "near")
         covered = SEGMENTS * (radius + 1) - 1
-        done = found.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("worst")).filter(((F.col("n") > k) & (F.col("worst") <= covered)) | (F.col("n") >= n_rows)).select("query")
-        opened = written(opened.join(done, "query", "left_anti"), "open-queries")
-        if opened.isEmpty():
+        proven = ((F.size(near) > k) & (F.try_element_at(near, F.lit(-1))["distance"] <= covered)) | (F.size(near) >= n_rows)
+        state = state.join(lists, state["query"] == lists["of"], "left").select("query", near.alias("near"), (F.col("closed") | F.coalesce(proven, F.lit(False))).alias("closed"))
+        state = written(state, "nearest")
+        dropped(last)
+        if state.filter("NOT closed").isEmpty():
             break
-    others = asked.withColumnRenamed("code", "query").join(found.drop("rank"), "query").filter("id != query_id")
-    last = Window.partitionBy("query_id").orderBy("distance", "id")
-    return others.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "id", "distance", "rank")
+    # The lists are one row a code: many ids that ask with one code share it, and are dealt anew where they are many.
+    rows = asked.join(state.select("query", "near"), asked["code"] == F.col("query"))
+    others = rows.select("query_id", F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k).alias("near"))
+    return others.select("query_id", F.posexplode("near").alias("rank", "x")).select("query_id", "x.id", "x.distance", (F.col("rank") + 1).alias("rank"))
