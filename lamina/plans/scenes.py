@@ -802,3 +802,44 @@ def interaction_fold(t):
     start = {"layers": {"key": {"name": "Old Key!", "visible": True}}, "scenes": ["s2"], "current": "s1"}
     done = reducers.fold(sessions(t, F.struct(F.lit("key").alias("target"), i.alias("interaction"))), "interaction", start=start)
     return done.select("session_id", state("layers.key.visible", "boolean"), state("values.old_key", "string"), state("values.the_prompt", "string"), state("current", "string"), state("message", "string"))
+
+
+@query(history_sql("(s IS NOT NULL AND s IS DISTINCT FROM scene) OR f.i = 0", "coalesce(s, scene)"))
+def layout_history(t):
+    """Undo and redo of card layouts: another set of cards begins anew."""
+    return history(t, "layout", "cards")
+
+
+@query(f"""
+WITH {EVENTS}, v AS (SELECT *, event_id % 4 AS k, max(CASE WHEN event_id % 4 = 0 THEN i END) OVER (PARTITION BY session_id ORDER BY i) AS copied FROM e),
+p AS (SELECT session_id, i, k, row_number() OVER (PARTITION BY session_id, copied ORDER BY i) AS turn FROM v WHERE k = 1 AND copied IS NOT NULL)
+SELECT u.session_id, CAST(3 + (SELECT count(*) FROM p WHERE p.session_id = u.session_id) + (SELECT count(*) FROM v WHERE k = 2 AND v.session_id = u.session_id) AS INTEGER) AS n_layers,
+  CAST(5 + (SELECT count(*) FROM p WHERE p.session_id = u.session_id) + (SELECT count(*) FROM v WHERE k = 2 AND v.session_id = u.session_id) AS INTEGER) AS top_z, (SELECT CAST(36 * turn AS INTEGER) FROM p WHERE p.session_id = u.session_id ORDER BY i DESC LIMIT 1) AS pasted_x FROM u
+""")
+def clipboard_fold(t):
+    """Layers copied, pasted and duplicated; locked ones and backgrounds aren't cut."""
+    k = F.col("event_id")
+    kind = F.when(k % 4 == 0, "copy").when(k % 4 == 1, "paste").when(k % 4 == 2, "duplicate").otherwise("cut")
+    target = F.when(k % 4 == 3, F.when(k % 8 == 3, "locked").otherwise("bg")).otherwise("a")
+    layers = [{"id": "a", "name": "A", "type": "sprite", "x": 0, "y": 0, "z": 5}, {"id": "locked", "name": "L", "type": "sprite", "locked": True, "x": 1, "y": 1, "z": 1}, {"id": "bg", "name": "B", "type": "background", "x": 0, "y": 9, "z": 0}]
+    done = reducers.fold(sessions(t, F.struct(kind.alias("kind"), target.alias("target"), F.concat(kind, F.lit("-"), k.cast("string")).alias("new_id"))), "clipboard", start={"layers": layers})
+    made = F.from_json(F.get_json_object("state", "$.layers"), "array<struct<id: string, x: double, z: double>>")
+    rows = done.select("session_id", made.alias("l"))
+    pasted = F.try_element_at(F.filter("l", lambda x: x["id"].startswith("paste")), F.lit(-1))["x"]
+    return rows.select("session_id", F.size("l").alias("n_layers"), F.array_max(F.transform("l", lambda x: x["z"])).cast("int").alias("top_z"), pasted.cast("int").alias("pasted_x"))
+
+
+@query("""
+SELECT page_id, page_id % 3 <> 2 AND page_id % 5 <> 0 AS export, page_id % 2 = 0 OR page_id % 7 = 0 AS prompt, page_id % 4 <> 0 AS asset FROM pages
+""")
+def request_checks(t):
+    """Requests and records that can be taken."""
+    k = F.col("page_id")
+    kind = F.when(k % 3 == 0, "gif").when(k % 3 == 1, "video").otherwise("png")
+    rows = t("pages").select("page_id", kind.alias("format"), F.when(k % 5 == 0, "").otherwise("u").alias("sourceUrl"), F.when(k % 2 == 0, "p").alias("prompt"), F.when(k % 7 == 0, "i").otherwise("").alias("referenceImage"), F.when(k % 8 == 0, "").when(k % 8 != 4, "a").alias("id"), F.struct(F.array(F.lit("f")).alias("frames")).alias("sprite"))
+    taken = rows.select("page_id")
+    for name, check in (("export", library.checked_exports), ("prompt", library.checked_prompts), ("asset", library.checked_assets)):
+        good, bad = check(rows)
+        marked = good.select("page_id", F.lit(True).alias(name)).unionByName(bad.select("page_id", F.lit(False).alias(name)))
+        taken = taken.join(marked, "page_id")
+    return taken

@@ -115,6 +115,18 @@ def checked_scenes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter(good), rows.filter(~good)
 
 
+def checked_exports(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests (format, sourceUrl) for a medium that can be made of a source, and the others."""
+    good = F.coalesce(F.col("format").isin("gif", "video") & (F.col("sourceUrl") != ""), F.lit(False))
+    return rows.filter(good), rows.filter(~good)
+
+
+def checked_prompts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests (prompt, referenceImage) that say or show something, and the others."""
+    good = (text.text_or(F.col("prompt"), "") != "") | (text.text_or(F.col("referenceImage"), "") != "")
+    return rows.filter(good), rows.filter(~good)
+
+
 def upsert(base: DataFrame, incoming: DataFrame, key: str, now: Column | None = None, **fixed: Column) -> DataFrame:
     """``incoming`` rows first, then those of ``base`` with other keys; both have ``ordinal``.
 
