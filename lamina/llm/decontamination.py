@@ -164,14 +164,15 @@ def report(scanned: DataFrame, *keep: str) -> DataFrame:
     return scanned.select(*keep, F.col("_scan_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_scan_items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "_scan_items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs`` in which no window occurs."""
-    clean = scan(docs, benchmark, keep=tuple(docs.columns), **options).filter(F.size("_scan_spans") == 0)
-    return clean.select(*docs.columns)
+def remove_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """Rows of ``docs`` in which no window occurs; a row is carried as one value, so its columns may have any names."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("body"))
+    return scan(rows, benchmark, text_col="body", keep=("row",), **options).filter(F.size("_scan_spans") == 0).select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with hit words cut out of ``text_col``."""
+    """``docs`` with hit words cut out of ``text_col``; columns as in ``remove_documents``."""
     cut = F.udf(lambda text, spans: without_spans(text, [(s["first"], s["n"]) for s in spans]) if spans else text, "string", useArrow=True)
-    marked = scan(docs, benchmark, text_col=text_col, keep=tuple(docs.columns), **options)
-    return marked.select(*(cut(text_col, "_scan_spans").alias(c) if c == text_col else c for c in docs.columns))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("body"))
+    marked = scan(rows, benchmark, text_col="body", keep=("row",), **options).withColumn("_scan_cut", cut("_scan_text", "_scan_spans"))
+    return marked.select(*(F.col("_scan_cut").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))

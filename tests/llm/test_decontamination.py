@@ -62,3 +62,11 @@ def test_removal(spark, edge):
     assert sorted(map(tuple, d.remove_documents(rows, table).collect())) == [(2, "clean text", "y"), (3, None, "z")]
     assert sorted(map(tuple, d.remove_spans(rows, table).collect())) == [(1, "Keep this.  this.", "x"), (2, "clean text", "y"), (3, None, "z")]
     assert d.remove_documents(edge, table).columns == edge.columns
+
+
+def test_columns_of_any_name_pass_through_removal(spark):
+    table = spark.createDataFrame(items(), ITEM)
+    rows = spark.createDataFrame([("What is the capital of the old country that lies by the sea!", 1, "x", "y"), ("clean", 2, None, "z")], "text string, _scan_text int, row string, body string")
+    for out in (d.remove_documents(rows, table), d.remove_spans(rows, table)):
+        assert out.columns == rows.columns and ("clean", 2, None, "z") in [tuple(r) for r in out.collect()]
+    assert [r.text for r in d.remove_spans(rows, table).filter("_scan_text = 1").collect()] == ["!"]
