@@ -37,9 +37,11 @@ from pyspark.sql import types as T
 from .storage import bounded_batches, written
 
 DEPTH, SPLIT = 5, 3
-HOT_WORDS, HOT_BYTES, HOT_RUNS = 262_144, 64, 1 << 20
+HOT_WORDS, HOT_BYTES, HOT_RUNS = 131_072, 64, 1 << 19
 #: Bytes scored at a time, words and runs that a worker counts before it passes them on, and runs whose nodes are worked out together.
-STEP, WORDS_HELD, RUNS_HELD, TOGETHER = 1 << 21, 400_000, 2_000_000, 1 << 18
+STEP, WORDS_HELD, RUNS_HELD, TOGETHER = 1 << 19, 100_000, 500_000, 1 << 16
+#: Bytes of a batch: what a text's words and runs take in a worker is many times its length.
+BATCH = 4 << 20
 #: Begins and ends a text; no byte of UTF-8 has this value.
 EDGE = 0xFF
 ALPHA = 0.1
@@ -264,7 +266,7 @@ class Table:
     FREE = -1
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.bits = max(4, int(2 * len(keys) - 1).bit_length())
         self.keys, self.values = np.full(1 << self.bits, self.FREE, np.int64), np.zeros(1 << self.bits)
         left, at = np.arange(len(keys)), self.place(keys)
         while len(left):
@@ -317,6 +319,12 @@ def grouped(number: np.ndarray, run: np.ndarray) -> tuple[list[int], list[np.nda
     return own.tolist(), np.split(run, starts[1:]) if len(own) else []
 
 
+def of_words(cold: list[list[tuple[bytes, int]]]) -> pa.ListArray:
+    ends = pa.array(np.cumsum([0, *map(len, cold)]).astype(np.int32))
+    flat = [pa.array([x[j] for own in cold for x in own], kind) for j, kind in enumerate((pa.binary(), pa.int64()))]
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(flat, names=["word", "n"]))
+
+
 def of_pairs(rare: list[tuple[np.ndarray, np.ndarray]]) -> pa.ListArray:
     ends = pa.array(np.cumsum([0, *(len(r) for r, _ in rare)]).astype(np.int32))
     run, k = (np.concatenate([r[j] for r in rare]) if rare else np.zeros(0, np.int64) for j in (0, 1))
@@ -345,7 +353,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     Training rows are those for which ``training`` is true.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH)
     training = F.coalesce(training, F.lit(False))
     learn = docs.filter(training)
     vocabulary = written(word_counts(learn, text_col), "ctw-words")
@@ -353,16 +361,15 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     ends = learn.count()
     total, kinds = (words or 0) + ends, distinct + (ends > 0)
     short = most_frequent(vocabulary.filter(F.length("word") <= HOT_BYTES), "n", hot_words).toArrow()
-    hot = spark.sparkContext.broadcast(dict(zip(short["word"].to_pylist(), short["n"].to_pylist())))
+    floor = math.log10(total + ALPHA * (kinds + 1))
+    hot = spark.sparkContext.broadcast({w: math.log10(n + ALPHA) - floor for w, n in zip(short["word"].to_pylist(), short["n"].to_pylist())})
     trees = written(subtrees(run_counts(docs, text_col, training)), "ctw-subtrees")
     scores = written(run_scores(trees), "ctw-runs")
     often = most_frequent(scores, "m", hot_runs).select("run", "log_p").toArrow()
     runs_known = spark.sparkContext.broadcast(Table(often["run"].to_numpy(), often["log_p"].to_numpy()))
-    floor = math.log10(total + ALPHA * (kinds + 1))
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tree = hot.value, runs_known.value
-        logs = {w: math.log10(n + ALPHA) - floor for w, n in known.items()}
+        logs, tree = hot.value, runs_known.value
         of_end = math.log10(ends + ALPHA) - floor
         for batch in batches:
             texts = [lowered(t) for t in batch.column(2)]
@@ -383,7 +390,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
                 n_known = int(ends > 0)
                 for w, n in seen.items():
                     if (x := logs.get(w)) is None:
-                        cold.append({"word": w, "n": n})
+                        cold.append((w, n))
                     else:
                         got += n * x
                         n_known += n
@@ -391,7 +398,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
             n_tokens, n_known, base, cold, n_bytes = zip(*rows) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()),
-                 pa.array(n_bytes, pa.int64()), pa.array(cold, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))), of_pairs(rare)],
+                 pa.array(n_bytes, pa.int64()), of_words(cold), of_pairs(rare)],
                 names=["id", "held_out", "n_tokens", "known_hot", "base_hot", "score_hot", "n_bytes", "cold", "rare"],
             )
 

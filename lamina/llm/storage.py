@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of a batch that goes to a Python worker: rows may hold long lists or texts.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,6 +54,6 @@ def dropped(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Batches for Python workers end at ``BATCH_BYTES`` too, not only at a number of rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Batches for Python workers end at ``most`` bytes too, not only at a number of rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
