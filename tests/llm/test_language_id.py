@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from lamina.llm import language_id
 from lamina.llm.ctw import training_remainder

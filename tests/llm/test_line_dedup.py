@@ -1,4 +1,3 @@
-import hashlib
 from collections import defaultdict
 
 import numpy as np

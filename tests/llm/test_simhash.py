@@ -1,7 +1,6 @@
 import random
 from itertools import combinations
 
-import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
