@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontamination, language_id, line_dedup, mixing, multi_index, sharding, simhash, token_counts, warc
+from . import conversations, ctw, decontamination, filter_audit, language_id, line_dedup, mixing, multi_index, sharding, simhash, token_counts, warc
 from .storage import fresh_path, written
 
 
@@ -85,6 +85,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(scanned, "doc_id")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failures(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(rows), rows)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,7 +102,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_warc, op3_mixing, op4_sharding, op5_ctw, op6_simhash, op7_multi_index, op8_line_dedup, op9_language_id, op10_decontamination, pipeline)
+    for f in (op1_token_counts, op2_warc, op3_mixing, op4_sharding, op5_ctw, op6_simhash, op7_multi_index, op8_line_dedup, op9_language_id, op10_decontamination, op11_filter_audit, op13_conversation_repair, pipeline)
 }
 
 _OP2 = """
@@ -172,4 +181,73 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM dw LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_warc": _OP2, "op3_mixing": _OP3, "op7_multi_index": _OP7, "op8_line_dedup": _OP8, "op10_decontamination": _OP10}
+_OP11 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), f AS (
+  SELECT doc_id, part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), FALSE)] AS fails FROM d
+), l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1
+), x AS (SELECT part, fails, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic FROM f LEFT JOIN l USING (doc_id)
+), g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM x GROUP BY 1, 2
+), v AS (SELECT unnest([1, 2, 3, 4, 5]) AS k
+), o AS (
+  SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM v a, v b, v c, v d, v e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
+), s AS (
+  SELECT array_to_string(list_transform(o, lambda k: 'ABCDE'[k]), '') AS filter_order, CAST(v.k AS INTEGER) AS step, o[v.k] AS own, o[1 : v.k - 1] AS before FROM o, v
+), r AS (
+  SELECT part, filter_order, step, own, n, good, toxic, fails[own] AS fail, len(list_filter(before, lambda k: fails[k])) > 0 AS gone, len(list_filter(fails, lambda b: b)) = 1 AS lone FROM g, s
+), c AS (
+  SELECT part, filter_order, step, own, sum(CASE WHEN NOT fail AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN fail AND NOT gone THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fail AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fail AND lone THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fail AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fail AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+  FROM r GROUP BY 1, 2, 3, 4
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM c
+"""
+
+# State: the least (cost, audit, repaired text) in which a conversation's turns so far end at start, system, user, assistant.
+_OP13 = r"""
+WITH RECURSIVE b AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+), k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda ch: CAST(ascii(ch) AS BIGINT)),
+      lambda c, x: xor(c >> 8, b.t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 20 AS kind FROM conversations, b
+), d AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS again FROM k WHERE kind <> 0
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), again) AS i, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS seen FROM d
+), f AS (
+  SELECT *, CASE WHEN seen = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN right(seen, 1) IN ('.', '!', '?') THEN '' ELSE 't' END AS fault,
+    role[1] AS o, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] NOT IN ('su', 'ua', 'au') AS illegal FROM n
+), walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, {'c': CAST(0 AS BIGINT), 'a': '', 'r': ''} AS z, {'c': CAST(1e15 AS BIGINT), 'a': '', 'r': ''} AS s, {'c': CAST(1e15 AS BIGINT), 'a': '', 'r': ''} AS u, {'c': CAST(1e15 AS BIGINT), 'a': '', 'r': ''} AS a
+  FROM (SELECT DISTINCT conv_id FROM f)
+  UNION ALL
+  SELECT conv_id, i,
+    {'c': z.c + 3, 'a': z.a || 'D', 'r': z.r},
+    list_min([{'c': s.c + 3, 'a': s.a || 'D', 'r': s.r}, {'c': z.c + stay + CASE WHEN o = 's' THEN 0 ELSE 1e15::BIGINT END, 'a': z.a || 'K', 'r': z.r || own || chr(10)}]),
+    list_min(list_concat([{'c': u.c + 3, 'a': u.a || 'D', 'r': u.r}], list_transform([z, s, a], lambda p: {'c': p.c + stay + CASE WHEN o = 'u' THEN 0 ELSE 2 END, 'a': p.a || CASE WHEN o = 'u' THEN 'K' ELSE 'R' END, 'r': p.r || CASE WHEN o = 'u' THEN own ELSE 'user:' || text END || chr(10)}))),
+    list_min([{'c': a.c + 3, 'a': a.a || 'D', 'r': a.r}, {'c': u.c + stay + CASE WHEN o = 'a' THEN 0 ELSE 2 END, 'a': u.a || CASE WHEN o = 'a' THEN 'K' ELSE 'R' END, 'r': u.r || CASE WHEN o = 'a' THEN own ELSE 'assistant:' || text END || chr(10)}])
+  FROM (
+    SELECT w.conv_id, f.i, f.o, f.text, f.role || ':' || f.text AS own, CASE WHEN fault IN ('b', 'd') THEN CAST(1e15 AS BIGINT) WHEN fault = 't' THEN 1 ELSE 0 END AS stay, z, s,
+      list_min([u, {'c': z.c + 2, 'a': z.a || 'I', 'r': z.r || 'user:' || chr(10)}, {'c': s.c + 2, 'a': s.a || 'I', 'r': s.r || 'user:' || chr(10)}, {'c': a.c + 2, 'a': a.a || 'I', 'r': a.r || 'user:' || chr(10)}]) AS u,
+      list_min([a, {'c': u.c + 2, 'a': u.a || 'I', 'r': u.r || 'assistant:' || chr(10)}, {'c': z.c + 4, 'a': z.a || 'II', 'r': z.r || 'user:' || chr(10) || 'assistant:' || chr(10)}, {'c': s.c + 4, 'a': s.a || 'II', 'r': s.r || 'user:' || chr(10) || 'assistant:' || chr(10)}]) AS a
+    FROM walk w JOIN f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = w.i + 1
+  )
+), e AS (
+  SELECT conv_id, list_min([z, a, {'c': u.c + 2, 'a': u.a || 'I', 'r': u.r || 'assistant:' || chr(10)}, {'c': z.c + 4, 'a': z.a || 'II', 'r': z.r || 'user:' || chr(10) || 'assistant:' || chr(10)}, {'c': s.c + 4, 'a': s.a || 'II', 'r': s.r || 'user:' || chr(10) || 'assistant:' || chr(10)}]) AS x
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS back FROM walk) WHERE back = 1
+), t AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM f GROUP BY 1
+)
+SELECT i.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(x.c, 0) AS cost, coalesce(x.a, '') AS audit, sha256(coalesce(CASE WHEN x.r <> '' THEN left(x.r, CAST(length(x.r) - 1 AS BIGINT)) END, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN t ON i.conv_id IS NOT DISTINCT FROM t.conv_id LEFT JOIN e ON i.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_warc": _OP2, "op3_mixing": _OP3, "op7_multi_index": _OP7, "op8_line_dedup": _OP8, "op10_decontamination": _OP10, "op11_filter_audit": _OP11, "op13_conversation_repair": _OP13}
