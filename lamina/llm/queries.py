@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, ctw, decontamination, filter_audit, language_id, line_dedup, mixing, multi_index, sharding, simhash, token_counts, warc
+from . import conversations, ctw, decontamination, filter_audit, imatch, language_id, line_dedup, mixing, multi_index, sharding, simhash, token_counts, warc
 from .storage import fresh_path, written
 
 
@@ -89,6 +89,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.failures(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
+def op12_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return conversations.repair(conversations.damage(rows), rows)
@@ -102,7 +106,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_warc, op3_mixing, op4_sharding, op5_ctw, op6_simhash, op7_multi_index, op8_line_dedup, op9_language_id, op10_decontamination, op11_filter_audit, op13_conversation_repair, pipeline)
+    for f in (op1_token_counts, op2_warc, op3_mixing, op4_sharding, op5_ctw, op6_simhash, op7_multi_index, op8_line_dedup, op9_language_id, op10_decontamination, op11_filter_audit, op12_imatch, op13_conversation_repair, pipeline)
 }
 
 _OP2 = """
@@ -207,6 +211,37 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
   CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM c
 """
 
+# Families of subsets: hashes (key * a + b) % (2^31 - 1), a and b from the MD5 of the family's number.
+_OP12 = r"""
+WITH d AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, md5(t)) AS i, length(t) AS n FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+), e AS (
+  SELECT d.*, x.t AS next, left(d.t, d.n - d.n // 3) || left(x.t, d.n // 3) AS edited, x.i AS j FROM d JOIN d x ON x.i = CASE WHEN d.i = (SELECT max(i) FROM d) THEN 1 ELSE d.i + 1 END
+), v AS (SELECT i, TRUE AS own, t AS t FROM e UNION ALL SELECT i, FALSE, edited FROM e
+), w AS (
+  SELECT i, own, t, list_filter(list_distinct(regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')), lambda x: x <> '') AS terms FROM v
+), k AS (
+  SELECT i, own, list_transform(CASE WHEN len(terms) > 0 THEN terms ELSE [t] END, lambda x: CAST('0x' || substr(md5(x), 1, 15) AS BIGINT)) AS keys FROM w
+), f AS (SELECT key, count(*) AS docs FROM (SELECT unnest(keys) AS key FROM k WHERE own) GROUP BY 1
+), c AS (
+  SELECT i, own, CASE WHEN len(part) > 0 THEN part ELSE keys END AS keys
+  FROM (SELECT *, list_filter(keys, lambda x: len(keys) < 128 OR x % CAST(power(4, (length(bin(len(keys))) - 6) // 2) AS BIGINT) = 0) AS part FROM k)
+), u AS (SELECT i, own, unnest(keys) AS key FROM c
+), g AS (SELECT u.*, coalesce(docs BETWEEN 2 AND greatest(2, 0.02 * (SELECT count(*) FROM d)), FALSE) AS known FROM u LEFT JOIN f USING (key)
+), r AS (SELECT i, own, key FROM (SELECT *, bool_or(known) OVER (PARTITION BY i, own) AS any_known FROM g) WHERE known OR NOT any_known
+), p AS (
+  SELECT z AS family, 1 + CAST('0x' || substr(md5(CAST(z AS VARCHAR)), 1, 7) AS BIGINT) AS a, CAST('0x' || substr(md5(CAST(z AS VARCHAR)), 8, 7) AS BIGINT) AS b FROM range(16) t(z)
+), h AS (SELECT i, own, family, key, ((key % 2147483647) * a + b) % 2147483647 AS h FROM r, p
+), m AS (SELECT *, h < CAST(power(2, length(bin(min(h) OVER (PARTITION BY i, own, family)))) AS BIGINT) AS inside FROM h
+), s AS (
+  SELECT i, own, family, substr(md5(string_agg(CAST(key AS VARCHAR), ',' ORDER BY key)), 1, 8) AS s FROM m WHERE inside GROUP BY 1, 2, 3
+), l AS (SELECT i, own, list(s ORDER BY family) AS l FROM s GROUP BY 1, 2
+)
+SELECT e.doc_id, e.n AS n_chars, sha256(edited) AS edited_sha256, array_to_string(o.l, '') AS fingerprint, array_to_string(x.l, '') AS edited_fingerprint,
+  len(list_filter(range(1, 17), lambda q: o.l[q] = x.l[q])) / 16.0::DOUBLE AS near_edited, len(list_filter(range(1, 17), lambda q: o.l[q] = y.l[q])) / 16.0::DOUBLE AS near_next
+FROM e JOIN l o ON o.i = e.i AND o.own JOIN l x ON x.i = e.i AND NOT x.own JOIN l y ON y.i = e.j AND y.own
+"""
+
 # State: the least (cost, audit, repaired text) in which a conversation's turns so far end at start, system, user, assistant.
 _OP13 = r"""
 WITH RECURSIVE b AS (
@@ -250,4 +285,4 @@ SELECT i.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0)
 FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN t ON i.conv_id IS NOT DISTINCT FROM t.conv_id LEFT JOIN e ON i.conv_id IS NOT DISTINCT FROM e.conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_warc": _OP2, "op3_mixing": _OP3, "op7_multi_index": _OP7, "op8_line_dedup": _OP8, "op10_decontamination": _OP10, "op11_filter_audit": _OP11, "op13_conversation_repair": _OP13}
+ORACLE_SQL: dict[str, str] = {"op2_warc": _OP2, "op3_mixing": _OP3, "op7_multi_index": _OP7, "op8_line_dedup": _OP8, "op10_decontamination": _OP10, "op11_filter_audit": _OP11, "op12_imatch": _OP12, "op13_conversation_repair": _OP13}
