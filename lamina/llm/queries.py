@@ -225,7 +225,7 @@ WITH d AS (
 ), f AS (SELECT key, count(*) AS docs FROM (SELECT unnest(keys) AS key FROM k WHERE own) GROUP BY 1
 ), c AS (
   SELECT i, own, CASE WHEN len(part) > 0 THEN part ELSE keys END AS keys
-  FROM (SELECT *, list_filter(keys, lambda x: len(keys) < 128 OR x % CAST(power(4, (length(bin(len(keys))) - 6) // 2) AS BIGINT) = 0) AS part FROM k)
+  FROM (SELECT *, list_filter(keys, lambda x: len(keys) < 128 OR x % CAST(power(4, greatest(0, (length(bin(len(keys))) - 6) // 2)) AS BIGINT) = 0) AS part FROM k)
 ), u AS (SELECT i, own, unnest(keys) AS key FROM c
 ), g AS (SELECT u.*, coalesce(docs BETWEEN 2 AND greatest(2, 0.02 * (SELECT count(*) FROM d)), FALSE) AS known FROM u LEFT JOIN f USING (key)
 ), r AS (SELECT i, own, key FROM (SELECT *, bool_or(known) OVER (PARTITION BY i, own) AS any_known FROM g) WHERE known OR NOT any_known
