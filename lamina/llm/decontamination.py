@@ -16,13 +16,15 @@ are scanned each; extra columns aren't read, or pass through ``keep``.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import dropped, written
+
 WINDOW, BLOCK = 10, 200_000
 #: Broadcast bound of a window's text in bytes; a longer one counts for as many windows as it fills.
 WINDOW_BYTES = 256
@@ -111,10 +113,34 @@ def window_sets(benchmark: DataFrame, id_col: str, text_col: str, window: int, b
 
 def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """``keep`` and _scan_text, _scan_words, _scan_spans (first word and number of words of united hits), _scan_items of every row."""
-    out = docs.select(*keep, F.col(text_col).alias("_scan_text"), F.lit(None).cast("bigint").alias("_scan_words"), F.lit(None).cast("array<struct<first:int,n:int>>").alias("_scan_spans"), F.lit(None).cast("array<string>").alias("_scan_items"))
-    for found in window_sets(benchmark, item_id, item_text, window, block):
-        out = out.mapInArrow(scanner(docs.sparkSession.sparkContext.broadcast(found)), out.schema)
-    return out
+    shown = docs.select(*keep, F.col(text_col).alias("_scan_text"), F.lit(None).cast("bigint").alias("_scan_words"), F.lit(None).cast("array<struct<first:int,n:int>>").alias("_scan_spans"), F.lit(None).cast("array<string>").alias("_scan_items"))
+    return in_passes(shown, window_sets(benchmark, item_id, item_text, window, block), scanner)
+
+
+def in_passes(rows: DataFrame, parts: Iterable, function: Callable) -> DataFrame:
+    """``rows`` changed by ``function`` of each of ``parts`` in turn: a job for each, so that a worker holds one part at a time. The last one runs with the result."""
+    context, held = rows.sparkSession.sparkContext, None
+    for part, is_last in with_last(parts):
+        shared = context.broadcast(part)
+        out = rows.mapInArrow(function(shared), rows.schema)
+        if not is_last:
+            out = written(out, "pass")
+            shared.destroy()
+        if held is not None and not is_last:
+            dropped(held)
+        rows, held = out, out
+    return rows
+
+
+def with_last(parts: Iterable) -> Iterator[tuple]:
+    """Each of ``parts`` and whether it is the last."""
+    none = before = object()
+    for part in parts:
+        if before is not none:
+            yield before, False
+        before = part
+    if before is not none:
+        yield before, True
 
 
 def scanner(shared):

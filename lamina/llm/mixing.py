@@ -10,11 +10,12 @@ replacement: document keys -ln(u) / w are sorted in the source and their sizes s
 are taken whole while their midpoint is inside, so a source misses its target by at most half a document.
 u is a hash of the document's id and size: reruns agree.
 
-Scale: rows without their text are written once and read by each step. Sorting a source isn't left to one task. Keys are mapped to about uniform buckets; sums of
+Scale: rows without their text are written once and read by each step. Sorting a source isn't left to one task: keys fall in bins of ``BINS`` to the octave,
+which are counted, and a bin of many documents is split evenly, so a bucket has about ``BUCKET_ROWS`` documents whatever their weights. Sums of
 buckets are prefix-summed first (a row for each bucket), then documents inside their bucket.
 Defined results: null or blank texts have size 0 and take 0; a corpus of size 0 has targets 0;
 null ids and repeated rows are rows like any other; an empty table gives an empty result; a null or
-negative quality weight counts as 1; extra columns pass through ``keep``.
+negative quality weight counts as 1; extra columns pass through ``keep``, under any names but the results'.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .storage import written
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents of a bucket, about.
-BUCKET_ROWS = 2_000
+#: Documents of a bucket, about, and bins to an octave of keys.
+BUCKET_ROWS, BINS = 2_000, 64
 
 
 def n_words(text: Column) -> Column:
@@ -50,6 +51,13 @@ def source_targets(sizes: DataFrame, pattern: tuple[float, ...] = (3, 1, 2), sha
     return s.select("source", "source_size", "n_rows", target.alias("target"))
 
 
+def bucketed(rows: DataFrame) -> DataFrame:
+    """``rows`` (source, place, bin) with ``bucket``: struct(bin, split) in the order of keys."""
+    bins = written(rows.groupBy("source", "bin").agg(F.count("*").alias("in_bin")), "mixing-bins").withColumnsRenamed({"source": "s", "bin": "b"})
+    split = F.floor((F.col("place") - F.col("bin")) * F.ceil(F.col("in_bin") / BUCKET_ROWS)).cast("long")
+    return rows.join(bins, rows["source"].eqNullSafe(bins["s"]) & (rows["bin"] == bins["b"])).withColumn("bucket", F.struct("bin", split.alias("split"))).drop("s", "b", "in_bin")
+
+
 def mix(
     docs: DataFrame, quality: Column | None = None, size: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     keep: tuple[str, ...] = (), pattern: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
@@ -59,12 +67,12 @@ def mix(
     rows = docs.select(*(F.col(c).alias(f"keep_{c}") for c in keep), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), (n_words(F.col(text_col)) if size is None else size).alias("size"), weight.alias("w"))
     digest = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("size").cast("string")))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
-    rows = written(rows.withColumn("key", -F.log(u) / F.col("w")), "mixing-rows")  # words are counted once
+    rows = rows.withColumn("key", -F.log(u) / F.col("w")).withColumn("place", F.log2("key") * BINS)
+    rows = written(rows, "mixing-rows").withColumn("bin", F.floor("place"))  # words are counted once
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     targets = source_targets(sizes, pattern, share, most)
-    # 1 - exp(-key) rises with the key and is uniform for weights of 1.
-    bucket = F.floor((1 - F.exp(-F.col("key"))) * F.ceil(F.col("n_rows") / BUCKET_ROWS)).cast("long")
-    rows = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).drop(targets["source"]).withColumn("bucket", bucket)
+    rows = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    rows = bucketed(rows)
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     ordered = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("bucket_size").over(ordered), F.lit(0)).alias("offset"))
@@ -75,4 +83,5 @@ def mix(
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     rows = rows.withColumn("epochs", epochs).withColumn("part", through - F.col("size") / 2 < rest)
     rows = rows.withColumn("copies", (F.col("epochs") + F.when(F.col("part"), 1).otherwise(0)).cast("long"))
-    return rows.select(*(F.col(f"keep_{c}").alias(c) for c in keep if c != "doc_id"), "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    result = ("doc_id", "size", "source_size", "target", "taken", "copies")
+    return rows.select(*(F.col(f"keep_{c}").alias(c) for c in keep if c not in result), "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

@@ -245,7 +245,9 @@ def reassembled(segments: DataFrame) -> DataFrame:
             rows = []
             for *names, status, bodies, copies in zip(*(batch.column(k).to_pylist() for k in range(7))):
                 payload = http_payload(b"".join(bodies)) if status == "ok" else None
-                rows += [(*names, None, "bad framing" if status == "ok" and payload is None else status, payload)] * copies
-            yield of_rows(rows, RECORD)
+                rows.append((*names, None, "bad framing" if status == "ok" and payload is None else status, payload, copies))
+            yield of_rows(rows, counted)
 
-    return parts.mapInArrow(joined, RECORD)
+    counted = T.StructType([*RECORD.fields, T.StructField("copies", T.LongType())])
+    # A row for each copy is made of the one that a worker gives, so its batches don't grow with the copies.
+    return parts.mapInArrow(joined, counted).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copy", "copies")

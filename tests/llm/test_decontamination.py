@@ -70,3 +70,14 @@ def test_columns_of_any_name_pass_through_removal(spark):
     for out in (d.remove_documents(rows, table), d.remove_spans(rows, table)):
         assert out.columns == rows.columns and ("clean", 2, None, "z") in [tuple(r) for r in out.collect()]
     assert [r.text for r in d.remove_spans(rows, table).filter("_scan_text = 1").collect()] == ["!"]
+
+
+def test_twenty_blocks_have_one_python_stage(spark):
+    """A pass for each block: however many there are, a plan has one Python stage, so a worker holds one block's set."""
+    many = [(k, " ".join(f"w{k}x{j}" for j in range(12))) for k in range(20)]
+    rows = [(k, f"start {t} end") for k, t in many] + [(100, None), (101, "clean text of no item")] + [(200 + k, " ".join(x for _, x in many[k : k + 5])) for k in range(4)]
+    df, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(many, ITEM)
+    scanned = d.scan(df, bench, keep=("doc_id",), block=3)
+    assert scanned._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = sorted((repr(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in d.report(scanned, "doc_id").collect())
+    assert got == brute(rows, many)

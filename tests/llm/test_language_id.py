@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lamina.llm import language_id
 from lamina.llm.ctw import training_remainder
@@ -37,7 +38,7 @@ def test_filter_returns_all_languages_of_a_gram_and_few_others(spark):
     r = random.Random(4)
     sets = {f"l{k:02}": {"".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(60)} for k in range(70)}
     docs = spark.createDataFrame([(g, lang) for lang, of in sets.items() for g in of] + [("abcde " * 50, "l00")], "text string, lang string")
-    f = language_id.learn(docs)
+    (f,) = language_id.learn(docs).filters()
     assert f.languages == sorted(sets) and f.planes.shape[0] == 2
     grams_of = {lang: {x for t in of for v, _ in language_id.steps([language_id.letters(t)]) for x in v.tolist()} for lang, of in sets.items()}
     value = np.array(sorted(set().union(*grams_of.values())), np.int64)
@@ -56,7 +57,7 @@ def test_prediction_by_brute_force(spark):
     """With sets in place of the filter the same language wins, as chance hits are few."""
     r = random.Random(6)
     rows = [(k, text(lang, r, r.randint(1, 40)), lang) for k in range(300) for lang in [r.choice(list(SYLLABLES))]]
-    f = language_id.learn(spark.createDataFrame(rows[:150], "doc_id bigint, text string, lang string"))
+    (f,) = language_id.learn(spark.createDataFrame(rows[:150], "doc_id bigint, text string, lang string")).filters()
     grams_of = lambda t: [x for v, _ in language_id.steps([language_id.letters(t)]) for x in v.tolist()]
     sets = {x: {g for _, t, lang in rows[:150] if lang == x for g in grams_of(t)} for x in f.languages}
     shares = [{x: sum(g in sets[x] for g in grams_of(t)) / max(1, len(grams_of(t))) for x in sets} for _, t, _ in rows[150:]]
@@ -68,7 +69,7 @@ def test_prediction_by_brute_force(spark):
 
 def test_ties_go_to_the_language_with_more_text(spark):
     docs = spark.createDataFrame([("same words here", "aa"), ("same words here", "bb"), ("same words here", "bb")], "text string, lang string")
-    f = language_id.learn(docs)
+    (f,) = language_id.learn(docs).filters()
     assert f.predict(["same words", "zzzzzzzz"])[0] == ["bb", "bb"]
 
 
@@ -77,3 +78,31 @@ def test_steps_change_nothing(monkeypatch):
     whole = [np.concatenate(x).tolist() for x in zip(*language_id.steps(texts))]
     monkeypatch.setattr(language_id, "STEP", 8)
     assert [np.concatenate(x).tolist() for x in zip(*language_id.steps(texts))] == whole
+
+
+def test_a_bound_of_a_few_kilobytes_changes_no_prediction(spark, monkeypatch):
+    """Over many small filters the languages are those of plain sets, as with one large filter."""
+    r = random.Random(8)
+    words = {x: ["".join(r.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(4000)] for x in ("aa", "bb", "cc")}
+    rows = [(k, " ".join(r.choice(words[x]) for _ in range(r.randint(5, 60))), x) for k in range(900) for x in [r.choice(list(words))]]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    grams_of = lambda t: [x for v, _ in language_id.steps([language_id.letters(t)]) for x in v.tolist()]
+    sets = {x: {g for _, t, lang in rows[:700] if lang == x for g in grams_of(t)} for x in words}
+    share = lambda t, x: sum(g in sets[x] for g in grams_of(t)) / max(1, len(grams_of(t)))
+    found = {}
+    for most in (128 << 20, language_id.BLOCK):
+        monkeypatch.setattr(language_id, "FILTER_BYTES", most)
+        known = language_id.learn(df.filter("doc_id < 700"))
+        got = language_id.identify(df.filter("doc_id >= 700"), known, keep=("doc_id",), names=("lang_pred", "score", "shares")).collect()
+        found[most] = known.parts
+        assert len(got) == 200
+        for x in got:
+            t = rows[x.doc_id][1]
+            assert x.lang_pred == max(sets, key=lambda k: share(t, k)) and all(abs(x.shares[k] - share(t, k)) < 0.03 for k in sets)
+    assert found[128 << 20] == 1 and found[language_id.BLOCK] > 20
+
+
+def test_kept_columns_with_names_of_the_result(spark):
+    df = spark.createDataFrame([(1, "ka to mi", "x", 7)], "doc_id bigint, text string, lang_pred string, score int")
+    (r,) = language_id.identify(df, language_id.learn(df.withColumn("lang", F.lit("aa"))), keep=("doc_id", "lang_pred", "score")).collect()
+    assert r.asDict() == {"doc_id": 1, "lang_pred": "aa", "score": 1.0}

@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from lamina.llm import mixing
 from lamina.llm.mixing import mix
 
 
@@ -28,11 +29,12 @@ def test_targets_and_taken(edge, edge_rows, empty):
     for _, t, _, s, *_ in edge_rows:
         sizes[s] += n(t)
     want = targets(dict(sizes))
-    got = mix(edge, keep=("source", "size")).collect()
+    got = mix(edge, keep=("source", "size", "target", "taken")).collect()
+    assert list(got[0].asDict()) == ["source", "doc_id", "size", "source_size", "target", "taken", "copies"]
     assert len(got) == len(edge_rows) and mix(empty).count() == 0
     taken = defaultdict(int)
     for r in got:
-        assert r.taken <= 2 * r.size if isinstance(r.size, int) else True
+        assert r.taken <= 2 * r.size
         assert r.target == pytest.approx(want[r.source])
         taken[r.source] += r.taken
     for s in sizes:
@@ -57,3 +59,12 @@ def test_quality_raises_the_share(spark):
 def test_all_empty(spark):
     got = mix(spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id int, text string, source string")).collect()
     assert [(r.size, r.target, r.taken) for r in got] == [(0, 0.0, 0)] * 2
+
+
+def test_buckets_are_even_for_any_weights(spark):
+    """Weights of 0.01 to 100, and one that most have, leave no bucket above ten times its size."""
+    u = (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) + 0.5) / (1 << 40)
+    for weight in (F.lit(0.01), F.pow(F.lit(10.0), F.pmod("id", F.lit(5)) - 2), F.when(F.col("id") % 3 == 0, 0.05).otherwise(100.0)):
+        rows = spark.range(200_000).select(F.lit("only").alias("source"), (F.log2(-F.log(u) / weight) * mixing.BINS).alias("place")).withColumn("bin", F.floor("place"))
+        sizes = [r["count"] for r in mixing.bucketed(rows).groupBy("bucket").count().collect()]
+        assert sum(sizes) == 200_000 and max(sizes) < 2 * mixing.BUCKET_ROWS

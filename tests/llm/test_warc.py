@@ -3,6 +3,7 @@ import hashlib
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from lamina.llm import queries, warc
 from lamina.llm.storage import fresh_path
@@ -66,3 +67,14 @@ def test_archives_are_bounded_by_bytes(spark):
     sizes = [len(gzip.decompress(f.read_bytes())) for f in Path(path.removeprefix("file:")).rglob("*.gz")]
     assert len(sizes) > 10 and all(n < 10_000 + 17_500 for n in sizes) and len(list(Path(path.removeprefix("file:")).iterdir())) >= len(sizes)
     assert sorted(bytes(r.payload) for r in warc.read_archives(spark, path).collect()) == sorted(r.html.encode() for r in docs.collect())
+
+
+def test_many_equal_large_records_come_back(spark):
+    """3000 equal rows of a megabyte are counted in one segment table and come back as 3000 rows."""
+    body = F.concat(F.lit("H: x\r\n\r\n"), F.repeat(F.lit("y"), 1_000_000)).cast("binary")
+    segments = spark.range(3000).select(
+        F.lit("same").alias("origin"), F.lit("response").alias("warc_type"), F.lit(None).cast("string").alias("target_uri"), F.lit(None).cast("string").alias("payload_sha1"),
+        F.lit(1).alias("number"), F.lit(1_000_008).cast("long").alias("total"), body.alias("body"),
+    )
+    found = warc.reassembled(segments).groupBy("record_id", "status", F.length("payload").alias("n")).count().collect()
+    assert [tuple(r) for r in found] == [("same", "ok", 1_000_000, 3000)]
