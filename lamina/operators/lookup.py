@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 # Layers that are drawn as sprites.
 VISUAL_TYPES = ("sprite", "effect", "foreground")
+# Fixed value: the asset that is a vehicle.
+BOARDING_ASSET = "asset_scene_boarding_train"
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -63,6 +65,11 @@ def flatten_clips(layers: DataFrame, assets: DataFrame) -> DataFrame:
     return rows.withColumn("sprite", F.coalesce("clip.sprite", "assetSprite"))
 
 
+def reachable(zones: DataFrame, asset_id: Column, phase: Column, vehicle: str = BOARDING_ASSET) -> DataFrame:
+    """``zones`` without a vehicle that isn't ready to be boarded."""
+    return zones.filter(~F.coalesce((asset_id == vehicle) & ~phase.eqNullSafe(F.lit("ready")), F.lit(False)))
+
+
 def nearest_in_reach(points: DataFrame, boxes: DataFrame, point_key: str, distance: Column, reach: Column, order: list[str], block: Column) -> DataFrame:
     """The nearest box of each point, then only those within that box's own ``reach``: a farther one never steps in.
 

@@ -272,10 +272,16 @@ def rebuilt_grid(current: Column, patch: Column) -> Column:
     return F.when(geometry.grid_fits(n["columns"], rows, n["frameWidth"], n["frameHeight"], current["width"], current["height"]), grid)
 
 
-def hotspot_layer(scene: Column, layer_id, name, x: Column, y: Column, prompt) -> Column:
-    """A layer that only carries an interaction."""
-    fields = {"id": layer_id, "name": name, "type": "effect", "visible": True, "x": x, "y": y, "scale": 0.55, "zIndex": 82.0, "opacity": 0.75, "parallax": 1.0, "promptText": prompt, "triggerRadius": 170.0, "offsetY": -30.0}
-    return F.struct(*(lit(v).alias(k) for k, v in fields.items()))
+def kit_light() -> Column:
+    return F.struct(*(F.lit(v).alias(k) for k, v in builtin.KIT_LIGHT.items()))
+
+
+def hotspot_layers(scenes: DataFrame, hotspots: DataFrame, scene_key: str = "id") -> DataFrame:
+    """A layer for each scene and hotspot: it only carries an interaction and stands by the scene's ground."""
+    s = scenes.select(F.col(scene_key).alias("scene"), "groundY")
+    placed = s.join(F.broadcast(hotspots), F.lit(True))  # three rows
+    fixed = {"type": "effect", "visible": True, "assetId": builtin.EYE, "activeAnimationId": "clip_eye_inspect_idle", "scale": 0.55, "zIndex": 82.0, "opacity": 0.75, "parallax": 1.0, "shadow": False}
+    return placed.select("scene", "id", "name", *(F.lit(v).alias(k) for k, v in fixed.items()), "x", (F.col("groundY") + F.col("below")).alias("y"), kit_light().alias("lighting"), "promptText", "triggerRadius", "offsetY", "fontSize", "promptStyle")
 
 
 def kit_layers(scenes: DataFrame, kit: DataFrame, scene_key: str = "id") -> DataFrame:
@@ -288,14 +294,23 @@ def kit_layers(scenes: DataFrame, kit: DataFrame, scene_key: str = "id") -> Data
     return placed.select("scene", *kit.columns)
 
 
+def completing_layers(scenes: DataFrame, scene_key: str = "id") -> DataFrame:
+    """All that a scene is completed with: sign, machine, backpack, vehicle and the hotspots; fields that a layer doesn't have are null."""
+    spark = scenes.sparkSession
+    kit = kit_layers(scenes, builtin.kit_layers(spark).filter(F.col("assetId").isin(*builtin.KIT_COMPLETED)).drop("ordinal"), scene_key)
+    kit = kit.withColumn("visible", F.lit(True)).withColumn("lighting", kit_light())
+    return kit.unionByName(hotspot_layers(scenes, builtin.hotspots(spark), scene_key), allowMissingColumns=True)
+
+
 def corrected_kit_layer(layer: Column) -> Column:
-    """Kit layers of older scenes that are too large are put back to their place and size."""
+    """Kit layers of older scenes that are too large are put back to their place and size; machine, sign and vehicle lose their light at any size."""
     asset, scale = layer["assetId"], layer["scale"]
     hud = patched(layer, {"x": F.lit(1210.0), "y": F.lit(96.0), "scale": F.lit(0.18), "parallax": F.lit(0.0), "zIndex": F.greatest(layer["zIndex"], F.lit(120.0))})
-    sign = patched(layer, {"x": F.lit(920.0), "y": F.lit(292.0), "scale": F.lit(0.36)})
+    sign = {"x": F.lit(920.0), "y": F.lit(292.0), "scale": F.lit(0.36)}
+    dark = lambda **change: patched(layer, {**change, "lighting": kit_light()})
     return (
-        F.when((asset == builtin.BACKPACK) & (scale > 0.35), hud).when((asset == builtin.TICKET_MACHINE) & (scale > 0.3), patched(layer, {"scale": F.lit(0.22)}))
-        .when((asset == builtin.SIGN) & (scale > 0.48), sign).otherwise(layer)
+        F.when((asset == builtin.BACKPACK) & (scale > 0.35), hud).when((asset == builtin.TICKET_MACHINE) & (scale > 0.3), dark(scale=F.lit(0.22)))
+        .when((asset == builtin.SIGN) & (scale > 0.48), dark(**sign)).when(asset.isin(builtin.TICKET_MACHINE, builtin.SIGN, builtin.TRAIN), dark()).otherwise(layer)
     )
 
 

@@ -10,11 +10,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Registers a function of a table reader (name -> DataFrame) under its own name."""
+def query(sql: str | None = None, paths: bool = False):
+    """Registers a function of a table reader (name -> DataFrame), or with ``paths`` of the session and the tables' folder, under its own name."""
 
     def register(f):
-        QUERIES[f.__name__] = lambda spark, d: f(lambda name: spark.read.parquet(f"{d}/{name}.parquet"))
+        QUERIES[f.__name__] = f if paths else lambda spark, d: f(lambda name: spark.read.parquet(f"{d}/{name}.parquet"))
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f

@@ -329,16 +329,17 @@ def preset_overlays(t):
 
 @query(WITH + ", " + SPRITES + f""", v AS (SELECT l.scene, l.ordinal, l.visible, l.type, l.part % 60 AS k, l.supp, b.x, b.y, b.l, b.t, b.bw, b.bh FROM l JOIN b ON l.scene = b.scene AND l.ordinal = b.ordinal WHERE l."assetId" IS NOT NULL AND l.visible AND l.type IN ('sprite', 'effect', 'foreground')),
 pl AS (SELECT scene, px, py FROM (SELECT scene, l + bw * 0.5 AS px, t + bh * 0.5 AS py, row_number() OVER (PARTITION BY scene ORDER BY ordinal) AS rn FROM v WHERE k % 10 = 1) WHERE rn = 1),
-i AS (SELECT *, greatest(24.0, bw) AS zw, greatest(24.0, bh) AS zh, l + bw * 0.5 AS cx, t + bh * 0.5 AS cy, CASE WHEN supp % 8 = 0 THEN 90.0 ELSE 180.0 END AS radius FROM v WHERE k % 10 <> 1 AND (k % 3 = 0 OR supp % 4 = 0) AND (supp % 4 <> 0 OR supp % 12 <> 0)),
+i AS (SELECT *, greatest(24.0, bw) AS zw, greatest(24.0, bh) AS zh, l + bw * 0.5 AS cx, t + bh * 0.5 AS cy, CASE WHEN supp % 8 = 0 THEN 90.0 ELSE 180.0 END AS radius FROM v WHERE k % 10 <> 1 AND (k % 3 = 0 OR supp % 4 = 0) AND (supp % 4 <> 0 OR supp % 12 <> 0) AND (k <> 27 OR scene % 2 = 0)),
 d AS (SELECT i.*, sqrt(pow(greatest(cx - zw / 2 - px, px - cx - zw / 2, 0), 2) + pow(greatest(cy - zh / 2 - py, py - cy - zh / 2, 0), 2)) AS raw FROM i JOIN pl ON pl.scene = i.scene),
 q AS (SELECT *, round(raw, 6) AS distance FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY distance, ordinal) AS rn FROM q)
 SELECT scene, ordinal, round(distance, 4) AS distance FROM r WHERE rn = 1 AND distance <= radius
 """)
 def nearby_interaction(t):
-    """What a scene's player can reach: the nearest interactive layer, if it is within that layer's own radius."""
+    """What a scene's player can reach: the nearest interactive layer, if it is within that layer's own radius; a vehicle only once it is ready."""
     rows = interactions(t).filter("visible AND asset IS NOT NULL").withColumn("box", geometry.world_bounds(F.struct("x", "y", "scale"), sprite())).withColumn("i", scene.interaction_of(F.struct(F.col("own").alias("interaction")), F.col("asset")))
     first = lookup.first_wins(rows.filter("asset.role = 'player'").select("scene", "ordinal", F.col("box.centerX").alias("px"), F.col("box.centerY").alias("py")), "scene", "ordinal").select(F.col("scene").alias("of"), "px", "py")
-    zones = rows.filter("asset.role <> 'player' AND i.enabled").select("scene", "ordinal", geometry.zone_bounds(F.col("box"), F.col("i")).alias("zone"), F.col("i.triggerRadius").alias("radius"))
+    phase = F.when(F.col("scene") % 2 == 0, "ready").otherwise("approaching")
+    zones = lookup.reachable(rows.filter("asset.role <> 'player' AND i.enabled"), F.col("asset.id"), phase, "asset_27").select("scene", "ordinal", geometry.zone_bounds(F.col("box"), F.col("i")).alias("zone"), F.col("i.triggerRadius").alias("radius"))
     distance = F.round(geometry.distance_to_box(F.col("px"), F.col("py"), F.col("zone")), 6)
     return lookup.nearest_in_reach(first, zones, "of", distance, F.col("radius"), ["ordinal"], F.col("of") == F.col("scene")).select("scene", "ordinal", F.round("distance", 4).alias("distance"))
 
@@ -356,24 +357,43 @@ def scene_rows(t) -> DataFrame:
 
 
 @query(f"""
-WITH {SCENES_SQL}, v AS (SELECT *, least(coalesce(nullif("viewportWidth", 0), 1280.0), width) AS view FROM sc)
-SELECT scene, k.id, asset AS "assetId", CAST(scale AS DOUBLE) AS scale, CAST(z AS DOUBLE) AS "zIndex",
-  CASE asset WHEN 'asset_scene_e_trigger_point' THEN floor("cameraX" + view * 0.5 + 0.5) WHEN 'asset_scene_ticket_machine' THEN 720.0 WHEN 'asset_scene_backpack_ui' THEN 1210.0 WHEN 'asset_scene_backpack_panel' THEN 258.0 WHEN 'asset_scene_boarding_train' THEN "cameraX" + view + 180 ELSE 920.0 END AS x,
-  CASE asset WHEN 'asset_scene_e_trigger_point' THEN "groundY" - 10 WHEN 'asset_scene_ticket_machine' THEN "groundY" + 3 WHEN 'asset_scene_backpack_ui' THEN 96.0 WHEN 'asset_scene_backpack_panel' THEN 572.0 WHEN 'asset_scene_boarding_train' THEN height - 36 ELSE 292.0 END AS y
-FROM v, {KIT_SQL} WHERE NOT (scene % 3 = 0 AND asset = 'asset_scene_ticket_machine')
-UNION ALL SELECT scene, 'layer_scene_ticket_machine', 'asset_scene_ticket_machine', CASE WHEN scene % 2 = 0 THEN 0.22 ELSE 0.3 END, 5.0, 1.0, 2.0 FROM v WHERE scene % 3 = 0
-UNION ALL SELECT scene, 'mine', 'asset_scene_backpack_ui', CASE WHEN scene % 2 = 0 THEN 0.18 ELSE 0.35 END, CASE WHEN scene % 2 = 0 THEN 120.0 ELSE 7.0 END, CASE WHEN scene % 2 = 0 THEN 1210.0 ELSE 3.0 END, CASE WHEN scene % 2 = 0 THEN 96.0 ELSE 4.0 END FROM v
+WITH {SCENES_SQL}, v AS (SELECT *, least(coalesce(nullif("viewportWidth", 0), 1280.0), width) AS view FROM sc),
+own AS (
+  SELECT scene, 'layer_scene_ticket_machine' AS id, 'asset_scene_ticket_machine' AS a, CASE WHEN scene % 2 = 0 THEN 0.22 ELSE 0.3 END AS s, 5.0 AS z, 1.0 AS x, 2.0 AS y, 'none' AS light FROM v WHERE scene % 3 = 0
+  UNION ALL SELECT scene, 'mine', 'asset_scene_backpack_ui', CASE WHEN scene % 2 = 0 THEN 0.18 ELSE 0.35 END, CASE WHEN scene % 2 = 0 THEN 120.0 ELSE 7.0 END, CASE WHEN scene % 2 = 0 THEN 1210.0 ELSE 3.0 END, CASE WHEN scene % 2 = 0 THEN 96.0 ELSE 4.0 END, 'neon-station' FROM v
+  UNION ALL SELECT scene, 'layer_scene_station_sign_13', 'asset_scene_station_sign_13', CASE WHEN scene % 2 = 0 THEN 0.36 ELSE 0.48 END, 8.0, CASE WHEN scene % 2 = 0 THEN 920.0 ELSE 5.0 END, CASE WHEN scene % 2 = 0 THEN 292.0 ELSE 6.0 END, 'none' FROM v WHERE scene % 5 = 0
+  UNION ALL SELECT scene, 'layer_scene_boarding_train', 'asset_scene_boarding_train', 0.9, 9.0, 7.0, 8.0, 'none' FROM v WHERE scene % 7 = 0
+),
+kit AS (
+  SELECT scene, 'layer_scene_station_sign_13' AS id, 'asset_scene_station_sign_13' AS a, 0.36 AS s, 12.0 AS z, 920.0 AS x, 292.0 AS y, NULL AS prompt, NULL AS radius FROM v
+  UNION ALL SELECT scene, 'layer_scene_ticket_machine', 'asset_scene_ticket_machine', 0.22, 24.0, 720.0, "groundY" + 3, NULL, NULL FROM v
+  UNION ALL SELECT scene, 'layer_scene_backpack_ui', 'asset_scene_backpack_ui', 0.18, 120.0, 1210.0, 96.0, NULL, NULL FROM v
+  UNION ALL SELECT scene, 'layer_scene_boarding_train', 'asset_scene_boarding_train', 0.44, 86.0, "cameraX" + view + 180, height - 36, NULL, NULL FROM v
+  UNION ALL SELECT scene, 'layer_scene_eye_hotspot_ticket_machine', 'asset_scene_e_trigger_point', 0.55, 82.0, 738.0, "groundY" - 12, 'Use ticket machine', 155.0 FROM v
+  UNION ALL SELECT scene, 'layer_scene_eye_hotspot_notice', 'asset_scene_e_trigger_point', 0.55, 82.0, 390.0, "groundY" - 18, 'Inspect notice', 145.0 FROM v
+  UNION ALL SELECT scene, 'layer_scene_eye_hotspot_platform_edge', 'asset_scene_e_trigger_point', 0.55, 82.0, 1480.0, "groundY" - 14, 'Wait for train', 190.0 FROM v
+),
+a AS (
+  SELECT scene, id, a, s, z, x, y, light, NULL AS prompt, NULL AS radius FROM own
+  UNION ALL SELECT scene, id, a, s, z, x, y, 'none', prompt, radius FROM kit WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.scene = kit.scene AND own.id = kit.id)
+)
+SELECT scene, id, a AS "assetId", CAST(s AS DOUBLE) AS scale, CAST(z AS DOUBLE) AS "zIndex", CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, light, CAST(prompt AS VARCHAR) AS prompt, CAST(radius AS DOUBLE) AS radius FROM a
 """)
 def kit_corrections(t):
-    """Kit layers that a scene lacks are added; its own ones that are too large are put back."""
+    """Kit layers and hotspots that a scene lacks are added; its own ones that are too large are put back, and lose their light."""
     scenes = scene_rows(t)
-    templates = scene.kit_layers(scenes, builtin.kit_layers(scenes.sparkSession), "scene").select("scene", "id", "assetId", "scale", "zIndex", "x", "y")
+    templates = scene.completing_layers(scenes, "scene").select("scene", "id", "assetId", "scale", "zIndex", "x", "y", F.col("lighting.preset").alias("light"), F.col("promptText").alias("prompt"), F.col("triggerRadius").alias("radius"))
     large = F.col("scene") % 2 == 0
-    row = lambda i, a, s, z, x, y: F.struct(F.lit(i).alias("id"), F.lit(a).alias("assetId"), s.alias("scale"), F.lit(z).alias("zIndex"), F.lit(1.0).alias("parallax"), F.lit(x).alias("x"), F.lit(y).alias("y"))
+    lit = F.struct(*(F.lit(v).alias(k) for k, v in (builtin.KIT_LIGHT | {"preset": "neon-station"}).items()))
+    row = lambda i, a, s, z, x, y: F.struct(F.lit(i).alias("id"), F.lit(a).alias("assetId"), s.alias("scale"), F.lit(z).alias("zIndex"), F.lit(1.0).alias("parallax"), F.lit(x).alias("x"), F.lit(y).alias("y"), lit.alias("lighting"))
     machine = row("layer_scene_ticket_machine", builtin.TICKET_MACHINE, F.when(large, 0.31).otherwise(0.3), 5.0, 1.0, 2.0)
     hud = row("mine", builtin.BACKPACK, F.when(large, 0.36).otherwise(0.35), 7.0, 3.0, 4.0)
-    own = scenes.select("scene", F.explode(F.filter(F.array(F.when(F.col("scene") % 3 == 0, machine), hud), lambda x: x.isNotNull())).alias("x"))
-    own = own.select("scene", scene.corrected_kit_layer(F.col("x")).alias("x")).select("scene", "x.id", "x.assetId", "x.scale", "x.zIndex", "x.x", "x.y")
+    sign = row("layer_scene_station_sign_13", builtin.SIGN, F.when(large, 0.49).otherwise(0.48), 8.0, 5.0, 6.0)
+    train = row("layer_scene_boarding_train", builtin.TRAIN, F.lit(0.9), 9.0, 7.0, 8.0)
+    of = lambda n, x: F.when(F.col("scene") % n == 0, x)
+    own = scenes.select("scene", F.explode(F.filter(F.array(of(3, machine), hud, of(5, sign), of(7, train)), lambda x: x.isNotNull())).alias("x"))
+    none = lambda kind: F.lit(None).cast(kind)
+    own = own.select("scene", scene.corrected_kit_layer(F.col("x")).alias("x")).select("scene", "x.id", "x.assetId", "x.scale", "x.zIndex", "x.x", "x.y", F.col("x.lighting.preset").alias("light"), none("string").alias("prompt"), none("double").alias("radius"))
     key = F.concat_ws("/", F.col("scene").cast("string"), "id")
     return lookup.missing_rows(templates.withColumn("k", key), own.withColumn("k", key), "k").drop("k")
 
@@ -550,15 +570,15 @@ def latest_manifest(t):
 
 @query("""
 WITH f AS (SELECT page_id, 'sheet_' || lpad(CAST(page_id AS VARCHAR), 9, '0') || '.' || CASE page_id % 4 WHEN 0 THEN 'PNG' WHEN 1 THEN 'txt' WHEN 2 THEN 'webp' ELSE 'gif' END AS name, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * (page_id % 9) AS modified, strlen(html) AS size FROM pages)
-SELECT name, '/generated/' || name AS url, lower(split_part(name, '.', 2)) AS extension, size, strftime(modified, '%Y-%m-%dT%H:%M:%S.000Z') AS "updatedTime" FROM f WHERE page_id % 4 <> 1 ORDER BY modified DESC, name LIMIT 50
+SELECT name, '/generated/' || name AS url, lower(split_part(name, '.', 2)) AS extension, size, strftime(modified, '%Y-%m-%dT%H:%M:%S.000Z') AS "updatedTime" FROM f WHERE page_id % 4 <> 1 ORDER BY modified DESC, name
 """)
 def image_listing(t):
-    """The newest images of a folder's files; of the same time, by name."""
+    """The images of a folder's files, newest first; of the same time, by name."""
     k = F.col("page_id")
     ending = F.when(k % 4 == 0, "PNG").when(k % 4 == 1, "txt").when(k % 4 == 2, "webp").otherwise("gif")
     at = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp")) + k % 9 * 3600)
     files = t("pages").select(F.concat(F.lit("file:/a/b/sheet_"), F.lpad(k.cast("string"), 9, "0"), F.lit("."), ending).alias("path"), F.octet_length("html").cast("long").alias("length"), at.alias("modificationTime"))
-    return library.image_listing(files).limit(50)
+    return library.image_listing(files)
 
 
 @query("""

@@ -49,13 +49,18 @@ preset_coin|Golden Arcade Coin|12|Shiny Vector Art
 preset_bat|Midnight Twilight Bat|16|Clean Vector Profile
 preset_fire|Cosmic Plasma Core|12|Dreamy Magic Vector
 """
-HOTSPOTS = (
-    ("layer_scene_eye_hotspot_ticket_machine", "Ticket Machine Eye Hotspot", 738.0, -12.0, "Use ticket machine", 155.0, -42.0),
-    ("layer_scene_eye_hotspot_notice", "Notice Board Eye Hotspot", 390.0, -18.0, "Inspect notice", 145.0, -30.0),
-    ("layer_scene_eye_hotspot_platform_edge", "Platform Edge Eye Hotspot", 1480.0, -14.0, "Wait for train", 190.0, -30.0),
-)
+# id, name, x, y below the ground, prompt, radius, offset, font size, prompt style; empty ones are the defaults of an interaction
+HOTSPOTS = """
+layer_scene_eye_hotspot_ticket_machine|Ticket Machine Eye Hotspot|738|-12|Use ticket machine|155|-42||
+layer_scene_eye_hotspot_notice|Notice Board Eye Hotspot|390|-18|Inspect notice|145|-30|10|caption
+layer_scene_eye_hotspot_platform_edge|Platform Edge Eye Hotspot|1480|-14|Wait for train|190|-30||
+"""
+# Lighting of kit layers: off, with the values that it has when it is put on.
+KIT_LIGHT = {"preset": "none", "brightness": 0.64, "contrast": 0.98, "saturate": 0.74, "edgeLightColor": "#ff3e75", "edgeLightOpacity": 0.32, "rimLightColor": "#8e54ff", "rimLightOpacity": 0.24}
 EYE, TICKET_MACHINE, BACKPACK, PANEL = "asset_scene_e_trigger_point", "asset_scene_ticket_machine", "asset_scene_backpack_ui", "asset_scene_backpack_panel"
 SIGN, TRAIN = "asset_scene_station_sign_13", "asset_scene_boarding_train"
+#: Those that a scene is completed with, beside the hotspots.
+KIT_COMPLETED = (SIGN, TICKET_MACHINE, BACKPACK, TRAIN)
 KIT_IDS = (EYE, TICKET_MACHINE, BACKPACK, PANEL, SIGN, TRAIN)
 
 
@@ -89,5 +94,9 @@ def kit_layers(spark: SparkSession) -> DataFrame:
     return rows(spark, KIT_LAYERS, "assetId string, id string, name string, type string, activeAnimationId string, x double, y double, scale double, zIndex double, opacity double, parallax double, shadow boolean")
 
 
+def hotspots(spark: SparkSession) -> DataFrame:
+    return rows(spark, HOTSPOTS, "id string, name string, x double, below double, promptText string, triggerRadius double, offsetY double, fontSize double, promptStyle string")
+
+
 def preset_sprites(spark: SparkSession) -> DataFrame:
     return rows(spark, PRESET_SPRITES, "id string, characterName string, frameCount int, style string")

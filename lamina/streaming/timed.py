@@ -170,6 +170,8 @@ def drained(stream: DataFrame, name: str, checkpoint: str | None = None, path: s
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def file_stream(spark: SparkSession, path: str, files_at_once: int = 1) -> DataFrame:
-    """A stream over the files of a Parquet table."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
+def file_stream(spark: SparkSession, path: str, files_at_once: int | None = 1) -> DataFrame:
+    """A stream over the files of a Parquet table; all in one batch if no number is named."""
+    rows = spark.readStream.schema(spark.read.parquet(path).schema)
+    # The last letter as a class: a pattern may name a single file too.
+    return (rows.option("maxFilesPerTrigger", files_at_once) if files_at_once else rows).parquet(f"{path[:-1]}[{path[-1]}]")
