@@ -92,7 +92,7 @@ def test_columns_of_any_name_pass_through(spark, edge, edge_rows, tmp_path):
 
 
 def test_names_and_oracles():
-    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and len(queries.QUERIES) == 11
+    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and len(queries.QUERIES) == 14
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "language ID"
 
 
