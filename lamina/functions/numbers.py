@@ -86,8 +86,8 @@ def state_value(text: Column) -> Column:
 def state_matches(kind: Column, value: Column, expected: Column) -> Column:
     """Blank ``expected`` asks whether the stored value is set and not false, 0 or empty; else the texts must be equal."""
     t = F.trim(F.coalesce(expected, F.lit("")))
-    held = F.when(kind == "number", number_text(number(value))).otherwise(value)
-    holds = F.when(kind == "boolean", value == "true").when(kind == "number", number(value) != 0).otherwise(value != "")
+    held = F.when(kind == "number", F.coalesce(number_text(number(value)), value)).otherwise(value)  # one too large for a double is Infinity, which isn't read again
+    holds = F.when(kind == "boolean", value == "true").when(kind == "number", F.coalesce(number(value) != 0, value.isNotNull())).otherwise(value != "")
     return F.when(t == "", F.coalesce(holds, F.lit(False))).otherwise(F.coalesce(held, F.lit("undefined")) == state_value(t)["value"])
 
 

@@ -100,10 +100,18 @@ def procedural(prompts: DataFrame, prompt: str, count: Column) -> DataFrame:
     return rows.withColumn("phase", phase).withColumn("parameters", parameters(FAMILIES, F.col("family"), F.col("frame"), count))
 
 
+def loops(rows: DataFrame, family: str, counts: dict[str, int] = PRESET_FRAMES) -> DataFrame:
+    """``rows`` with the frames of the built-in loop that ``family`` names: frame, n and the numbers of its picture. Rows that name none have no frames."""
+    n = F.lit(None).cast("int")
+    for name, count in counts.items():
+        n = F.when(F.col(family) == name, count).otherwise(n)
+    each = per_frame(rows.withColumn("n", n).filter("n IS NOT NULL"), F.col("n"))
+    return each.withColumn("parameters", parameters(PRESETS, F.col(family), F.col("frame"), F.col("n")))
+
+
 def preset_frames(spark, counts: dict[str, int] = PRESET_FRAMES) -> DataFrame:
     """Frames of the built-in loops (family: frames)."""
-    rows = per_frame(spark.createDataFrame(list(counts.items()), "family string, n int"), F.col("n"))
-    return rows.withColumn("parameters", parameters(PRESETS, F.col("family"), F.col("frame"), F.col("n")))
+    return loops(spark.createDataFrame([(f,) for f in counts], "family string"), "family", counts)
 
 
 # Words of a prompt that ask for an effect, and the effects' colours.

@@ -42,11 +42,13 @@ def keyed_out(pixels: DataFrame) -> DataFrame:
     return pixels.withColumn("_p", out).select(*(c for c in pixels.columns if c not in "rgba"), *(F.col(f"_p.{c}").alias(c) for c in "rgba"))
 
 
-def projections(pixels: DataFrame) -> DataFrame:
-    """sheet_id, axis, i, n: visible pixels of each column and row that has any."""
-    both = pixels.filter(F.col("a") > VISIBLE).groupBy("sheet_id", "x", "y").agg(F.lit(1).alias("one"))
-    line = lambda axis: both.groupBy("sheet_id", F.col(axis).alias("i")).agg(F.count("*").alias("n")).withColumn("axis", F.lit(axis))
-    return line("x").unionByName(line("y"))
+def projections(pixels: DataFrame, total: bool = False) -> DataFrame:
+    """sheet_id, axis, i, n: visible pixels of each column and row that has any; with ``total`` also of the sheet (axis and i null). One pass by grouping sets."""
+    seen = pixels.filter(F.col("a") > VISIBLE).select("sheet_id", "x", "y").distinct()
+    sets = [["sheet_id", "x"], ["sheet_id", "y"], *([["sheet_id"]] if total else [])]
+    counts = seen.groupingSets(sets, "sheet_id", "x", "y").agg(F.grouping("x").alias("_no_x"), F.grouping("y").alias("_no_y"), F.count("*").alias("n"))
+    axis = F.when(F.col("_no_x") == 0, "x").when(F.col("_no_y") == 0, "y")
+    return counts.select("sheet_id", F.coalesce("x", "y").alias("i"), "n", axis.alias("axis"))
 
 
 def axis_runs(pixels: DataFrame, sheets: DataFrame) -> DataFrame:
@@ -83,7 +85,8 @@ def cells(grids: DataFrame) -> DataFrame:
 def frames(pixels: DataFrame, grids: DataFrame) -> DataFrame:
     """Each cell with its bounding box (in the cell; null if nothing is visible) and the anchor of its upper body.
 
-    A pixel's cell follows from its place among the bounds; only that one cell is joined.
+    A pixel's cell follows from its place among the bounds; only that one cell is joined. Pixels are read once: boxes and anchors come from
+    sums by line, of which a cell has no more than its height.
     """
     all_cells = cells(grids)
     place = lambda bounds, at: F.size(F.filter(bounds, lambda b: b <= F.col(at))) - 1
@@ -91,11 +94,15 @@ def frames(pixels: DataFrame, grids: DataFrame) -> DataFrame:
     seen = seen.select("sheet_id", "x", "y", "a", (place("y_bounds", "y") * F.col("columns") + place("x_bounds", "x")).alias("frame"))
     inside = (F.col("x") >= F.col("cell.x0")) & (F.col("x") < F.col("cell.x1")) & (F.col("y") >= F.col("cell.y0")) & (F.col("y") < F.col("cell.y1"))
     own = seen.join(all_cells, ["sheet_id", "frame"]).filter(inside).select("sheet_id", "frame", (F.col("x") - F.col("cell.x0")).alias("x"), (F.col("y") - F.col("cell.y0")).alias("y"), "a")
-    boxes = own.groupBy("sheet_id", "frame").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"))
+    visible = F.when(F.col("a") > VISIBLE, F.col("a")).cast("long")
+    lines = own.groupBy("sheet_id", "frame", "y").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"), F.sum(visible).alias("w"), F.sum(F.col("x") * visible).alias("wx"))
+    boxes = lines.groupBy("sheet_id", "frame").agg(F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), (F.max("y") + 1).alias("y1"), F.collect_list(F.struct("y", "w", "wx")).alias("lines"))
     upper = F.greatest(F.col("y0") + 1, F.col("y0") + ((F.col("y1") - F.col("y0")) * UPPER_BODY).cast("int"))
-    body = own.join(boxes, ["sheet_id", "frame"]).filter((F.col("a") > VISIBLE) & (F.col("y") < upper))
-    centres = body.groupBy("sheet_id", "frame").agg((F.sum(F.col("x") * F.col("a")) / F.sum("a")).alias("ax"), (F.sum(F.col("y") * F.col("a")) / F.sum("a")).alias("ay"))
-    out = all_cells.join(boxes, ["sheet_id", "frame"], "left").join(centres, ["sheet_id", "frame"], "left")
+    total = lambda value: F.aggregate(F.filter("lines", lambda e: (e["y"] < upper) & e["w"].isNotNull()), F.lit(0).cast("long"), lambda n, e: n + value(e))
+    weight = total(lambda e: e["w"])
+    some = lambda sum_: F.when(weight > 0, sum_ / weight)
+    boxes = boxes.withColumn("ax", some(total(lambda e: e["wx"]))).withColumn("ay", some(total(lambda e: e["y"] * e["w"]))).drop("lines")
+    out = all_cells.join(boxes, ["sheet_id", "frame"], "left")
     anchor = F.struct(F.coalesce("ax", (F.col("x0") + F.col("x1")) / 2).alias("x"), F.coalesce("ay", F.col("y0") + (F.col("y1") - F.col("y0")) * FALLBACK_HEIGHT).alias("y"))
     seen = F.col("x0").isNotNull()
     return out.select(*all_cells.columns, F.when(seen, F.struct("x0", "y0", "x1", "y1")).alias("bbox"), F.when(seen, anchor).alias("anchor"))
@@ -113,7 +120,7 @@ def placed(all_frames: DataFrame, frame_width: int, frame_height: int) -> DataFr
 
 
 def manifests(pixels: DataFrame, sheets: DataFrame, frame_width: int, frame_height: int, now: str, forced: bool = False) -> DataFrame:
-    """One manifest for each sheet. Grids (a row for each sheet) and frames are checkpointed: both are read more than once."""
+    """One manifest for each sheet. Grids (a row for each sheet) and frames are checkpointed: both are read more than once. Pixels are read twice, for the grids and for the frames."""
     clean = keyed_out(pixels)
     grids = cut(grid(clean, sheets, forced))
     done = placed(cut(frames(clean, grids)), frame_width, frame_height)

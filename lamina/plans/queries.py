@@ -387,15 +387,12 @@ def markup_trim(t):
     return t("pages").select("page_id", F.md5(text.trim_markup(F.col("html"), "body", "<body>")).alias("body"))
 
 
-def like_any(column: str, words: tuple[str, ...]) -> str:
-    return " OR ".join(f"contains({column}, '{w}')" for w in words)
-
-
-def first_family_sql(column: str, families: dict[str, tuple[str, ...]], otherwise: str) -> str:
-    return "CASE " + " ".join(f"WHEN {like_any(column, w)} THEN '{n}'" for n, w in families.items()) + f" ELSE '{otherwise}' END"
-
-
-@query(f"SELECT doc_id, {first_family_sql('lower(text)', text.ANIMATION_FAMILIES, 'astral')} AS family, {first_family_sql('lower(text)', text.MOTIONS, 'idle')} AS motion FROM documents")
+@query("""
+SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'slime|jelly|blob|squish|bounce') THEN 'slime' WHEN regexp_matches(lower(text), 'coin|spin|rotate|orb|globe') THEN 'coin' WHEN regexp_matches(lower(text), 'fire|flame|burn|plasma|spark|explosion|hot') THEN 'fire'
+  WHEN regexp_matches(lower(text), 'sword|slash|blade|strike|cut|impact') THEN 'slash' WHEN regexp_matches(lower(text), 'bird|bat|wing|fly|flight|ghost|hover') THEN 'flyer' ELSE 'astral' END AS family,
+  CASE WHEN regexp_matches(lower(text), 'walk|run|走|跑') THEN 'walk' WHEN regexp_matches(lower(text), 'attack|slash|hit|攻击|挥|砍') THEN 'attack' WHEN regexp_matches(lower(text), 'jump|跳') THEN 'jump'
+  WHEN regexp_matches(lower(text), 'magic|spell|cast|fire|glow|spark|魔法|施法|火|光|粒子') THEN 'magic' ELSE 'idle' END AS motion FROM documents
+""")
 def keyword_family(t):
     return t("documents").select("doc_id", text.animation_family(F.col("text")).alias("family"), text.motion(F.col("text")).alias("motion"))
 

@@ -599,43 +599,72 @@ def scene_states(t):
 # --- generators -----------------------------------------------------------------------------------
 
 
-def number_sql(rule: tuple, n: str) -> str:
-    """A number of the generators' tables for DuckDB, at frame i of ``n``."""
-    kind, base, *r = rule
-    if kind in ("line", "sweep", "turn"):
-        return {"line": f"{base} + i * {r[0]}", "sweep": f"{base} + i * ({r[0]}.0 / {n})", "turn": f"{base} + i % {r[0]}"}[kind]
-    if kind == "fall":
-        return f"{base} - ((i + {r[0]}) * {r[1]}) % {r[2]}"
-    wave = {"sin": "sin({})", "cos": "cos({})", "abscos": "abs(cos({}))"}[kind].format(f"i * 2 * pi() / {n} * {r[1]} + {r[2]}")
-    return f"{base} + {r[0]} * {wave}"
-
-
-def family_sql(tables: dict, name: str, n: str) -> str:
-    """Rows (family, i, name, value) of one family."""
-    values = {k: number_sql(rule, n) for k, rule in tables[name].items()}
-    if name == "slime":
-        values |= {"scaleX": f"1 / sqrt({values['scaleY']})", "shadowX": f"75 / sqrt({values['scaleY']})", "shadowY": f"12 * (2 - ({values['scaleY']}))"}
-    if name == "slash":
-        values |= {"sweepOpacity": f"CASE WHEN i * 1.0 / {n} BETWEEN 0.2 AND 0.7 THEN 0.7 - abs(i * 1.0 / {n} - 0.45) * 1.5 ELSE 0 END", "flash": f"CASE WHEN i * 1.0 / {n} > 0.4 AND i * 1.0 / {n} < 0.6 THEN 1 ELSE 0 END"}
-    return " UNION ALL ".join(f"SELECT '{name}' AS family, i, '{k}' AS name, round(CAST({v} AS DOUBLE), 6) AS value FROM range(0, {n}) t(i)" for k, v in values.items())
-
-
-PROMPTS = {"slime": "A jelly blob", "coin": "Spinning coin", "fire": "a flame", "slash": "Sword", "flyer": "a bat", "astral": "stars"}
+def numbers_sql(numbers: dict[str, str]) -> str:
+    """A list of (name, value) for DuckDB."""
+    return "[" + ", ".join(f"{{'name': '{k}', 'value': CAST({v} AS DOUBLE)}}" for k, v in numbers.items()) + "]"
+
+
+# What is expected of the generators is written out here, apart from the operator's own tables; i is the frame, a its angle.
+GENERATED = {
+    "slime": {
+        "scaleY": "1 + 0.22 * sin(a)", "scaleX": "1 / sqrt(1 + 0.22 * sin(a))", "wobble": "5 * cos(a * 2)", "lookX": "6 * sin(a)", "bob": "12 * (0.22 * sin(a))", "mouth": "167 + 2.5 * sin(a * 2)",
+        "shadowX": "75 / sqrt(1 + 0.22 * sin(a))", "shadowY": "12 * (1 - 0.22 * sin(a))",
+    },
+    "coin": {"shadow": "85 * (0.8 + 0.1 * sin(a))", "face": "cos(a)", "rim": "96 * abs(cos(a))", "core": "72 * abs(cos(a))", "sheen": "80 * abs(cos(a))", "glint": "15 * sin(a) - 35", "emblem": "i * 15"},
+    "fire": {
+        "pulse": "34 + 6 * sin(a * 4)", "p1X": "128 + 42 * cos(a * 2.2)", "p1Y": "120 + 30 * sin(a * 1.5 - pi() / 4)", "p1Size": "15 + 6 * cos(a)", "p2X": "128 + 48 * cos(a * 1.8 + pi())", "p2Y": "115 + 35 * sin(a * 2.1 + pi() / 3)", "p2Size": "13 + 5 * sin(a)",
+        "node1X": "112 + 10 * cos(a * 3)", "node1Y": "100 - (i * 6) % 65", "node1Size": "2 + i % 3", "node2X": "144 + 12 * sin(a * 2)", "node2Y": "110 - ((i + 4) * 6) % 70", "node2Size": "1.5 + i % 2.5",
+    },
+    "slash": {
+        "angle": "180 * sin(a / 2) - 45", "shadowOpacity": "0.3 * (1 - sin(a / 2))", "arcY": "80 - 40 * sin(a / 2)", "arcWidth": "12 + 8 * sin(a / 2)",
+        "sweepOpacity": "CASE WHEN i BETWEEN 3 AND 8 THEN 0.7 - abs(i / 12 - 0.45) * 1.5 ELSE 0 END", "flash": "CASE WHEN i IN (5, 6, 7) THEN 1 ELSE 0 END",
+    },
+    "flyer": {
+        "bob": "14 * cos(a)", "shadow": "58 - 14 * cos(a) * 0.7", "shadowOpacity": "0.22 - 14 * cos(a) * 0.005", "wing1": "120 + 75 * sin(a)", "wing2": "120 - 55 * sin(a)", "wing3": "120 - 25 * sin(a)", "wing4": "120 - 5 * sin(a)", "wing5": "120 + 10 * sin(a)",
+    },
+    "astral": {"pulse": "1 + 0.12 * sin(a * 2)", "spin": "i * 30"},
+}
+LOOPS = {
+    "slime": (12, {
+        "scaleY": "1 + 0.2 * sin(a)", "scaleX": "1 / sqrt(1 + 0.2 * sin(a))", "wobble": "4 * cos(a * 2)", "lookX": "8 * sin(a)", "bob": "15 * (0.2 * sin(a))", "mouth": "166 + 3 * sin(a * 2)", "shadowX": "75 / sqrt(1 + 0.2 * sin(a))", "shadowY": "12 * (1 - 0.2 * sin(a))",
+    }),
+    "coin": (12, {"shadow": "90 * (0.8 + 0.1 * sin(a))", "face": "cos(a)", "rim": "100 * abs(cos(a))", "core": "74 * abs(cos(a))", "sheen": "84 * abs(cos(a))", "glint": "15 * sin(a) - 30", "reflection": "128 + 60 * cos(a)"}),
+    "bat": (16, {
+        "bob": "12 * cos(a)", "shadow": "60 - 12 * cos(a) * 0.8", "shadowOpacity": "0.25 - 12 * cos(a) * 0.008", "wing1": "125 + 90 * sin(a)", "wing2": "125 - 60 * sin(a)", "wing3": "125 - 30 * sin(a)", "wing4": "125 - 10 * sin(a)", "wing5": "125 + 15 * sin(a)",
+    }),
+    "fire": (12, {
+        "pulse": "32 + 4 * sin(a * 3)", "p1X": "120 + 40 * cos(a)", "p1Y": "128 + 25 * sin(a * 2)", "p1Size": "14 + 6 * sin(a)", "p2X": "136 + 45 * cos(a + pi())", "p2Y": "120 + 35 * sin(a + pi())", "p2Size": "12 + 5 * cos(a)",
+        "ring1": "i * 10 - 15", "ring2": "30 - i * 15", "tail": "i * 30", "spark1X": "110 + 10 * sin(a + 1)", "spark1Y": "100 - (i * 4) % 60", "spark1Size": "2 + i % 3", "spark1Opacity": "0.6 + 0.4 * sin(a)",
+        "spark2X": "140 + 8 * cos(a + 3)", "spark2Y": "110 - ((i + 6) * 4) % 65", "spark2Size": "1 + i % 4", "spark2Opacity": "0.5 + 0.5 * cos(a)",
+    }),
+}
+PROMPTS = ("A jelly blob", "Spinning coin", "a flame", "Sword", "a bat", "stars")
+FAMILY_SQL = """CASE WHEN regexp_matches(p, 'slime|jelly|blob|squish|bounce') THEN 'slime' WHEN regexp_matches(p, 'coin|spin|rotate|orb|globe') THEN 'coin' WHEN regexp_matches(p, 'fire|flame|burn|plasma|spark|explosion|hot') THEN 'fire'
+  WHEN regexp_matches(p, 'sword|slash|blade|strike|cut|impact') THEN 'slash' WHEN regexp_matches(p, 'bird|bat|wing|fly|flight|ghost|hover') THEN 'flyer' ELSE 'astral' END"""
 
 
-@query("SELECT family, CAST(i AS INTEGER) AS frame, name, value FROM (" + " UNION ALL ".join(family_sql(frames.FAMILIES, f, "12") for f in PROMPTS) + ")")
+@query(f"""
+WITH p AS (SELECT p_partkey, lower(list_extract({list(PROMPTS)}, CAST(p_partkey % 6 + 1 AS INTEGER)) || ' ' || p_name) AS p FROM part), f AS (SELECT p_partkey, {FAMILY_SQL} AS family FROM p),
+n AS (SELECT family, i, CASE family {' '.join(f"WHEN '{k}' THEN {numbers_sql(v)}" for k, v in GENERATED.items())} END AS x FROM (SELECT family, i, i * 2 * pi() / 12 AS a FROM (SELECT DISTINCT family FROM f), range(0, 12) r(i)))
+SELECT p_partkey, family, CAST(i AS INTEGER) AS frame, x.name AS name, round(x.value, 6) + 0.0 AS value FROM f JOIN (SELECT family, i, unnest(x) AS x FROM n) USING (family)
+""")
 def generated_frames(t):
-    """Every number of every family's frames, from prompts."""
-    spark = t("region").sparkSession
-    rows = frames.procedural(spark.createDataFrame([(p,) for p in PROMPTS.values()], "prompt string"), "prompt", F.lit(12))
-    return rows.select("family", "frame", F.explode("parameters").alias("name", "value")).withColumn("value", F.round("value", 6))
+    """Every number of the frames that a prompt asks for, of which each part has one."""
+    prompt = F.concat_ws(" ", F.element_at(F.array(*map(F.lit, PROMPTS)), (F.col("p_partkey") % 6 + 1).cast("int")), "p_name")
+    rows = frames.procedural(t("part").select("p_partkey", prompt.alias("prompt")), "prompt", F.lit(12))
+    return rows.select("p_partkey", "family", "frame", F.explode("parameters").alias("name", "value")).withColumn("value", F.round("value", 6))
 
 
-@query("SELECT family, CAST(i AS INTEGER) AS frame, name, value FROM (" + " UNION ALL ".join(family_sql(frames.PRESETS, f, str(n)) for f, n in frames.PRESET_FRAMES.items()) + ")")
+@query(f"""
+WITH f AS (SELECT p_partkey, list_extract({list(LOOPS)}, CAST(p_partkey % 5 + 1 AS INTEGER)) AS family FROM part),
+n AS ({' UNION ALL '.join(f"SELECT '{k}' AS family, i, unnest({numbers_sql(v)}) AS x FROM (SELECT i, i * 2 * pi() / {n} AS a FROM range(0, {n}) r(i))" for k, (n, v) in LOOPS.items())})
+SELECT p_partkey, family, CAST(i AS INTEGER) AS frame, x.name AS name, round(x.value, 6) + 0.0 AS value FROM f JOIN n USING (family)
+""")
 def preset_loops(t):
-    """Every number of the built-in loops."""
-    rows = frames.preset_frames(t("region").sparkSession)
-    return rows.select("family", "frame", F.explode("parameters").alias("name", "value")).withColumn("value", F.round("value", 6))
+    """Every number of the built-in loop that a part names; a fifth of the parts names none."""
+    family = F.get(F.array(*map(F.lit, LOOPS)), (F.col("p_partkey") % 5).cast("int"))
+    rows = frames.loops(t("part").select("p_partkey", family.alias("family")), "family")
+    return rows.select("p_partkey", "family", "frame", F.explode("parameters").alias("name", "value")).withColumn("value", F.round("value", 6))
 
 
 MOVES_SQL = """
