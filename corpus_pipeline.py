@@ -29,6 +29,11 @@ def same_row(*parts: str) -> Column:
     return F.xxhash64(F.struct(*parts))
 
 
+def by_the_rest(docs: DataFrame) -> Column:
+    """A number that orders rows of one id and text by their other columns, so that which is first is the same in every run."""
+    return F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")))).alias("rest")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a known language, their own if they name one.
 
@@ -57,16 +62,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near copies, five-word shingles and a similarity of 0.8: that with the smallest id.
 
     Texts without words are one group, as are texts of the same few words; null ids come last; of rows with the
-    same id and text one stays, of an id with several texts in a group the one with the least hash.
+    same id and text the one whose other columns hash least stays, of an id with several texts in a group the text with the least hash.
     """
     groups = wide_simhash.near_duplicates(docs)
     chosen = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("x"))
     chosen = chosen.select(same_row("x.doc_id", "x.text_hash").alias("chosen"))
-    rows = docs.select(whole_rows(docs), "doc_id", F.xxhash64("text").alias("text_hash"))
-    rows = rows.select("whole_row", same_row("doc_id", "text_hash").alias("same"))
+    rows = docs.select(whole_rows(docs), "doc_id", F.xxhash64("text").alias("text_hash"), by_the_rest(docs))
+    rows = rows.select("whole_row", "rest", same_row("doc_id", "text_hash").alias("same"))
     kept = rows.join(chosen, rows["same"] == chosen["chosen"], "left_semi")
-    again = Window.partitionBy("same").orderBy(F.lit(0))
-    return kept.withColumn("turn", F.row_number().over(again)).filter("turn = 1").select("whole_row.*")
+    return kept.groupBy("same").agg(F.min_by("whole_row", "rest").alias("x")).select("x.*")  # repeated rows are one before the shuffle
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,17 +82,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them.
 
     A null source is one like any other and comes last; texts without words have size 0 and are taken in whole epochs; rows
-    that agree in id, text and source share their copies: each takes the least, and the first of them what is over.
+    that agree in id, text and source share their copies: each takes the least, and the first of them by their other columns what is over.
     """
     narrow = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("words"), F.xxhash64("text").alias("text_hash"))
     mixed = mixing.mix(with_quality(narrow, spark.read.parquet(f"{sf_dir}/labels.parquet")), quality_weight(), F.col("words"), keep=("text_hash", "source"))
     least, times = F.min("copies"), F.count("*")
     taken = mixed.groupBy(same_row("doc_id", "text_hash", "source").alias("taken")).agg(least.alias("least"), (F.sum("copies") - least * times).alias("over"))
     taken = written(taken.filter("least + over > 0"), "mixed")
-    rows = docs.select(whole_rows(docs), "doc_id", F.xxhash64("text").alias("text_hash"), "source")
-    rows = rows.select("whole_row", same_row("doc_id", "text_hash", "source").alias("same"))
+    rows = docs.select(whole_rows(docs), "doc_id", F.xxhash64("text").alias("text_hash"), "source", by_the_rest(docs))
+    rows = rows.select("whole_row", "rest", same_row("doc_id", "text_hash", "source").alias("same"))
     found = rows.join(taken, rows["same"] == taken["taken"])
-    turn = F.row_number().over(Window.partitionBy("same").orderBy(F.lit(0)))
+    turn = F.row_number().over(Window.partitionBy("same").orderBy("rest"))
     found = found.withColumn("copies", F.col("least") + F.when(turn <= F.col("over"), 1).otherwise(0)).filter("copies > 0")
     return found.select("whole_row", F.explode(F.expr("sequence(1, copies)")).alias("copy")).select("whole_row.*")
 
