@@ -111,3 +111,16 @@ def test_oracles_on_the_smallest_tables(spark):
         norm = lambda rows: sorted(repr(tuple(round(x, 6) if isinstance(x, float) else x for x in r)) for r in rows)
         got = queries.QUERIES[name](spark, sf).select(*order).collect()
         assert norm(map(tuple, got)) == norm(c.sql(f"SELECT {', '.join(order)} FROM ({sql})").fetchall()), name
+
+
+def test_survivors_of_equal_rows_do_not_depend_on_their_order(spark, tmp_path):
+    from .conftest import prose
+
+    rows = [(1, prose(40, 5), lang, source, None, None, None, None, None, None) for lang in ("en", "de", None) for source in ("a", "b", None)] * 3 + [(2, prose(40, 9), "en", "c", None, None, None, None, None, None)] * 4
+    d = tables(spark, tmp_path, rows)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    backwards = spark.createDataFrame(rows[::-1], SCHEMA).repartition(7)
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.mix_sources):
+        a, b = (sorted(map(repr, (tuple(r) for r in stage(spark, x, d).collect()))) for x in (docs, backwards))
+        assert a == b and a, stage
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, d).count() == 2
