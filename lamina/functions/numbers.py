@@ -75,6 +75,16 @@ def number_text(x: Column) -> Column:
     return F.when((x == F.floor(x)) & (F.abs(x) < 1e15), x.cast("long").cast("string")).otherwise(x.cast("string"))
 
 
+def decimal_text(x: Column, digits: int = 6) -> Column:
+    """A double as text with at most ``digits`` decimals and no zeros at the end; never an exponent."""
+    return F.regexp_replace(F.round(x, digits).cast(f"decimal(30,{digits})").cast("string"), r"\.?0+$", "")
+
+
+def fixed_text(x: Column, digits: int) -> Column:
+    """A double with exactly ``digits`` decimals; what rounds to zero from below keeps its sign. Binary ties as in ``fixed``."""
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.round(F.abs(x), digits).cast(f"decimal(30,{digits})").cast("string"))
+
+
 def state_value(text: Column) -> Column:
     """struct(kind, value): what a state text means, with numbers in one notation."""
     t = F.trim(F.coalesce(text, F.lit("")))

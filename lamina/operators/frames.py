@@ -153,11 +153,12 @@ def sliced(rows: DataFrame, sheet: str, count: Column, columns: Column, side: in
 def bundled(frames: DataFrame, key: str, index: str, markup: str, columns: int, side: int = 256) -> DataFrame:
     """Frames of each ``key`` in order on one sheet."""
     cell = grid_cell(F.col(index), columns)
-    moved = F.concat(F.lit('<g transform="translate('), (cell["column"] * side).cast("string"), F.lit(","), (cell["row"] * side).cast("string"), F.lit(')">'), markup_body(F.col(markup)), F.lit("</g>"))
+    moved = F.concat(F.lit('<g transform="translate('), (cell["column"] * side).cast("string"), F.lit(" "), (cell["row"] * side).cast("string"), F.lit(')">'), markup_body(F.col(markup)), F.lit("</g>"))
     parts = frames.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), moved.alias("g")))).alias("parts"))
     size = lambda n: (n * side).cast("string")
     rows = F.ceil(F.size("parts") / columns)
-    return parts.select(key, F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" width="'), size(F.lit(columns)), F.lit('" height="'), size(rows), F.lit('">'), F.array_join(F.transform("parts", lambda p: p["g"]), ""), F.lit("</svg>")).alias("sheet"))
+    width, height = size(F.lit(columns)), size(rows)
+    return parts.select(key, F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 '), F.concat_ws(" ", width, height), F.lit('" width="'), width, F.lit('" height="'), height, F.lit('">'), F.array_join(F.transform("parts", lambda p: p["g"]), ""), F.lit("</svg>")).alias("sheet"))
 
 
 def exported(frames: Column, count: Column, fps: Column) -> Column:

@@ -687,7 +687,7 @@ def reference_frames(t):
 
 
 @query("""
-SELECT n_nationkey, CAST(i AS INTEGER) AS frame, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="' || (i % 2 * 256) || ' ' || (i // 2 * 256) || ' 256 256" width="256" height="256">' || '<g transform="translate(0,0)"><a' || n_nationkey || '/></g><g transform="translate(256,0)"><b/></g><g transform="translate(0,256)"><c/></g>' || '</svg>' AS markup,
+SELECT n_nationkey, CAST(i AS INTEGER) AS frame, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="' || (i % 2 * 256) || ' ' || (i // 2 * 256) || ' 256 256" width="256" height="256">' || '<g transform="translate(0 0)"><a' || n_nationkey || '/></g><g transform="translate(256 0)"><b/></g><g transform="translate(0 256)"><c/></g>' || '</svg>' AS markup,
   '<svg xmlns="http://www.w3.org/2000/svg" width="64" height="48" viewBox="' || (i % 2 * 64) || ' ' || (i // 2 * 48) || ' 64 48" overflow="hidden"><image href="a&amp;b" x="0" y="0" width="128" height="96" preserveAspectRatio="none"/></svg>' AS view FROM nation, range(0, 3) t(i)
 """)
 def sheet_markup(t):
