@@ -62,17 +62,21 @@ def kind(value: Column) -> Column:
 
 def text(value: Column) -> Column:
     """The value as the editor shows it."""
-    return F.when(kind(value) == "number", number_text(F.try_variant_get(value, "$", "double"))).otherwise(F.try_variant_get(value, "$", "string"))
+    return bound(kind(value), lambda k: shown(value, k))
+
+
+def shown(value: Column, of_kind: Column) -> Column:
+    return F.when(of_kind == "number", number_text(F.try_variant_get(value, "$", "double"))).otherwise(F.try_variant_get(value, "$", "string"))
 
 
 def matches(value: Column, expected: Column) -> Column:
     """Blank ``expected`` asks whether the value is there and not false, 0 or empty; else kind and value must be those that the text means."""
     t = F.trim(F.coalesce(expected, F.lit("")))
-    read = F.struct(kind(value).alias("kind"), text(value).alias("text"), F.try_variant_get(value, "$", "boolean").alias("yes"), F.try_variant_get(value, "$", "double").alias("n"))
 
-    def of(v: Column) -> Column:
-        holds = F.when(v["kind"] == "boolean", v["yes"]).when(v["kind"] == "number", v["n"] != 0).otherwise(v["text"] != "")
-        meant = bound(typed(t), lambda w: v["kind"].eqNullSafe(kind(w)) & v["text"].eqNullSafe(text(w)))
-        return F.when(t == "", F.coalesce(holds, F.lit(False))).otherwise(meant)
+    def of(k: Column) -> Column:
+        # A value is read as its own kind alone: reading a text as a number is slow to fail.
+        holds = F.when(k == "boolean", F.try_variant_get(value, "$", "boolean")).when(k == "number", F.try_variant_get(value, "$", "double") != 0).otherwise(F.try_variant_get(value, "$", "string") != "")
+        same = lambda w: k.eqNullSafe(kind(w)) & shown(value, k).eqNullSafe(text(w))
+        return F.when(t == "", F.coalesce(holds, F.lit(False))).otherwise(bound(typed(t), same))
 
-    return bound(read, of)
+    return bound(kind(value), of)
