@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of a batch that goes to a Python worker: rows may hold long lists or texts.
 BATCH_BYTES = 16 << 20
+#: Where new tables go, under the shared folder.
+FOLDER: ContextVar[str] = ContextVar("FOLDER", default="lamina")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,7 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/lamina/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{FOLDER.get()}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are made inside are deleted at its end, also by an error: what is to stay must have been written elsewhere by then.
+
+    It may be nested. An operator's result reads its own tables, so nothing that was made inside may be run after it.
+    """
+    folder = f"{FOLDER.get()}/scratch-{uuid.uuid4().hex}"
+    token = FOLDER.set(folder)
+    try:
+        yield
+    finally:
+        FOLDER.reset(token)
+        deleted(spark, f"{shared_dir(spark)}/{folder}")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -48,10 +68,14 @@ def written_once(df: DataFrame, name: str) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table that ``written`` made and no later result reads."""
-    spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        deleted(df.sparkSession, file.rsplit("/", 1)[0])
+
+
+def deleted(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder, on whichever store it is; one that isn't there is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
