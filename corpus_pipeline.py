@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lamina.llm import decontamination, language_id, mixing, sharding, wide_simhash
 from lamina.llm.ctw import training_remainder
 from lamina.llm.queries import quality_weight, with_quality
-from lamina.llm.storage import fresh_path, written
+from lamina.llm.storage import deleted, fresh_path, scratch, written
 
 #: A text is rejected if no language has this share of its n-grams, and if one has that much more of them than its label's;
 #: texts of fewer characters have too few n-grams to tell.
@@ -121,9 +121,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's table. Tables of a stage go when its result is written, results when the next one is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = fresh_path(spark, "pipeline-" + name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            deleted(spark, before)
+        before = path
     return docs
