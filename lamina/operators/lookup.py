@@ -82,8 +82,11 @@ def nearest_in_reach(points: DataFrame, boxes: DataFrame, point_key: str, distan
 
 
 def missing_rows(templates: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` and those ``templates`` whose key isn't among them."""
-    return rows.unionByName(templates.join(rows.select(key), key, "left_anti").select(*rows.columns))
+    """``rows`` and those ``templates`` whose key isn't among them.
+
+    Both sides are shuffled: the optimizer takes rows that were exploded for as few as before, and would broadcast them.
+    """
+    return rows.unionByName(templates.join(rows.select(key).hint("merge"), key, "left_anti").select(*rows.columns))
 
 
 def binding_match(layers: DataFrame, keys: DataFrame, assets: DataFrame) -> DataFrame:
