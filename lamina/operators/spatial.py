@@ -1,36 +1,81 @@
-"""Nearest boxes by a grid of tiles: a point looks at the tiles around it, in squares twice as wide each time, until the nearest is proven.
+"""Nearest boxes by a tree of tiles, from the coarsest level down: a point keeps those tiles only that may hold a box nearer than one it is sure of.
 
-Tiles of level k are ``tile`` * 2**k wide. A box lies, at its own level (the first whose tiles are no smaller than it) and at each above, in at most four
-tiles. In round k a point reads the nine tiles of level k around it, and at the levels above those within one tile of level k: every box that is as near as
-a tile of level k is wide is among them, so a nearest one no farther than that is proven and the point is done. Rounds end when all points are
-done or a group has no box, and there are as many as doublings from a tile to the extent of all boxes.
+Tiles of level k are ``STEP`` ** k times as wide as those of level 0. A box lies in one tile: that of its left upper corner at the first level whose tiles are no
+smaller than the box. A tile stands for all boxes in it and below by the rectangle around them, which gives a least and a greatest distance from a point. In a round each
+point reads the boxes and the tiles below of the tiles that it has kept, and drops what is farther than the least of all greatest distances, so it goes on with the few
+tiles along the nearest front, however far away or dense the boxes are. There are as many rounds as levels.
 
-Groups (scenes) meet only themselves, and points of a dense group are done in early rounds with few boxes each, so pairs aren't all made. A point
-that is far from a dense cloud of boxes reads that cloud once.
+Level 0 is ``tile`` wide, and narrower in a group of which some tile of that width has many boxes, so a point reads about as many boxes of a large table as of a small
+one. Of equal rectangles in a group only the first by ``box`` counts. Groups (scenes) meet only themselves. Levels of few tiles are broadcast, the others joined by tile.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
-LEVELS = 40
+#: Tiles of a level in one of the next along an axis (as bits), levels at most, boxes of a tile of level 0 (about), and tiles of a level that are broadcast.
+BITS, LEVELS, BOXES, BROADCAST_TILES = 2, 24, 8, 50_000
+STEP = 1 << BITS
+SIDES = ("left", "top", "right", "bottom")
+
+
+def whole(*columns: str) -> Column:
+    return F.expr(" AND ".join(f"{x} IS NOT NULL AND NOT isnan({x})" for x in columns))
 
 
-def level_of(size: Column, tile: float) -> Column:
-    """The first level whose tiles are no smaller than ``size``."""
-    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), F.lit(0), lambda acc, k: F.when(F.lit(tile) * F.pow(F.lit(2.0), acc) < size, acc + 1).otherwise(acc))
+def rectangle(*more: Column) -> list[Column]:
+    """Aggregates: the rectangle around rectangles."""
+    return [F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"), *more]
 
 
-def tiles_between(low: Column, high: Column, width: Column) -> Column:
-    return F.sequence(F.floor(low / width).cast("long"), F.floor(high / width).cast("long"))
+def least_distance() -> Column:
+    return F.hypot(F.greatest(F.col("left") - F.col("px"), F.col("px") - F.col("right"), F.lit(0.0)), F.greatest(F.col("top") - F.col("py"), F.col("py") - F.col("bottom"), F.lit(0.0)))
 
 
-def covered(left: Column, top: Column, right: Column, bottom: Column, width: Column) -> Column:
-    """(tx, ty) of all tiles of ``width`` that a rectangle touches."""
-    return F.flatten(F.transform(tiles_between(left, right, width), lambda tx: F.transform(tiles_between(top, bottom, width), lambda ty: F.struct(tx.alias("tx"), ty.alias("ty")))))
+def greatest_distance() -> Column:
+    return F.hypot(F.greatest(F.col("px") - F.col("left"), F.col("right") - F.col("px")), F.greatest(F.col("py") - F.col("top"), F.col("bottom") - F.col("py")))
+
+
+def placed(boxes: DataFrame, tile: float) -> tuple[DataFrame, int]:
+    """``boxes`` with level, tx and ty of their tiles, and the highest level; of equal rectangles the first."""
+    at = lambda c, width: F.floor(F.col(c) / width).cast("long")
+    crowds = boxes.groupBy("grp", at("left", F.lit(tile)).alias("tx"), at("top", F.lit(tile)).alias("ty")).agg(*rectangle(F.count("*").alias("n")))
+    halvings = F.greatest(F.lit(0.0), F.ceil(F.log(4.0, F.max("n") / BOXES))).cast("int")
+    groups = cut(crowds.groupBy("grp").agg(*rectangle(halvings.alias("halvings"))))
+    of_all = groups.agg(*rectangle(F.max("halvings").alias("halvings"))).first()
+    if of_all["halvings"] is None:
+        return boxes, -1
+    widest, finest = max(of_all["right"] - of_all["left"], of_all["bottom"] - of_all["top"]), tile / 2.0 ** of_all["halvings"]
+    top = 0
+    while top < LEVELS and finest * float(STEP) ** top < widest:
+        top += 1
+    width = F.lit(tile) / F.pow(F.lit(2.0), F.col("halvings"))
+    size = F.greatest(F.col("right") - F.col("left"), F.col("bottom") - F.col("top"))
+    level = F.least(F.lit(top), F.greatest(F.lit(0), F.coalesce(F.ceil(F.log(float(STEP), size / width)), F.lit(0)))).cast("int")
+    rows = boxes.join(groups.select("grp", "halvings"), "grp").select("grp", "box", *SIDES, at("left", width).alias("tx"), at("top", width).alias("ty"), level.alias("level"))
+    up = lambda c: F.expr(f"shiftright({c}, level * {BITS})")
+    rows = rows.withColumns({"tx": up("tx"), "ty": up("ty")})
+    return rows.groupBy("grp", "level", "tx", "ty", *SIDES).agg(F.min("box").alias("box")), top
+
+
+def tree(items: DataFrame, top: int) -> tuple[list[DataFrame], set[int]]:
+    """Tiles of each level (grp, tx, ty, rectangle, first box), and the levels that have boxes of their own."""
+    own = cut(items.groupBy("grp", "level", "tx", "ty").agg(*rectangle(F.min("box").alias("box"))))
+    known = {r[0] for r in own.select("level").distinct().collect()}  # a row for each level
+    levels: list[DataFrame] = []
+    for k in range(top + 1):
+        parts = [own.filter(F.col("level") == k).drop("level")] if k in known else []
+        if levels:
+            parts.append(levels[-1].withColumns({c: F.shiftright(c, BITS) for c in ("tx", "ty")}))
+        rows = reduce(DataFrame.unionByName, parts) if parts else own.drop("level").limit(0)
+        levels.append(cut(rows.groupBy("grp", "tx", "ty").agg(*rectangle(F.min("box").alias("box")))))
+    return levels, known
 
 
 def nearest_boxes(points: DataFrame, boxes: DataFrame, tile: float) -> DataFrame:
@@ -38,36 +83,40 @@ def nearest_boxes(points: DataFrame, boxes: DataFrame, tile: float) -> DataFrame
 
     ``points``: point, grp, px, py; ``boxes``: box, grp, left, top, right, bottom. Rows with a null or NaN coordinate are left out, a null group is none.
     """
-    whole = lambda *c: F.expr(" AND ".join(f"{x} IS NOT NULL AND NOT isnan({x})" for x in c))
-    boxes = boxes.filter(whole("left", "top", "right", "bottom")).withColumn("own", level_of(F.greatest(F.col("right") - F.col("left"), F.col("bottom") - F.col("top")), tile))
-    extent = boxes.agg(F.min("left"), F.min("top"), F.max("right"), F.max("bottom")).first()
-    points = points.filter(whole("px", "py"))
-    if extent[0] is None:
+    points = points.filter(whole("px", "py")).filter("grp IS NOT NULL").select("point", "grp", "px", "py")
+    items, top = placed(boxes.filter(whole(*SIDES)).filter("grp IS NOT NULL").select("grp", "box", *(F.col(c).cast("double").alias(c) for c in SIDES)), tile)
+    if top < 0:
         return points.select("point", F.lit(None).cast(boxes.schema["box"].dataType).alias("box"), F.lit(None).cast("double").alias("distance")).limit(0)
-    reach = points.agg(F.min("px"), F.min("py"), F.max("px"), F.max("py")).first()
-    far = max(extent[2] - extent[0], extent[3] - extent[1], *(abs(a - b) for a in reach if a is not None for b in extent), tile)
-    top = 0
-    while tile * 2**top < 2 * far:
-        top += 1
-    width = lambda level: F.lit(tile) * F.pow(F.lit(2.0), level)
-    levels = boxes.withColumn("level", F.explode(F.sequence(F.least("own", F.lit(top)), F.lit(top))))
-    indexed = cut(levels.withColumn("t", F.explode(covered(F.col("left"), F.col("top"), F.col("right"), F.col("bottom"), width(F.col("level"))))).select("grp", "level", "t.tx", "t.ty", "box", "left", "top", "right", "bottom", "own"))
-    known = boxes.select("grp").distinct()
-    left = points.select("point", "grp", "px", "py").join(known, "grp", "left_semi")
-    done: DataFrame | None = None
-    for k in range(top + 1):
-        r = tile * 2**k
-        around = lambda level: covered(F.col("px") - r, F.col("py") - r, F.col("px") + r, F.col("py") + r, width(level))
-        looks = left.withColumn("level", F.explode(F.sequence(F.lit(k), F.lit(top)))).withColumn("t", F.explode(around(F.col("level")))).select("point", "grp", "px", "py", "level", "t.tx", "t.ty")
-        # At the round's own level all smaller boxes are met, above it those of that level.
-        met = indexed.filter((F.col("level") == k) | ((F.col("level") > k) & (F.least("own", F.lit(top)) == F.col("level"))))
-        dx, dy = F.greatest(F.col("left") - F.col("px"), F.col("px") - F.col("right"), F.lit(0.0)), F.greatest(F.col("top") - F.col("py"), F.col("py") - F.col("bottom"), F.lit(0.0))
-        pairs = looks.join(met, ["grp", "level", "tx", "ty"]).withColumn("distance", F.hypot(dx, dy))
-        best = pairs.groupBy("point").agg(F.min(F.struct("distance", "box")).alias("b"))
-        found = cut(left.join(best, "point", "left"))
-        proven = found.filter(F.lit(True) if k == top else F.col("b.distance") <= r).select("point", "b.box", "b.distance")
-        done = proven if done is None else done.unionByName(proven)
-        left = found.filter(F.col("b").isNull() | (F.col("b.distance") > r)).drop("b")
-        if k == top or left.isEmpty():
-            break
-    return done
+    levels, own = tree(items, top)
+    few = [df.count() <= BROADCAST_TILES for df in levels]
+    columns = ("point", "grp", "px", "py", "tx", "ty", "box", "least", "most", "exact")
+    each = Window.partitionBy("point")
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        """A row for each tile that a point reads."""
+        return pairs.withColumns({"least": least_distance(), "most": greatest_distance(), "exact": F.lit(False)}).select(*columns)
+
+    def kept(rows: DataFrame) -> DataFrame:
+        """The tiles that may hold a nearer box, and the nearest box so far."""
+        rows = rows.withColumns({"bound": F.min("most").over(each), "best": F.min(F.when(F.col("exact"), F.struct("least", "box"))).over(each)})
+        nearer = (F.col("least") <= F.col("bound")) & (F.col("best").isNull() | (F.struct("least", "box") <= F.col("best")))
+        return rows.filter(nearer).select(*columns, "bound")
+
+    def hinted(k: int) -> DataFrame:
+        return F.broadcast(levels[k]) if few[k] else levels[k]
+
+    state = cut(kept(measured(points.join(hinted(top), "grp"))))
+    for k in range(top, -1, -1):
+        tiles = state.filter(~F.col("exact")).select("point", "grp", "px", "py", "tx", "ty", "bound")
+        parts = [state.filter("exact").select(*columns)]
+        if k in own:
+            pairs = tiles.join(items.filter(F.col("level") == k), ["grp", "tx", "ty"]).withColumn("least", least_distance()).filter("least <= bound")
+            best = pairs.groupBy("point").agg(F.min(F.struct("least", "box")).alias("b"), F.any_value("grp").alias("grp"))
+            none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+            parts.append(best.select("point", "grp", none("double", "px"), none("double", "py"), none("long", "tx"), none("long", "ty"), "b.box", "b.least", F.col("b.least").alias("most"), F.lit(True).alias("exact")))
+        if k:
+            below = hinted(k - 1).withColumns({"cx": F.col("tx"), "cy": F.col("ty"), "tx": F.shiftright("tx", BITS), "ty": F.shiftright("ty", BITS)})
+            met = tiles.join(F.broadcast(below) if few[k - 1] else below, ["grp", "tx", "ty"]).drop("tx", "ty").withColumnsRenamed({"cx": "tx", "cy": "ty"})
+            parts.append(measured(met.filter(least_distance() <= F.col("bound"))))
+        state = cut(kept(reduce(DataFrame.unionByName, parts)))
+    return state.groupBy("point").agg(F.min(F.struct("least", "box")).alias("b")).select("point", "b.box", F.col("b.least").alias("distance"))

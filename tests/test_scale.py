@@ -13,3 +13,23 @@ def test_missing_rows_broadcasts_no_exploded_rows(spark):
     rows = spark.range(50).select(F.explode(F.sequence(F.lit(0), F.lit(9))).alias("n"), "id").select((F.col("id") * 10 + F.col("n")).alias("k"))
     got = lookup.missing_rows(spark.range(600).withColumnRenamed("id", "k"), rows, "k")
     assert "BroadcastHashJoin" not in plan_of(got) and got.count() == got.distinct().count() == 600
+
+
+def test_far_points_read_few_boxes_of_a_cloud(spark, monkeypatch):
+    from lamina.operators import spatial
+
+    rows, plain = [], spatial.cut
+
+    def counted(df):
+        out = plain(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial, "cut", counted)
+    h = lambda k, n: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n)).cast("double")
+    boxes = spark.range(2000).select(F.col("id").alias("box"), F.lit("a").alias("grp"), h(1, 100).alias("left"), h(2, 100).alias("top")).withColumns({"right": F.col("left") + 1, "bottom": F.col("top") + 1})
+    points = spark.range(200).select(F.col("id").alias("point"), F.lit("a").alias("grp"), (h(3, 100) + 5000).alias("px"), h(4, 100).alias("py"))
+    got = {(r.point, r.box) for r in spatial.nearest_boxes(points, boxes, 1.0).collect()}
+    distance = F.hypot(F.greatest(F.col("left") - F.col("px"), F.col("px") - F.col("right"), F.lit(0.0)), F.greatest(F.col("top") - F.col("py"), F.col("py") - F.col("bottom"), F.lit(0.0)))
+    want = points.join(boxes, "grp").groupBy("point").agg(F.min(F.struct(distance.alias("d"), "box")).alias("b")).select("point", "b.box")
+    assert got == {tuple(r) for r in want.collect()} and sum(rows) < 22_000
