@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,20 +94,48 @@ def parameters(tables: dict, family: Column, frame: Column, count: Column) -> Co
     return out
 
 
-def procedural(prompts: DataFrame, prompt: str, count: Column) -> DataFrame:
-    """A row for each frame of each prompt: family, phase and the numbers of its picture."""
-    rows = per_frame(prompts.withColumn("family", animation_family(F.col(prompt))), count)
-    phase = F.col("frame") * 2 * math.pi / count
-    return rows.withColumn("phase", phase).withColumn("parameters", parameters(FAMILIES, F.col("family"), F.col("frame"), count))
+#: Pairs of family and count whose numbers are computed once and broadcast; with more of them they are computed for each row.
+KINDS = 1_000
 
 
-def loops(rows: DataFrame, family: str, counts: dict[str, int] = PRESET_FRAMES) -> DataFrame:
-    """``rows`` with the frames of the built-in loop that ``family`` names: frame, n and the numbers of its picture. Rows that name none have no frames."""
-    n = F.lit(None).cast("int")
-    for name, count in counts.items():
-        n = F.when(F.col(family) == name, count).otherwise(n)
-    each = per_frame(rows.withColumn("n", n).filter("n IS NOT NULL"), F.col("n"))
-    return each.withColumn("parameters", parameters(PRESETS, F.col(family), F.col("frame"), F.col("n")))
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of which each becomes many: a table of a few bytes is read by a few tasks, so they are dealt to four for each core."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def same(df: DataFrame) -> DataFrame:
+    return df
+
+
+def procedural(prompts: DataFrame, prompt: str, count: Column, finish: Callable[[DataFrame], DataFrame] = same) -> DataFrame:
+    """A row for each frame of each prompt: family, phase and the numbers of its picture.
+
+    They follow from family and count, so they are computed once for each pair and joined. ``finish`` adds what follows from
+    them alone (markup, say), and may give more or fewer rows; of the columns it sees only family, frame, phase and parameters are meant.
+    """
+
+    def numbers(df: DataFrame) -> DataFrame:
+        at = per_frame(df, F.col("_count")).withColumn("phase", F.col("frame") * 2 * math.pi / F.col("_count"))
+        return finish(at.withColumn("parameters", parameters(FAMILIES, F.col("family"), F.col("frame"), F.col("_count"))))
+
+    rows = prompts.withColumn("family", animation_family(F.col(prompt))).withColumn("_count", count)
+    kinds = rows.select("family", "_count").distinct()
+    if kinds.limit(KINDS + 1).count() > KINDS:
+        return numbers(rows).drop("_count")
+    known = numbers(kinds)
+    return spread(rows).join(F.broadcast(known), ["family", "_count"]).select(*prompts.drop("family").columns, *known.drop("_count").columns)
+
+
+def loops(rows: DataFrame, family: str, counts: dict[str, int] = PRESET_FRAMES, finish: Callable[[DataFrame], DataFrame] = same) -> DataFrame:
+    """``rows`` with the frames of the built-in loop that ``family`` names: frame, n and the numbers of its picture. Rows that name none have no frames.
+
+    The numbers of a loop are computed once and joined; ``finish`` as in ``procedural``, with family, n, frame and parameters.
+    """
+    known = per_frame(rows.sparkSession.createDataFrame(list(counts.items()), "family string, n int"), F.col("n"))
+    numbers = finish(known.withColumn("parameters", parameters(PRESETS, F.col("family"), F.col("frame"), F.col("n"))))
+    more = [c for c in numbers.columns if c != "family"]
+    kept = rows.drop(*(c for c in more if c in rows.columns))
+    return spread(kept).join(F.broadcast(numbers.withColumnRenamed("family", "_family")), F.col(family) == F.col("_family")).select(*kept.columns, *more)
 
 
 def preset_frames(spark, counts: dict[str, int] = PRESET_FRAMES) -> DataFrame:
@@ -119,6 +148,12 @@ WALKING, FIERY, MAGIC = "walk|walking|run|走|行走|跑", "fire|flame|火", "ma
 PARTICLES, FIRE_COLOURS, MAGIC_COLOURS = 8, ("#ffd166", "#ff6a2a"), ("#f6d365", "#64d8ff")
 
 
+def motion_kind(prompt: str) -> Column:
+    """A text for all of a prompt that ``reference_motion`` follows."""
+    said = F.lower(F.coalesce(F.col(prompt), F.lit("")))
+    return F.concat_ws("|", F.coalesce(motion(F.col(prompt)), F.lit("")), *(said.rlike(x).cast("string") for x in (WALKING, FIERY, MAGIC)))
+
+
 def reference_motion(rows: DataFrame, prompt: str, count: Column, columns: Column) -> DataFrame:
     """Frames of a reference image moved within limits, on a grid, with shadow and effects; walking needs a rig and is an error row."""
     said = F.lower(F.coalesce(F.col(prompt), F.lit("")))

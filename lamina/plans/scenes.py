@@ -643,6 +643,10 @@ FAMILY_SQL = """CASE WHEN regexp_matches(p, 'slime|jelly|blob|squish|bounce') TH
   WHEN regexp_matches(p, 'sword|slash|blade|strike|cut|impact') THEN 'slash' WHEN regexp_matches(p, 'bird|bat|wing|fly|flight|ghost|hover') THEN 'flyer' ELSE 'astral' END"""
 
 
+def each_number(df: DataFrame) -> DataFrame:
+    return df.select("*", F.explode("parameters").alias("name", "value")).withColumn("value", F.round("value", 6))
+
+
 @query(f"""
 WITH p AS (SELECT p_partkey, lower(list_extract({list(PROMPTS)}, CAST(p_partkey % 6 + 1 AS INTEGER)) || ' ' || p_name) AS p FROM part), f AS (SELECT p_partkey, {FAMILY_SQL} AS family FROM p),
 n AS (SELECT family, i, CASE family {' '.join(f"WHEN '{k}' THEN {numbers_sql(v)}" for k, v in GENERATED.items())} END AS x FROM (SELECT family, i, i * 2 * pi() / 12 AS a FROM (SELECT DISTINCT family FROM f), range(0, 12) r(i)))
@@ -651,8 +655,8 @@ SELECT p_partkey, family, CAST(i AS INTEGER) AS frame, x.name AS name, round(x.v
 def generated_frames(t):
     """Every number of the frames that a prompt asks for, of which each part has one."""
     prompt = F.concat_ws(" ", F.element_at(F.array(*map(F.lit, PROMPTS)), (F.col("p_partkey") % 6 + 1).cast("int")), "p_name")
-    rows = frames.procedural(t("part").select("p_partkey", prompt.alias("prompt")), "prompt", F.lit(12))
-    return rows.select("p_partkey", "family", "frame", F.explode("parameters").alias("name", "value")).withColumn("value", F.round("value", 6))
+    rows = frames.procedural(t("part").select("p_partkey", prompt.alias("prompt")), "prompt", F.lit(12), each_number)
+    return rows.select("p_partkey", "family", "frame", "name", "value")
 
 
 @query(f"""

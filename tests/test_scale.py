@@ -33,3 +33,33 @@ def test_far_points_read_few_boxes_of_a_cloud(spark, monkeypatch):
     distance = F.hypot(F.greatest(F.col("left") - F.col("px"), F.col("px") - F.col("right"), F.lit(0.0)), F.greatest(F.col("top") - F.col("py"), F.col("py") - F.col("bottom"), F.lit(0.0)))
     want = points.join(boxes, "grp").groupBy("point").agg(F.min(F.struct(distance.alias("d"), "box")).alias("b")).select("point", "b.box")
     assert got == {tuple(r) for r in want.collect()} and sum(rows) < 22_000
+
+
+def test_numbers_and_markup_come_from_a_table_of_kinds(spark):
+    from lamina.operators import frames, pictures
+
+    rows = spark.createDataFrame([(k, ("slime", "a coin", None)[k % 3], (12, 16)[k % 2]) for k in range(12)], "id int, p string, n int")
+    drawn = frames.procedural(rows, "p", F.col("n"), lambda x: pictures.drawn(x, pictures.templates(spark, pictures.GENERATED)))
+    looped = frames.loops(rows.withColumn("f", F.when(F.col("id") < 9, "bat")), "f")
+    for got, n in ((drawn, 6 * 12 + 6 * 16), (looped, 9 * 16)):
+        assert "BroadcastHashJoin" in plan_of(got) and got.count() == got.select("id", "frame").distinct().count() == n
+    assert drawn.columns == ["id", "p", "n", "family", "frame", "phase", "parameters", "markup"]
+
+
+def test_many_counts_are_computed_for_each_row(spark, monkeypatch):
+    from lamina.operators import frames
+
+    rows = spark.createDataFrame([(k, "slime", 10 + k) for k in range(5)], "id int, p string, n int")
+    want = frames.procedural(rows, "p", F.col("n")).orderBy("id", "frame").collect()
+    monkeypatch.setattr(frames, "KINDS", 3)
+    assert frames.procedural(rows, "p", F.col("n")).select(*want[0].asDict()).orderBy("id", "frame").collect() == want
+
+
+def test_whole_sheets_are_those_of_cells_without_a_shuffle_of_them(spark):
+    from lamina.operators import pictures
+
+    said = ("stand", "Walking", None, "attack", "magic spell", "burning flame", "jump")
+    rows = spark.createDataFrame([(k, said[k % 7], ("a<b", None, "c")[k % 3], (None, "Pixel")[k % 2]) for k in range(42)], "k int, p string, i string, s string")
+    cells = pictures.reference_sheets(pictures.reference_cells(rows, "p", "i", "s", F.lit(12), F.lit(4)), "k", 4)
+    whole = pictures.whole_sheets(rows, "p", "i", "s", F.lit(12), 4).select("k", "error", "sheet")
+    assert sorted(whole.collect()) == sorted(cells.collect())
