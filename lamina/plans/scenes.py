@@ -667,8 +667,8 @@ SELECT p_partkey, family, CAST(i AS INTEGER) AS frame, x.name AS name, round(x.v
 def preset_loops(t):
     """Every number of the built-in loop that a part names; a fifth of the parts names none."""
     family = F.get(F.array(*map(F.lit, LOOPS)), (F.col("p_partkey") % 5).cast("int"))
-    rows = frames.loops(t("part").select("p_partkey", family.alias("family")), "family")
-    return rows.select("p_partkey", "family", "frame", F.explode("parameters").alias("name", "value")).withColumn("value", F.round("value", 6))
+    rows = frames.loops(t("part").select("p_partkey", family.alias("family")), "family", finish=each_number)
+    return rows.select("p_partkey", "family", "frame", "name", "value")
 
 
 MOVES_SQL = """
