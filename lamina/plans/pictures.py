@@ -92,7 +92,7 @@ def generated_pictures(t):
     """The picture of each frame that a part's prompt asks for."""
     prompt = F.concat_ws(" ", F.element_at(F.array(*map(F.lit, PROMPTS)), (F.col("p_partkey") % 6 + 1).cast("int")), "p_name")
     parts = t("part").select("p_partkey", prompt.alias("prompt"))
-    rows = pictures.drawn(frames.procedural(parts, "prompt", F.lit(12)), pictures.templates(parts.sparkSession, pictures.GENERATED))
+    rows = frames.procedural(parts, "prompt", F.lit(12), lambda x: pictures.drawn(x, pictures.templates(parts.sparkSession, pictures.GENERATED)))
     return rows.select("p_partkey", "family", "frame", F.md5("markup").alias("digest"), F.length("markup").cast("long").alias("n_chars"))
 
 
