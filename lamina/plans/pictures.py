@@ -105,7 +105,7 @@ def preset_pictures(t):
     """The picture of each frame of the built-in loop that a part names."""
     family = F.get(F.array(*map(F.lit, LOOPS)), (F.col("p_partkey") % 5).cast("int"))
     parts = t("part").select("p_partkey", family.alias("family"))
-    rows = pictures.drawn(frames.loops(parts, "family"), pictures.templates(parts.sparkSession, pictures.PRESETS))
+    rows = frames.loops(parts, "family", finish=lambda x: pictures.drawn(x, pictures.templates(parts.sparkSession, pictures.PRESETS)))
     return rows.select("p_partkey", "family", "frame", F.md5("markup").alias("digest"), F.length("markup").cast("long").alias("n_chars"))
 
 
