@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import decimal_text, fixed_text
 from ..functions.text import escape_markup
-from .frames import reference_motion
+from .frames import motion_kind, reference_motion, spread
 
 DIGITS = 6
 OPEN, CLOSE = '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 256 256" width="256" height="256">', "</svg>"
@@ -106,12 +106,10 @@ def drawn(frames: DataFrame, pictures: DataFrame, family: str = "family", number
 PIXELATED = "pixel|像素"
 
 
-def reference_cells(rows: DataFrame, prompt: str, image: str, style: str, count: Column, columns: Column) -> DataFrame:
-    """Frames of ``reference_motion`` with ``cell``: the image as it stands on the sheet, its shadow and effects; null where there is an error. A null image is an empty link, a null prompt or style an empty text."""
-    r = reference_motion(rows, prompt, count, columns)
+def cell_begin() -> Column:
+    """A cell of ``reference_motion`` up to the link of its image."""
     whole = lambda c: c.cast("long").cast("string")
     text, left, top = lambda c: decimal_text(c, DIGITS), F.col("x"), F.col("y")
-    said = F.lower(F.concat_ws(" ", F.coalesce(F.col(prompt), F.lit("")), F.coalesce(F.col(style), F.lit(""))))
 
     def arc(k, bend, end):
         e = F.get("effects", F.lit(k))
@@ -125,18 +123,51 @@ def reference_cells(rows: DataFrame, prompt: str, image: str, style: str, count:
     dot = F.concat(F.lit('<circle cx="'), text(left + dot["x"]), F.lit('" cy="'), whole(top + dot["y"]), F.lit('" r="3" fill="#ffffff" opacity=".5"/>'))
     effects = F.when(F.col("move.effect") == "slash", F.concat(arc(0, (136, 54), (214, 116)), arc(1, (138, 78), (204, 128)))).when(F.size("effects") > 1, F.array_join(F.transform("effects", particle), "")).otherwise(dot)
     m = lambda k, digits: fixed_text(F.col(f"move.{k}"), digits)
-    cell = F.concat(
+    return F.concat(
         F.lit('<g id="frame_'), whole(F.col("frame") + 1), F.lit('"><ellipse cx="'), whole(left + 128), F.lit('" cy="'), whole(top + 218), F.lit('" rx="'), fixed_text(F.col("shadow"), 1), F.lit('" ry="9" fill="#0f172a" opacity=".18"/>'), effects,
         F.lit('<g transform="translate('), fixed_text(left + 128 + F.col("move.x"), 2), F.lit(" "), fixed_text(top + 128 + F.col("move.y"), 2), F.lit(") rotate("), m("rotate", 2), F.lit(") scale("), m("scaleX", 3), F.lit(" "), m("scaleY", 3),
-        F.lit(') translate(-128 -128)"><image href="'), escape_markup(F.coalesce(F.col(image), F.lit(""))), F.lit('" x="38" y="38" width="180" height="180" preserveAspectRatio="xMidYMid meet" style="'), F.when(said.rlike(PIXELATED), "image-rendering:pixelated").otherwise(""), F.lit('"/></g></g>'),
+        F.lit(') translate(-128 -128)"><image href="'),
     )
-    return r.withColumn("cell", F.when(F.col("error").isNull(), cell))
+
+
+def cell_end(prompt: str, image: str, style: str) -> Column:
+    """The rest of a cell, which all cells of a row have."""
+    said = F.lower(F.concat_ws(" ", F.coalesce(F.col(prompt), F.lit("")), F.coalesce(F.col(style), F.lit(""))))
+    return F.concat(
+        escape_markup(F.coalesce(F.col(image), F.lit(""))), F.lit('" x="38" y="38" width="180" height="180" preserveAspectRatio="xMidYMid meet" style="'), F.when(said.rlike(PIXELATED), "image-rendering:pixelated").otherwise(""), F.lit('"/></g></g>'),
+    )
+
+
+def sheet_begin(n: Column, columns: int, side: int = 256) -> Column:
+    """A sheet of ``n`` cells up to the first."""
+    size = [F.lit(str(columns * side)), (F.ceil(n / columns) * side).cast("string")]
+    opened = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 '), F.concat_ws(" ", *size), F.lit('" width="'), size[0], F.lit('" height="'), size[1], F.lit('">'))
+    return F.concat(opened, F.lit('<defs><filter id="softShadow"><feGaussianBlur stdDeviation="2"/></filter></defs>'))
+
+
+def reference_cells(rows: DataFrame, prompt: str, image: str, style: str, count: Column, columns: Column) -> DataFrame:
+    """Frames of ``reference_motion`` with ``cell``: the image as it stands on the sheet, its shadow and effects; null where there is an error. A null image is an empty link, a null prompt or style an empty text."""
+    r = reference_motion(rows, prompt, count, columns)
+    return r.withColumn("cell", F.when(F.col("error").isNull(), F.concat(cell_begin(), cell_end(prompt, image, style))))
+
+
+def whole_sheets(rows: DataFrame, prompt: str, image: str, style: str, count: Column, columns: int) -> DataFrame:
+    """``rows`` with error and sheet: what ``reference_cells`` and ``reference_sheets`` make of each row, without a row for each cell.
+
+    A cell follows from the prompt's kind, the count and the place, but for the row's image and style, so the begins of cells are computed once for each
+    kind and count (a few) and broadcast; a row's own text stands between them.
+    """
+    kinds = rows.withColumn("_n", count.cast("int")).withColumn("_kind", F.concat_ws("|", motion_kind(prompt), F.col("_n")))
+    first = kinds.groupBy("_kind").agg(F.min(prompt).alias("said"), F.any_value("_n").alias("_n"))
+    cells = reference_motion(first, "said", F.col("_n"), F.lit(columns)).select("_kind", "frame", "error", F.when(F.col("error").isNull(), cell_begin()).alias("begin"))
+    cells = cells.groupBy("_kind").agg(F.max("error").alias("error"), F.array_sort(F.collect_list(F.struct("frame", "begin"))).alias("parts"))
+    cells = cells.select("_kind", "error", sheet_begin(F.size("parts"), columns).alias("_begin"), F.transform("parts", lambda p: p["begin"]).alias("_parts"))
+    met = spread(kinds).join(F.broadcast(cells), "_kind").withColumn("_end", cell_end(prompt, image, style))
+    sheet = F.concat("_begin", F.call_function("array_join", F.col("_parts"), F.col("_end")), "_end", F.lit(CLOSE))
+    return met.select(*rows.columns, "error", F.when(F.col("error").isNull(), sheet).alias("sheet"))
 
 
 def reference_sheets(cells: DataFrame, key: str, columns: int, side: int = 256) -> DataFrame:
     """``key``, error and sheet: the cells of each sheet (a few frames) in order; no sheet where there is an error."""
     parts = cells.groupBy(key).agg(F.max("error").alias("error"), F.array_sort(F.collect_list(F.struct("frame", "cell"))).alias("parts"))
-    size = [F.lit(str(columns * side)), (F.ceil(F.size("parts") / columns) * side).cast("string")]
-    opened = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 '), F.concat_ws(" ", *size), F.lit('" width="'), size[0], F.lit('" height="'), size[1], F.lit('">'))
-    defs = F.lit('<defs><filter id="softShadow"><feGaussianBlur stdDeviation="2"/></filter></defs>')
-    return parts.select(key, "error", F.when(F.col("error").isNull(), F.concat(opened, defs, F.array_join(F.transform("parts", lambda p: p["cell"]), ""), F.lit(CLOSE))).alias("sheet"))
+    return parts.select(key, "error", F.when(F.col("error").isNull(), F.concat(sheet_begin(F.size("parts"), columns, side), F.array_join(F.transform("parts", lambda p: p["cell"]), ""), F.lit(CLOSE))).alias("sheet"))

@@ -148,5 +148,5 @@ def reference_sheets(t):
     """Sheets of a reference image in motion with shadow and effects, a sheet for each part; walking is an error."""
     k = F.col("p_partkey")
     rows = t("part").select("p_partkey", F.get(F.array(*map(F.lit, SAID)), (k % 7).cast("int")).alias("prompt"), F.concat(F.lit("/i?a=1&b="), k.cast("string")).alias("image"), F.when(k % 2 == 1, "Pixel Art").alias("style"))
-    sheets = pictures.reference_sheets(pictures.reference_cells(rows, "prompt", "image", "style", F.lit(12), F.lit(4)), "p_partkey", 4)
+    sheets = pictures.whole_sheets(rows, "prompt", "image", "style", F.lit(12), 4)
     return sheets.select("p_partkey", "error", F.md5("sheet").alias("digest"), F.length("sheet").cast("long").alias("n_chars"))
