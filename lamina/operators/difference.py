@@ -73,29 +73,30 @@ def changes(old: DataFrame, new: DataFrame, key: str, lists: dict[str, str] | No
     """
     lists = lists or {}
     a, b = tree(old, key, tuple(lists)), tree(new, key, tuple(lists))
-    names = [c for c in a.columns if c != key]
-    both = a.select(key, F.struct(*names).alias("a")).join(b.select(key, F.struct(*names).alias("b")), key, "full").filter("a.root IS DISTINCT FROM b.root")
     kind = StructType([old.schema[c] for c in old.columns if c != key and c not in lists])
+    side = lambda df, name, *columns: df.select(key, F.struct(*columns).alias(name))
+    # Records without their lists, and lists of the records that both have: nothing is joined that the other side doesn't need.
+    records = side(a, "a", "record", "own").join(side(b, "b", "record", "own"), key, "full")
     fate = F.when(F.col("a").isNull(), "inserted").when(F.col("b").isNull(), "deleted").when(F.col("a.own") != F.col("b.own"), "changed")
     nothing, none = F.array().cast("array<string>"), F.lit(None)
     found = F.when(fate == "changed", paths(F.col("a.record"), F.col("b.record"), kind)).otherwise(nothing)
-    out = both.withColumn("change", fate).filter("change IS NOT NULL")
+    out = records.withColumn("change", fate).filter("change IS NOT NULL")
     out = out.select(key, none.cast("string").alias("list"), none.cast("string").alias("id"), none.cast("int").alias("occurrence"), "change", F.lit(False).alias("moved"), found.alias("paths"), none.cast("int").alias("was"), none.cast("int").alias("now"))
-    stay = both.filter("a IS NOT NULL AND b IS NOT NULL")
-    return reduce(DataFrame.unionByName, [element_changes(stay, key, name, field, old.schema[name].dataType.elementType) for name, field in lists.items()], out)
+    of = lambda name: (F.col(name), F.unhex(f"{name}_hash").alias(f"{name}_hash"))
+    return reduce(DataFrame.unionByName, [element_changes(side(a, "a", *of(name)).join(side(b, "b", *of(name)), key), key, name, field, old.schema[name].dataType.elementType) for name, field in lists.items()], out)
 
 
 def element_changes(both: DataFrame, key: str, name: str, field: str, kind: StructType) -> DataFrame:
-    """``changes`` inside the list ``name`` of records (key, a, b) that are in both versions."""
-    differing = both.filter(F.col(f"a.{name}_hash") != F.col(f"b.{name}_hash"))
-
-    def elements(side: str, at: str) -> DataFrame:
-        rows = differing.select(key, F.posexplode(f"{side}.{name}").alias(at, side)).withColumn("id", F.col(f"{side}.{field}").cast("string"))
-        return rows.withColumn("occurrence", F.row_number().over(Window.partitionBy(key, "id").orderBy(at)).cast("int"))
+    """``changes`` inside the list ``name`` of records (key, a, b) that are in both versions.
 
-    x, y = elements("a", "was"), elements("b", "now")
-    met = x.alias("x").join(y.alias("y"), (F.col(f"x.{key}") == F.col(f"y.{key}")) & F.col("x.id").eqNullSafe(F.col("y.id")) & (F.col("x.occurrence") == F.col("y.occurrence")), "full")
-    rows = met.select(F.coalesce(f"x.{key}", f"y.{key}").alias(key), F.coalesce("x.id", "y.id").alias("id"), F.coalesce("x.occurrence", "y.occurrence").alias("occurrence"), "was", "now", "a", "b")
+    Elements of both lists are exploded together, so all that follows groups by the key by which the records were joined and shuffles nothing again.
+    """
+    differing = both.filter(F.col(f"a.{name}_hash") != F.col(f"b.{name}_hash"))
+    of = lambda side: F.transform(F.coalesce(f"{side}.{name}", F.array().cast(ArrayType(kind))), lambda e, i: F.struct(F.lit(side == "b").alias("later"), i.alias("at"), e.alias("e")))
+    rows = differing.select(key, F.explode(F.concat(of("a"), of("b"))).alias("x")).select(key, "x.*").withColumn("id", F.col(f"e.{field}").cast("string"))
+    rows = rows.withColumn("occurrence", F.row_number().over(Window.partitionBy(key, "id", "later").orderBy("at")).cast("int"))
+    one = lambda later, c: F.any_value(F.when(F.col("later") == F.lit(later), F.col(c)), F.lit(True))
+    rows = rows.groupBy(key, "id", "occurrence").agg(one(False, "at").alias("was"), one(True, "at").alias("now"), one(False, "e").alias("a"), one(True, "e").alias("b"))
     shared = (F.col("was").isNotNull() & F.col("now").isNotNull()).cast("int")
     rank = lambda at: F.sum(shared).over(Window.partitionBy(key).orderBy(at))
     moved = F.when(shared == 1, rank("was") != rank("now")).otherwise(False)

@@ -63,3 +63,16 @@ def test_whole_sheets_are_those_of_cells_without_a_shuffle_of_them(spark):
     cells = pictures.reference_sheets(pictures.reference_cells(rows, "p", "i", "s", F.lit(12), F.lit(4)), "k", 4)
     whole = pictures.whole_sheets(rows, "p", "i", "s", F.lit(12), 4).select("k", "error", "sheet")
     assert sorted(whole.collect()) == sorted(cells.collect())
+
+
+def test_lists_are_compared_without_further_shuffles(spark):
+    from lamina.operators import difference
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        old = spark.range(40).select(F.col("id").alias("k"), F.lit(1).alias("n"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda e: F.struct(e.cast("string").alias("name"), (e + F.col("id")).alias("v"))).alias("parts"))
+        new = old.withColumn("parts", F.reverse("parts"))
+        got = difference.changes(old, new, "k", {"parts": "name"})
+        assert plan_of(got).count("Exchange") <= 4 and got.filter("moved").count() == got.count() == 160
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
