@@ -57,8 +57,10 @@ WITH = f"WITH raw AS ({LAYERS}), l AS (SELECT scene, ordinal, part, supp, {liste
 
 
 def flat(t) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
-    rows = t("lineitem").select(F.col("l_orderkey").alias("scene"), place.alias("ordinal"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"))
+    # By the name that later groupings have, so that wide rows aren't shuffled again.
+    place = F.row_number().over(Window.partitionBy("scene").orderBy("l_linenumber", "part", "supp")) - 1
+    rows = t("lineitem").select(F.col("l_orderkey").alias("scene"), "l_linenumber", F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"))
+    rows = rows.select("scene", place.alias("ordinal"), "part", "supp")
     return rows.select("scene", "ordinal", "part", "supp", *(F.expr(v).alias(k) for k, v in FIELDS.items()))
 
 
