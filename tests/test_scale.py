@@ -76,3 +76,30 @@ def test_lists_are_compared_without_further_shuffles(spark):
         assert plan_of(got).count("Exchange") <= 4 and got.filter("moved").count() == got.count() == 160
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_state_takes_a_few_calls_for_a_key(monkeypatch):
+    from unittest.mock import MagicMock
+
+    import pandas as pd
+
+    from lamina.streaming import timed
+
+    kept = {"waiting": []}
+    handle, waiting, held = MagicMock(), MagicMock(), MagicMock()
+    handle.getListState.return_value, handle.getValueState.return_value = waiting, held
+    waiting.get.side_effect = lambda: iter(kept["waiting"])
+    waiting.appendList.side_effect = lambda rows: kept["waiting"].extend(rows)
+    waiting.put.side_effect = lambda rows: kept.update(waiting=list(rows))
+    waiting.clear.side_effect = lambda: kept.update(waiting=[])
+    held.get.side_effect = lambda: kept.get("held")
+    held.update.side_effect = lambda row: kept.update(held=row)
+    machine, clock = timed.Messages(1800), MagicMock()
+    machine.init(handle)
+    clock.getCurrentWatermarkInMs.return_value = 0
+    events = pd.DataFrame({"at_micros": [k * 1_000_000 + 1 for k in range(100)], "number": range(100), "event": ["{}"] * 100})
+    assert not list(machine.handleInputRows(("u",), iter([events]), clock))
+    clock.getCurrentWatermarkInMs.return_value = 90_000
+    out = pd.concat(machine.handleExpiredTimer(("u",), clock, None))
+    assert list(out["number"]) == list(range(89)) and [e[1] for e in kept["waiting"]] == list(range(90, 100))
+    assert len(waiting.method_calls) + len(held.method_calls) < 10
