@@ -15,15 +15,24 @@ Boundaries within ``EDGE`` characters of a chunk's cut end aren't trusted (speci
 at which normalisation could compose characters. Where an overlap has no stable boundary it is doubled and the
 chunk encoded anew, at the worst from the earlier chunk's begin and up to the text's end. Shorter texts are encoded whole.
 
-Memory: a batch of bounded bytes, the encodings of ``CALL`` bytes of short texts or of two chunks.
+Each different word goes to the library once where the tokenizer can't see across a space (``stands_apart``: spaces are removed before
+merges, no normalisation, pre-token or special string reaches over one). Then the encoding of a text or chunk is that of its words, one
+after the other, and a worker keeps the encodings of words. Other tokenizers encode texts and chunks in one call.
+
+Memory: a batch of bounded bytes, the encodings of ``CALL`` bytes of short texts or of two chunks; twice ``KNOWN`` bytes of known words.
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows each give a row; an
 empty table gives no rows; columns besides ``id_col`` and ``text_col`` aren't read. Only BPE tokenizers are taken.
 """
 
 from __future__ import annotations
 
+import json
+import sys
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,23 +45,56 @@ from .storage import bounded_batches
 CHUNK, OVERLAP, EDGE, RUN = 16_384, 1_024, 64, 4
 #: Characters of short texts encoded in one call of the library.
 CALL = 1 << 20
+#: Words encoded in one call; bytes of words that are kept, after which all are forgotten.
+WORDS, KNOWN = 1 << 13, 64 << 20
+#: Bytes of a token in ``Encoder.pieces``: four numbers.
+TOKEN = 4 * array("i").itemsize
+#: A pattern of pre-tokens that matches no white space and looks at nothing beside a match.
+WITHIN_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def stands_apart(spec: dict) -> bool:
+    """Whether a tokenizer file is known to encode a text as its parts between spaces, one after the other."""
+    normalizer, pre = spec["normalizer"] or {}, spec["pre_tokenizer"] or {}
+    steps = normalizer.get("normalizers", [normalizer] if normalizer else [])
+    allowed = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "})
+    split = {"type": "Split", "pattern": {"Regex": WITHIN_WORDS}, "behavior": "Removed", "invert": True}
+    level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    own = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or " " in t["content"]) for t in spec["added_tokens"])
+    return own and all(x in allowed for x in steps) and pre.get("pretokenizers") == [split, level] and spec["post_processor"] is None and not spec["model"].get("dropout")
 
 
 class Encoded:
     """A chunk's tokens: where each begins in the text, its id, whether a pre-token begins with it."""
 
-    def __init__(self, begin: int, spans: np.ndarray, ids: np.ndarray, words: np.ndarray):
-        self.start, self.ids = begin + spans[:, 0], ids
-        ends = begin + spans[:, 1]
-        self.opens = np.append(True, words[1:] != words[:-1])[: len(ids)]
-        #: False where a token begins inside a character that the one before it has begun.
-        self.clean = np.append(True, ends[:-1] <= self.start[1:])[: len(ids)]
+    def __init__(self, start: np.ndarray, ids: np.ndarray, opens: np.ndarray, clean: np.ndarray):
+        #: ``clean`` is False where a token begins inside a character that the one before it has begun.
+        self.start, self.ids, self.opens, self.clean = start, ids, opens, clean
 
     def from_offset(self, at: int) -> int:
         """The first token that begins at ``at`` or later."""
         return int(np.searchsorted(self.start, at))
 
 
+class Known:
+    """What is known of words, up to about ``most`` bytes: ``find`` gives it for a list of new ones."""
+
+    def __init__(self, find: Callable[[list[str]], list], most: int = KNOWN):
+        self.find, self.most, self.held, self.words = find, most, 0, {}
+
+    def of(self, words: list[str]) -> list:
+        new = list(set(words).difference(self.words))
+        if new:
+            if self.held > self.most:
+                self.held, self.words, new = 0, {}, list(set(words))
+            for k in range(0, len(new), WORDS):
+                some = new[k : k + WORDS]
+                found = self.find(some)
+                self.words.update(zip(some, found))
+                self.held += sum(map(sys.getsizeof, some)) + sum(map(sys.getsizeof, found)) + 64 * len(some)
+        return list(map(self.words.__getitem__, words))
+
+
 class Encoder:
     """A tokenizer file's library, without special tokens, truncation or padding."""
 
@@ -65,6 +107,22 @@ class Encoder:
         self.tokenizer.no_padding()
         if not isinstance(self.tokenizer.model, BPE):
             raise ValueError("common boundaries are proven stable for byte-pair encoding only")
+        self.apart = stands_apart(json.loads(self.tokenizer.to_str()))
+        self.sizes, self.parts = Known(self.lengths), Known(self.pieces)
+
+    def lengths(self, texts: list[str]) -> list[int]:
+        return list(map(len, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)))
+
+    def pieces(self, texts: list[str]) -> list[bytes]:
+        """Of each text, for each token: begin, id, whether a pre-token begins with it, whether it begins behind the end of the one before."""
+        out = []
+        for found in self.tokenizer.encode_batch(texts, add_special_tokens=False):
+            rows, last, reached = array("i"), None, 0
+            for k, ((start, end), token, word) in enumerate(zip(found.offsets, found.ids, found.word_ids)):
+                rows.extend((start, token, k == 0 or word is None or word != last, start >= reached))  # special strings stand alone
+                last, reached = word, end
+            out.append(rows.tobytes())
+        return out
 
     def counts(self, texts: list[str]) -> list[int]:
         out, k = [], 0
@@ -72,14 +130,27 @@ class Encoder:
             stop, n = k, 0
             while stop < len(texts) and (n == 0 or n + len(texts[stop]) <= CALL):
                 n, stop = n + len(texts[stop]), stop + 1
-            out += map(len, self.tokenizer.encode_batch_fast(texts[k:stop], add_special_tokens=False))
+            out += self.counts_of_words(texts[k:stop]) if self.apart else self.lengths(texts[k:stop])
             k = stop
         return out
 
+    def counts_of_words(self, texts: list[str]) -> list[int]:
+        words = [t.split(" ") for t in texts]
+        sizes = iter(self.sizes.of([w for own in words for w in own]))
+        return [sum(islice(sizes, len(own))) for own in words]
+
     def chunk(self, text: str, begin: int, end: int) -> Encoded:
-        found = self.tokenizer.encode(text[begin:end], add_special_tokens=False)
-        words = np.array([-1 - k if w is None else w for k, w in enumerate(found.word_ids)], np.int64)  # special strings stand alone
-        return Encoded(begin, np.array(found.offsets, np.int64).reshape(-1, 2), np.array(found.ids, np.int64), words)
+        words = text[begin:end].split(" ") if self.apart else [text[begin:end]]
+        pieces = self.parts.of(words) if self.apart else self.pieces(words)
+        at = begin + np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
+        start, ids, opens, clean = np.frombuffer(b"".join(pieces), np.int32).reshape(-1, 4).T
+        return Encoded(start + np.repeat(at, [len(p) // TOKEN for p in pieces]), ids, opens.astype(bool), clean.astype(bool))
+
+
+@lru_cache(1)
+def encoder(tokenizer_file: str) -> Encoder:
+    """A worker's own, kept from task to task."""
+    return Encoder(tokenizer_file)
 
 
 def composes(text: str, at: int) -> bool:
@@ -150,7 +221,7 @@ def count_tokens(
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = Encoder(tokenizer_file)
+        encode = encoder(tokenizer_file)
         for batch in batches:
             sizes = [len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(1)]
             texts = [t or "" for t in batch.column(1).to_pylist()]

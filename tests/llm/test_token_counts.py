@@ -1,9 +1,11 @@
+import json
 import random
 
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from lamina.llm import token_counts
 from lamina.llm.token_counts import Encoder, count_tokens, resynchronised
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -62,3 +64,45 @@ def test_seams_widen_where_encodings_dont_meet(library, encode):
         assert tokens == plain(library, text)
         widened += n
     assert widened > 5
+
+
+PARTS = ["the ", "It's ", " we'll", "'", "!!!", "  \n", "\t", "日本", "é", " ̣́", " ͅ", " ̸", "각", " ᅡ", "ᄀ ", "<|endoftext|>", "<|endof", "text|>", " 2024", "🙂", "\xa0", " İ", "ΟΔΟΣ ", " Σ", "ß", " क्षि", " ", "﻿"]
+
+
+def test_words_one_after_the_other_are_the_whole_text(library, encode):
+    whole = Encoder(FILE)
+    whole.apart = False
+    assert encode.apart
+    r = random.Random(6)
+    for k in range(400):
+        text = "".join(r.choice(PARTS) for _ in range(r.choice((3, 20, 150))))
+        assert encode.counts([text, text]) == [plain(library, text)] * 2, k
+        own, other = encode.chunk(text, 2, len(text)), whole.chunk(text, 2, len(text))
+        assert all((getattr(own, c) == getattr(other, c)).all() for c in ("start", "ids", "opens", "clean")), k
+
+
+def test_a_word_goes_to_the_library_once(library):
+    encode, seen = Encoder(FILE), []
+
+    class Library:
+        def __getattr__(self, name):
+            call = getattr(library, name)
+            return lambda texts, **options: (seen.extend([texts] if isinstance(texts, str) else texts), call(texts, **options))[1]
+
+    encode.tokenizer = Library()
+    short = [" ".join(f"word{(k * j) % 97}" for j in range(300)) for k in range(50)]
+    long = " ".join(f"word{(j * j) % 89}" for j in range(20_000))
+    assert encode.counts(short) == [plain(library, t) for t in short]
+    assert resynchronised(long, encode)[0] == plain(library, long)
+    assert sum(map(len, seen)) < 3_000 and sum(map(len, short)) + len(long) > 200_000
+
+
+def test_known_words_are_bounded_and_other_tokenizers_are_whole(library):
+    known = token_counts.Known(lambda words: list(map(len, words)), most=4_000)
+    for k in range(200):
+        words = [f"{'w' * (k % 7)}{k}", "", "again", f"{k % 5}"]
+        assert known.of(words) == list(map(len, words)) and known.held < 5_000 and len(known.words) < 50
+    spec = json.loads(library.to_str())
+    assert token_counts.stands_apart(spec)
+    for change in ({"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}, {"normalizer": {"type": "Strip", "strip_left": True, "strip_right": True}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}, {"added_tokens": [spec["added_tokens"][0] | {"content": "a b"}]}):
+        assert not token_counts.stands_apart(spec | change), change
