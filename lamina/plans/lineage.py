@@ -29,3 +29,23 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, for a ``df`` that isn't run again: its shuffle files go as soon as the table is there."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, path = spark.conf.get(key, "false"), fresh_path(spark, "table")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``stored`` made and nothing reads any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

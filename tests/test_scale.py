@@ -35,6 +35,32 @@ def test_far_points_read_few_boxes_of_a_cloud(spark, monkeypatch):
     assert got == {tuple(r) for r in want.collect()} and sum(rows) < 22_000
 
 
+def test_boxes_are_dealt_twice_and_nothing_else_stays(spark):
+    import os
+
+    from lamina.operators import spatial
+    from lamina.plans.lineage import shared_dir
+
+    def shuffled():
+        spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return sum(x.totalShuffleWrite() for x in (store.apply(k) for store in [spark._jsc.sc().statusStore().executorList(False)] for k in range(store.size())))
+
+    def kept():
+        return sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(shared_dir(spark).removeprefix("file:")) for f in names)
+
+    # About 90 boxes over each point.
+    h = lambda k, n: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n)).cast("double")
+    boxes = spark.range(40_000).select(F.col("id").alias("box"), F.lit(1).alias("grp"), h(1, 400).alias("left"), h(2, 400).alias("top"), h(3, 30).alias("w")).withColumns({"right": F.col("left") + F.col("w"), "bottom": F.col("top") + F.col("w")})
+    points = spark.range(1_000).select(F.col("id").alias("point"), F.lit(1).alias("grp"), h(4, 400).alias("px"), h(5, 600).alias("py"))
+    before, files = shuffled(), kept()
+    found = spatial.nearest_boxes(points, boxes, 32.0)
+    most, left = shuffled() - before, kept() - files
+    assert found.count() == 1_000
+    before = shuffled()
+    boxes.select("grp", "box", *spatial.SIDES).repartition("left", "top").write.format("noop").mode("overwrite").save()
+    assert most < 3 * (shuffled() - before) and left < 200_000
+
+
 def test_numbers_and_markup_come_from_a_table_of_kinds(spark):
     from lamina.operators import frames, pictures
 

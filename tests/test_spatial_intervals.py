@@ -38,6 +38,25 @@ def test_nearest_box_is_that_of_all_pairs(spark, tile):
     assert got.keys() == want.keys() and all(got[p][1] == want[p][1] and abs(got[p][0] - want[p][0]) < 1e-9 for p in want)
 
 
+@pytest.mark.parametrize("boxes_of_a_tile, cell, rows", [(3, 2.0, 0), (20, 0.5, 50_000), (3, 16.0, 40)])
+def test_tiles_of_few_boxes_and_of_many(spark, monkeypatch, boxes_of_a_tile, cell, rows):
+    from lamina.operators import spatial
+
+    for name, value in (("BOXES", boxes_of_a_tile), ("CELL", cell), ("BROADCAST_ROWS", rows)):
+        monkeypatch.setattr(spatial, name, value)
+    r = random.Random(11)
+    boxes = []
+    for k in range(700):  # "a": a cloud in a wide field; "line": without height; "one": the same box again and again
+        g = r.choice(["a", "a", "line", "one"])
+        x, y, w, h = r.uniform(-900, 900), r.uniform(-900, 900), r.choice([0, 3, 40, 1500]), r.choice([0, 7, 60])
+        x, y, w, h = {"a": (x / 90, y / 90, w / 30, h / 30) if k % 4 else (x, y, w, h), "line": (x, -5.0, w, 0), "one": (2.0, 3.0, 1, 1)}[g]
+        boxes.append((k, g, x, y, x + w, y + h, None))
+    points = [(k, r.choice(["a", "line", "one"]), r.uniform(-1500, 1500) / r.choice([1, 90]), r.uniform(-1500, 1500) / r.choice([1, 90]), None) for k in range(200)]
+    got = {x.point: (x.distance, x.box) for x in nearest_boxes(spark.createDataFrame(points, POINT), spark.createDataFrame(boxes, BOX), 8.0).collect()}
+    want = brute_nearest(points, boxes)
+    assert got.keys() == want.keys() and all(got[p][1] == want[p][1] and abs(got[p][0] - want[p][0]) < 1e-9 for p in want)
+
+
 def test_no_boxes_or_points(spark):
     points, boxes = spark.createDataFrame([(1, "a", 0.0, 0.0, None)], POINT), spark.createDataFrame([(1, "a", 0.0, 0.0, 1.0, 1.0, None)], BOX)
     assert nearest_boxes(points, boxes.limit(0), 1.0).count() == 0 and nearest_boxes(points.limit(0), boxes, 1.0).count() == 0
